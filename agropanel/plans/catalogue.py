@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from agropanel.plans import weather_queries  # noqa: F401
+from agropanel.plans import panel_queries, weather_queries  # noqa: F401
 from agropanel.plans.registry import RUNS, SQL, Run
 
 

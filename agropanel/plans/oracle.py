@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from agropanel.plans.registry import nudge
+
 DAILY = """
 site AS (
   SELECT s_suppkey AS site, n_name AS state, s_name AS district,
@@ -107,9 +109,9 @@ rai AS (
 
 
 def num(expr: str, digits: int = 4, name: str | None = None) -> str:
-    """Rounded double without negative zero."""
-    e = f"CASE WHEN round({expr}, {digits}) = 0 THEN 0.0::DOUBLE ELSE round({expr}, {digits})::DOUBLE END"
-    return f"{e} AS {name or expr}"
+    """Double rounded like registry.tidy, without negative zero."""
+    rounded = f"round(({expr}) + {nudge(digits)!r}::DOUBLE, {digits})"
+    return f"CASE WHEN {rounded} = 0 THEN 0.0::DOUBLE ELSE {rounded}::DOUBLE END AS {name or expr}"
 
 
 def nums(*columns: str, digits: int = 4) -> str:
@@ -126,3 +128,39 @@ def longs(*columns: str) -> str:
 
 def query(ctes: str, body: str) -> str:
     return f"WITH {ctes.strip().strip(',')}\n{body.strip()}"
+
+
+SITE_YIELD = """
+site_yield AS (
+  SELECT n_name AS state, s_name AS district,
+         CASE l_returnflag WHEN 'R' THEN 'Wheat' WHEN 'A' THEN 'Rice' WHEN 'N' THEN 'Maize' ELSE l_returnflag END AS crop,
+         CASE l_returnflag WHEN 'R' THEN 'Rabi' WHEN 'A' THEN 'Kharif' END AS season, year(l_shipdate) AS year,
+         avg(l_extendedprice) AS yield_kg_ha, count(*)::DOUBLE AS area_ha
+  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY ALL)"""
+
+LAGS = """
+lags AS (
+  SELECT *, lag(yield_kg_ha, 1) OVER w AS lag_yield_1, lag(yield_kg_ha, 2) OVER w AS lag_yield_2,
+         lag(yield_kg_ha, 3) OVER w AS lag_yield_3,
+         CASE WHEN count(yield_kg_ha) OVER w3 >= 2 THEN avg(yield_kg_ha) OVER w3 END AS rolling_yield_3yr
+  FROM yield_panel
+  WINDOW w AS (PARTITION BY state, district, crop ORDER BY year, season),
+         w3 AS (PARTITION BY state, district, crop ORDER BY year, season ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING))"""
+
+
+def snapshot_sql(name: str, until: str) -> str:
+    return f"""
+{name}_panel AS (
+  SELECT n_name AS state, c_name AS district, c_mktsegment AS crop, c_custkey AS custkey, year(o_orderdate) AS year,
+         avg(o_totalprice) AS yield_kg_ha, count(*)::DOUBLE AS area_ha
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+  WHERE o_orderdate <= TIMESTAMP '{until}' GROUP BY ALL),
+{name}_rows AS (
+  SELECT state, district, crop, custkey, avg(yield_kg_ha) FILTER (WHERE rn <= 3) AS pred_yield,
+         max(yield_kg_ha) FILTER (WHERE rn = 1) AS last_yield, max(year) FILTER (WHERE rn = 1) AS baseline_yield_year,
+         max(area_ha) FILTER (WHERE rn = 1) AS rai
+  FROM (SELECT *, row_number() OVER (PARTITION BY custkey ORDER BY year DESC) AS rn FROM {name}_panel) GROUP BY ALL),
+{name}_spread AS (
+  SELECT state, district, avg(area_ha) AS m, stddev_samp(area_ha) AS s FROM {name}_panel GROUP BY ALL),
+{name} AS (
+  SELECT r.*, abs((rai - m) / nullif(s, 0)) AS severity FROM {name}_rows r JOIN {name}_spread USING (state, district))"""

@@ -22,9 +22,17 @@ def register(name: str, sql: str | None = None) -> Callable[[Run], Run]:
     return add
 
 
+def nudge(digits: int) -> float:
+    """Small offset added before rounding for comparison, so that exact ties do not depend on the engine."""
+    return 0.0123 * 10.0**-digits
+
+
 def tidy(df: DataFrame, digits: int = 4) -> DataFrame:
-    """Doubles rounded for comparison; dates and flags keep their type."""
+    """Doubles rounded for comparison; other columns as they are."""
     kinds = dict(df.dtypes)
     return df.select(
-        *[F.round(F.col(c), digits).alias(c) if kinds[c] == "double" else F.col(c) for c in df.columns]
+        *[
+            F.round(F.col(c) + F.lit(nudge(digits)), digits).alias(c) if kinds[c] == "double" else F.col(c)
+            for c in df.columns
+        ]
     )

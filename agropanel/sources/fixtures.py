@@ -6,15 +6,30 @@ plans/oracle.py.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 FIRST_DAY = "1995-01-01"
 LAST_DAY = "2001-10-31"
 
+# given schemas save one footer-reading job per table
+SCHEMAS = {
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey long, s_name string, s_nationkey int, s_acctbal double",
+    "orders": "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, "
+    "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+    "l_shipdate timestamp_ntz",
+    "events": "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string",
+    "documents": "doc_id long, text string, lang string, source string, n_chars long",
+    "pages": "page_id long, url string, html string",
+}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _nation_names(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,37 +55,47 @@ def supplier_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily weather per supplier over the whole calendar; days without a shipment are dry and unmeasured.
 
-    The calendar rows are appended before the one aggregation, which saves joining a dense calendar to it.
+    Shipments shrink to one row per site-day first (so a site never has more rows than the calendar has days); the
+    empty days up to the next shipment are then generated in place and are never shuffled.
     """
+    first, last = F.lit(FIRST_DAY).cast("date"), F.lit(LAST_DAY).cast("date")
     shipped = (
         table(spark, sf_dir, "lineitem")
-        .where(F.col("l_shipdate") < F.lit("2001-11-01").cast("timestamp"))
+        .where(F.col("l_shipdate") < F.lit("2001-11-01").cast("timestamp_ntz"))
         .select(
             F.col("l_suppkey").alias("site"),
-            F.col("l_shipdate").cast("date").alias("date"),
+            F.col("l_shipdate").cast("date").alias("_from"),
             F.col("l_quantity").alias("q"),
             F.col("l_discount").alias("d"),
             F.col("l_tax").alias("t"),
             F.col("l_extendedprice").alias("p"),
         )
     )
-    calendar = table(spark, sf_dir, "supplier").select(
-        F.col("s_suppkey").alias("site"),
-        F.explode(F.sequence(F.lit(FIRST_DAY).cast("date"), F.lit(LAST_DAY).cast("date"))).alias("date"),
-    )
+    openings = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("site"), first.alias("_from"))
     per_day = (
-        shipped.unionByName(calendar, allowMissingColumns=True)
-        .groupBy("site", "date")
-        .agg(
-            F.coalesce(F.sum("q"), F.lit(0.0)).alias("rainfall_mm"),
-            (18 + 250 * F.avg("d")).alias("temp_max_c"),
-            (14 - 200 * F.avg("t")).alias("temp_min_c"),
-            (1000 * F.avg("t")).alias("humidity_pct"),
-            (10 + F.avg("p") / 5000).alias("solar_radiation"),
-        )
-        .withColumn("temp_avg_c", (F.col("temp_max_c") + F.col("temp_min_c")) / 2)
+        shipped.unionByName(openings, allowMissingColumns=True)
+        .groupBy("site", "_from")
+        .agg(F.sum("q").alias("q"), F.avg("d").alias("d"), F.avg("t").alias("t"), F.avg("p").alias("p"))
     )
-    return per_day.join(supplier_sites(spark, sf_dir), "site").drop("site")
+    following = F.lead("_from").over(Window.partitionBy("site").orderBy("_from"))
+    spans = per_day.withColumn("_upto", F.coalesce(F.date_sub(following, 1), last))
+    dense = spans.withColumn("date", F.explode(F.sequence("_from", "_upto")))
+    shipped_today = F.col("date") == F.col("_from")
+
+    def measured(x):
+        return F.when(shipped_today, x)
+
+    dense = dense.select(
+        "site",
+        "date",
+        F.coalesce(measured(F.col("q")), F.lit(0.0)).alias("rainfall_mm"),
+        measured(18 + 250 * F.col("d")).alias("temp_max_c"),
+        measured(14 - 200 * F.col("t")).alias("temp_min_c"),
+        measured(((18 + 250 * F.col("d")) + (14 - 200 * F.col("t"))) / 2).alias("temp_avg_c"),
+        measured(1000 * F.col("t")).alias("humidity_pct"),
+        measured(10 + F.col("p") / 5000).alias("solar_radiation"),
+    )
+    return dense.join(supplier_sites(spark, sf_dir), "site").drop("site")
 
 
 def daily_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,7 +123,7 @@ def yield_panel(spark: SparkSession, sf_dir: str, until: str | None = None) -> D
     """Yearly yield per customer: mean order value as yield, number of orders as area; optionally as of a date."""
     orders = table(spark, sf_dir, "orders")
     if until:
-        orders = orders.where(F.col("o_orderdate") <= F.lit(until).cast("timestamp"))
+        orders = orders.where(F.col("o_orderdate") <= F.lit(until).cast("timestamp_ntz"))
     yearly = orders.groupBy(F.col("o_custkey").alias("custkey"), F.year("o_orderdate").alias("year")).agg(
         F.avg("o_totalprice").alias("yield_kg_ha"), F.count(F.lit(1)).cast("double").alias("area_ha")
     )
@@ -143,3 +168,86 @@ def covariates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per_year.join(customer_sites(spark, sf_dir), "custkey").select(
         "state", "district", "year", "fertilizer_tons", "nitrogen_tons", "irrigated_area_1000ha"
     )
+
+
+CROP_BY_FLAG = {"R": "Wheat", "A": "Rice", "N": "Maize"}
+
+
+def site_yields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Yield per weather site, crop and year, so that yields and daily weather share their keys."""
+    crop = F.col("l_returnflag")
+    for flag, name in CROP_BY_FLAG.items():
+        crop = F.when(F.col("l_returnflag") == flag, F.lit(name)).otherwise(crop)
+    yearly = (
+        table(spark, sf_dir, "lineitem")
+        .groupBy(F.col("l_suppkey").alias("site"), crop.alias("crop"), F.year("l_shipdate").alias("year"))
+        .agg(F.avg("l_extendedprice").alias("yield_kg_ha"), F.count(F.lit(1)).cast("double").alias("area_ha"))
+    )
+    season = F.when(F.col("crop") == "Wheat", "Rabi").when(F.col("crop") == "Rice", "Kharif")
+    named = yearly.join(supplier_sites(spark, sf_dir), "site").withColumn("season", season)
+    return named.select("state", "district", "crop", "season", "year", "yield_kg_ha", "area_ha")
+
+
+def wells_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per well (supplier) with a column per period, such as May-97; the reading is a monthly mean."""
+    regions = table(spark, sf_dir, "nation").select(
+        F.col("n_name").alias("district"), F.concat(F.lit("region "), F.col("n_regionkey")).alias("state")
+    )
+    days = daily(spark, sf_dir).select(
+        F.col("state").alias("district"), F.col("district").alias("well"), F.year("date").alias("y"),
+        F.month("date").alias("m"), "temp_max_c",
+    )
+    months = {1: "Jan", 5: "May", 8: "Aug", 11: "Nov"}
+    cells = [
+        F.avg(F.when((F.col("y") == y) & (F.col("m") == m), F.col("temp_max_c"))).alias(f"{name}-{y % 100:02d}")
+        for y in range(1995, 2002) for m, name in months.items()
+    ]
+    wide = days.groupBy("district", "well").agg(*cells)
+    return wide.join(regions, "district")
+
+
+def snapshot_rows(spark: SparkSession, sf_dir: str, until: str) -> DataFrame:
+    """Forecast per customer as of a date: mean of the last three yearly yields, anomaly from the order counts."""
+    panel = yield_panel(spark, sf_dir, until)
+    # a customer has one row per year, so the group is a handful of rows
+    newest = Window.partitionBy("state", "district", "crop", "custkey").orderBy(F.col("year").desc())
+    ranked = panel.withColumn("_rn", F.row_number().over(newest))
+    last = F.col("_rn") == 1
+    return ranked.groupBy("state", "district", "crop", "custkey").agg(
+        F.avg(F.when(F.col("_rn") <= 3, F.col("yield_kg_ha"))).alias("pred_yield"),
+        F.max(F.when(last, F.col("yield_kg_ha"))).alias("last_yield"),
+        F.max(F.when(last, F.col("year"))).alias("baseline_yield_year"),
+        F.max(F.when(last, F.col("area_ha"))).alias("rai"),
+    )
+
+
+def area_history(spark: SparkSession, sf_dir: str, until: str) -> DataFrame:
+    """History of the same anomaly measure per site and year."""
+    panel = yield_panel(spark, sf_dir, until)
+    return panel.select("state", "district", "year", F.col("area_ha").alias("rainfall_anomaly_index"))
+
+
+def event_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per user and day: event count, total, mean and largest value."""
+    return (
+        table(spark, sf_dir, "events")
+        .groupBy("user_id", F.col("ts").cast("date").alias("day"))
+        .agg(
+            F.count(F.lit(1)).cast("double").alias("n_events"),
+            F.sum("value").alias("total_value"),
+            F.avg("value").alias("mean_value"),
+            F.max("value").alias("max_value"),
+        )
+    )
+
+
+def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raster cells derived from orders: a place on a grid, a date, a raw value and a class."""
+    key = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select(
+        (24.0 + (key * 7 % 97) * 0.05).alias("lat"),
+        (74.0 + (key * 13 % 89) * 0.05).alias("lon"),
+        F.col("o_orderdate").cast("date").alias("date"),
+        F.col("o_totalprice").alias("value"),
+        (key % 4).alias("water_class"),
+    )
