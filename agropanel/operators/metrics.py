@@ -79,7 +79,9 @@ def quantile_bucket(df: DataFrame, value: str, labels: Sequence[str] = QUINTILES
     edges = exact_quantiles(df, value, [i / k for i in range(1, k)])
     cuts = edges.agg(F.sort_array(F.collect_list("quantile"))).scalar()
     x = F.col(value)
-    rank = F.size(F.filter(cuts, lambda q: q < x))
+    rank = F.lit(0)
+    for i in range(1, k):
+        rank = rank + F.when(x > F.element_at(cuts, i), 1).otherwise(0)
     text = F.element_at(F.array(*[F.lit(label) for label in labels]), rank + 1)
     return df.withColumn(name, F.when(x.isNotNull(), text))
 
