@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import html
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from agropanel.functions.scalars import _col
 
 # Length limits and the entities that are decoded.
 LIMITS = {"category": 80, "query": 200, "title": 160, "snippet": 280, "url": 500}
 ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&#x27;": "'", "&nbsp;": " ", "&amp;": "&"}
+BLANKS = r"(?U)[\s\x1c-\x1f]+"
 LINK = r"(?i)^https?://[^\s<>\"']+$"
 
 
@@ -21,12 +27,21 @@ def decode_entities(c) -> Column:
     return text
 
 
-def clean(c, limit: int | None = None) -> Column:
-    """Entities decoded first, so that escaped tags go too; then markup and doubled blanks; then the length cap."""
-    text = decode_entities(F.coalesce(_col(c), F.lit("")))
+@F.pandas_udf(T.StringType())
+def unescape(values: pd.Series) -> pd.Series:
+    """Every named and numeric entity; the built-in functions only know the listed ones."""
+    return values.map(html.unescape, na_action="ignore")
+
+
+def clean(c, limit: int | None = None, decode: Callable[[Column], Column] = decode_entities) -> Column:
+    """Entities decoded first, so that escaped tags go too; then markup and doubled blanks; then the length cap.
+
+    The default decoder stays in the JVM and knows the listed entities; `decode=unescape` knows all of them.
+    """
+    text = decode(F.coalesce(_col(c), F.lit("")))
     text = F.regexp_replace(text, "<[^>]*>", " ")
     text = F.translate(text, "<>", "  ")
-    text = F.trim(F.regexp_replace(text, r"[\s ]+", " "))
+    text = F.trim(F.regexp_replace(text, BLANKS, " "))
     return text if limit is None else F.substring(text, 1, limit)
 
 
@@ -45,6 +60,5 @@ def top_results(df: DataFrame, section: str, order: str, k: int = 3) -> DataFram
     citable = df.withColumn("url", link("url")).where(F.col("url").isNotNull())
     w = Window.partitionBy(section).orderBy(order)
     first = citable.withColumn("position", F.row_number().over(w)).where(F.col("position") <= k)
-    return first.withColumn("title", clean("title", LIMITS["title"])).withColumn(
-        "snippet", clean("content", LIMITS["snippet"])
-    ).drop("content")
+    titled = first.withColumn("title", clean("title", LIMITS["title"], unescape))
+    return titled.withColumn("snippet", clean("content", LIMITS["snippet"], unescape)).drop("content")

@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def leaves_of(model) -> list[tuple[float, float, dict[int, tuple[float, float, float]]]]:
@@ -80,7 +81,7 @@ def attribute(df: DataFrame, model, features: Sequence[str], vector: str = "feat
     columns = list(df.columns)
     arrays = df.withColumn("_x", vector_to_array(vector)).drop(vector)
     kept = [c for c in columns if c != vector]
-    schema = arrays.select(*kept).schema.add("_shap", "array<double>")
+    schema = arrays.select(*kept).schema.add("_shap", T.ArrayType(T.DoubleType()))
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

@@ -104,11 +104,11 @@ def fit_ridge(train: DataFrame, features: Sequence[str], alpha: float = RIDGE_AL
     prepared = prepare(train, features)
     filled = impute(train, prepared.medians)
     stats = filled.agg(
-        F.count(F.lit(1)).alias("n"), F.stddev_samp(TARGET).alias("y"),
+        F.count(F.lit(1)).alias("n"), F.stddev_pop(TARGET).alias("y"),
         *[F.avg(c).alias(f"m_{c}") for c in features], *[F.stddev_pop(c).alias(f"s_{c}") for c in features],
     ).first()
     scale = {c: (stats[f"m_{c}"], stats[f"s_{c}"]) for c in features}
-    # MLlib divides the penalty by the sample deviation of the label; undo that to get the plain ridge penalty
+    # MLlib divides the penalty by the population deviation of the label; undo that to get the plain ridge penalty
     strength = alpha / stats["n"] * (stats["y"] or 1.0)
     solver = LinearRegression(
         featuresCol="features", labelCol=TARGET, predictionCol="pred", elasticNetParam=0.0, regParam=strength,

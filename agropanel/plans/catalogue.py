@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from agropanel.plans import panel_queries, quality_queries, serving_queries, weather_queries  # noqa: F401
+from agropanel.plans import model_queries, panel_queries, quality_queries, serving_queries, weather_queries  # noqa: F401
 from agropanel.plans.registry import RUNS, SQL, Run
 
 

@@ -618,16 +618,17 @@ def state_compare(spark, sf_dir):
     "state_summary",
     o.query(
         o.SEASONAL + "," + o.RAI,
-        f"""SELECT state, count(*)::BIGINT AS n_sites, {o.num('round_even(avg(nasa_rainfall_kharif), 0)', 0, 'mean_rain')},
+        f"""SELECT state, year::INTEGER AS year, count(*)::BIGINT AS n_sites,
+        {o.num('round_even(avg(nasa_rainfall_kharif), 0)', 0, 'mean_rain')},
         count(*) FILTER (WHERE rainfall_anomaly_index < -1)::BIGINT AS n_dry,
         count(*) FILTER (WHERE rainfall_anomaly_index > 1)::BIGINT AS n_wet,
         count(*) FILTER (WHERE rainfall_anomaly_index IS NULL)::BIGINT AS n_missing
-        FROM rai WHERE year = 2000 GROUP BY ALL""",
+        FROM rai GROUP BY ALL""",
     ),
 )
 def state_summary(spark, sf_dir):
-    rows = anomaly.rai_history(weather.seasonal(fx.daily(spark, sf_dir))).where(F.col("year") == 2000)
-    return rows.groupBy("state").agg(
+    rows = anomaly.rai_history(weather.seasonal(fx.daily(spark, sf_dir)))
+    return rows.groupBy("state", "year").agg(
         F.count(F.lit(1)).alias("n_sites"),
         f.half_even(F.avg("nasa_rainfall_kharif"), 0).alias("mean_rain"),
         F.sum("drought_flag").alias("n_dry"),

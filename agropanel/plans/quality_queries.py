@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from agropanel.functions import classify as K
-from agropanel.operators import drift, gate, metrics, panel, watch, weather
+from agropanel.operators import drift, gate, metrics, models, panel, watch, weather
 from agropanel.operators.anomaly import rai_history
 from agropanel.plans import oracle as o
 from agropanel.plans.registry import register, tidy
@@ -131,16 +131,33 @@ def group_stats(spark, sf_dir):
     "interval_coverage",
     o.query(
         _SCORED,
-        f"""SELECT crop, count(*)::BIGINT AS n, {o.num('avg((yield_kg_ha BETWEEN lower AND upper)::INT)', 6, 'coverage')},
+        f"""SELECT crop, count(*)::BIGINT AS n, {o.num('avg((yield_kg_ha BETWEEN lower AND upper)::INT)', 4, 'coverage')},
         {o.num('avg(upper - lower)', 4, 'mean_width')} FROM scored WHERE split = 'test' GROUP BY ALL""",
     ),
 )
 def interval_coverage(spark, sf_dir):
     test = scored(spark, sf_dir).where(F.col("split") == "test")
-    out = metrics.interval_coverage(test, ["crop"], "yield_kg_ha")
-    return tidy(tidy(out, 6).withColumn("mean_width", F.col("mean_width")), 6).select(
-        "crop", "n", "coverage", F.round(F.col("mean_width") + F.lit(1.23e-6), 4).alias("mean_width")
-    )
+    return tidy(metrics.interval_coverage(test, ["crop"], "yield_kg_ha"))
+
+
+@register(
+    "conformal_band_persistence",
+    o.query(
+        _SCORED
+        + """,
+        offsets AS (SELECT crop, quantile_cont(e, 0.02) AS lo, quantile_cont(e, 0.98) AS hi FROM scored
+                    WHERE split = 'valid' GROUP BY ALL)""",
+        f"""SELECT crop, count(*)::BIGINT AS n,
+        {o.num('avg((yield_kg_ha BETWEEN pred + lo AND pred + hi)::INT)', 4, 'coverage')},
+        {o.num('avg((pred + hi) - (pred + lo))', 4, 'mean_width')}
+        FROM scored JOIN offsets USING (crop) WHERE split = 'test' GROUP BY ALL""",
+    ),
+)
+def conformal_band_persistence(spark, sf_dir):
+    """Band of the persistence forecast from the residuals of the validation years, per crop."""
+    rows = scored(spark, sf_dir).drop("lower", "upper")
+    test, valid = rows.where(F.col("split") == "test"), rows.where(F.col("split") == "valid")
+    return tidy(metrics.interval_coverage(models.conformal_band(test, valid, ["crop"]), ["crop"], "yield_kg_ha"))
 
 
 _QUINTILE = _SCORED + """,

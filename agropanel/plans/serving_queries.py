@@ -504,14 +504,15 @@ def view_crop_coverage(spark, sf_dir):
     "view_environment",
     o.query(
         o.SEASONAL,
-        f"""SELECT year::INTEGER AS year, 'Kharif' AS season, 'rainfall_mm' AS metric, {o.num('nasa_rainfall_kharif', 4, 'value')}
-        FROM seasonal JOIN site USING (state, district) WHERE site = 5 AND nasa_rainfall_kharif IS NOT NULL""",
+        f"""SELECT site::INTEGER AS district_id, year::INTEGER AS year, 'Kharif' AS season, 'rainfall_mm' AS metric,
+        {o.num('nasa_rainfall_kharif', 4, 'value')}
+        FROM seasonal JOIN site USING (state, district) WHERE nasa_rainfall_kharif IS NOT NULL""",
     ),
 )
 def view_environment(spark, sf_dir):
     rows = weather.seasonal(fx.daily(spark, sf_dir)).join(site_ids(spark, sf_dir), SITE)
     env = panel.to_long(rows, ["district_id", "year"])
-    return tidy(views.environment(env, 5, "rainfall_mm", "Kharif"))
+    return tidy(views.environment(env, metric="rainfall_mm", season="Kharif"))
 
 
 # ---- advice and scenarios -------------------------------------------------------------------------------------
@@ -667,19 +668,19 @@ def scenario_range_warnings(spark, sf_dir):
     "payload_explode",
     o.query(
         o.DAILY,
-        f"""SELECT state, district, date, {o.nums('rainfall_mm', 'temp_max_c', 'humidity_pct')} FROM daily WHERE y = 2000""",
+        f"""SELECT state, district, date, {o.nums('rainfall_mm', 'temp_max_c', 'humidity_pct')} FROM daily""",
     ),
 )
 def payload_explode(spark, sf_dir):
     """Documents of one site and year are written as JSON text and read back as daily rows."""
-    days = fx.daily(spark, sf_dir).where(F.year("date") == 2000)
+    days = fx.daily(spark, sf_dir)
     key = F.date_format("date", "yyyyMMdd")
     # at most 366 entries per document
     maps = [
         F.map_from_entries(F.collect_list(F.when(F.col(c).isNotNull(), F.struct(key, F.col(c))))).alias(code)
         for code, c in readers.PAYLOAD_VARIABLES.items()
     ]
-    documents = days.groupBy("state", "district", "lat", "lon").agg(*maps)
+    documents = days.groupBy("state", "district", "lat", "lon", F.year("date").alias("year")).agg(*maps)
     names = list(readers.PAYLOAD_VARIABLES)
     parameter = F.create_map(*[x for code in names for x in (F.lit(code), F.col(code))])
     body = F.to_json(F.struct(F.struct(parameter.alias("parameter")).alias("properties")))
@@ -736,7 +737,8 @@ def clean_sql(column: str) -> str:
         plain = entity.replace("'", "''")
         out = f"replace({out}, '{plain}', '{quoted}')"
     out = f"translate(regexp_replace({out}, '<[^>]*>', ' ', 'g'), '<>', '  ')"
-    return f"trim(regexp_replace({out}, '[\\s\\x0b\\x{{a0}}]+', ' ', 'g'))"
+    blanks = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+    return f"trim(regexp_replace({out}, '{blanks}', ' ', 'g'))"
 
 
 @register(

@@ -165,9 +165,13 @@ def site_history(history: DataFrame, district_id: int, crop: str | None = None)
     return rows.select("crop", "season", "year", "yield_kg_ha", "area_ha").orderBy("crop", "season", "year")
 
 
-def environment(env: DataFrame, district_id: int, metric: str | None = None, season: str | None = None) -> DataFrame:
+def environment(
+    env: DataFrame, district_id: int | None = None, metric: str | None = None, season: str | None = None
+) -> DataFrame:
+    """Seasonal measurements of one site, or of all."""
     rows = filtered(env, district_id=district_id, metric=metric, season=season)
-    return rows.select("year", "season", "metric", "value").orderBy("metric", "season", "year")
+    columns = ["district_id", "year", "season", "metric", "value"]
+    return rows.select(*columns).orderBy("district_id", "metric", "season", "year")
 
 
 def compare_sites(predictions: DataFrame, districts: DataFrame, slugs: Sequence[str], crop: str) -> DataFrame:

@@ -105,7 +105,7 @@ def fill_report(daily: DataFrame, floor: float = -900.0) -> DataFrame:
 
 def read_names(spark: SparkSession, path: str) -> list[str]:
     """Ordered name list, one per line (the feature contract: tens of names)."""
-    lines = spark.read.option("wholetext", True).text(path).first()
+    lines = spark.read.text(path, wholetext=True).first()
     return [x.strip() for x in (lines[0] if lines else "").splitlines() if x.strip()]
 
 
@@ -115,7 +115,7 @@ def read_overrides(spark: SparkSession, path: str) -> DataFrame:
     empty = spark.createDataFrame([], T.StructType([T.StructField("check_id", T.StringType()), *sc.OVERRIDE.fields]))
     if not exists(spark, path):
         return empty
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     entries = text.select(F.explode(F.from_json("value", register)).alias("check_id", "o"))
     return entries.select("check_id", "o.*")
 
@@ -124,13 +124,13 @@ def read_parameters(spark: SparkSession, path: str) -> dict:
     """Small JSON object of model parameters as a driver dict."""
     import json
 
-    return json.loads(spark.read.option("wholetext", True).text(path).first()[0])
+    return json.loads(spark.read.text(path, wholetext=True).first()[0])
 
 
 def read_drift_baseline(spark: SparkSession, path: str) -> DataFrame:
     """Stored baseline: feature -> statistics, as rows."""
     stats = T.StructType([T.StructField(c, T.DoubleType()) for c in ("mean", "std", "min", "max", "p05", "p95")])
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     rows = text.select(F.explode(F.from_json("value", T.MapType(T.StringType(), stats))).alias("feature", "s"))
     return rows.select("feature", "s.*")
 
