@@ -12,9 +12,10 @@ from pyspark.sql import types as T
 
 from agropanel.functions.scalars import _col
 
-# Length limits and the entities that are decoded.
+# Length limits and the entities that are decoded; the closing semicolon may be missing.
 LIMITS = {"category": 80, "query": 200, "title": 160, "snippet": 280, "url": 500}
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&#x27;": "'", "&nbsp;": " ", "&amp;": "&"}
+ENTITIES = {"&lt;?": "<", "&gt;?": ">", "&quot;?": '"', "&#39;?": "'", "&#x27;?": "'", "&nbsp;?": "\u00a0", "&copy;?": "\u00a9",
+            "&middot;?": "\u00b7", "&amp;?": "&"}
 BLANKS = r"(?U)[\s\x1c-\x1f]+"
 LINK = r"(?i)^https?://[^\s<>\"']+$"
 
@@ -22,8 +23,8 @@ LINK = r"(?i)^https?://[^\s<>\"']+$"
 def decode_entities(c) -> Column:
     """Each entity once: the ampersand last, so that an escaped entity is not decoded twice."""
     text = _col(c)
-    for entity, char in ENTITIES.items():
-        text = F.replace(text, F.lit(entity), F.lit(char))
+    for pattern, char in ENTITIES.items():
+        text = F.regexp_replace(text, pattern, char)
     return text
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from agropanel.functions import classify as K
 from agropanel.functions import seasons as S
 from agropanel.functions.scalars import zscore
+from agropanel.lineage import cut
 
 SITE = ("state", "district")
 
@@ -146,8 +147,9 @@ def live_kharif_rai(live: DataFrame, history: DataFrame, max_missing: float = 0.
         baseline_with_fallback(live, history, "nasa_rainfall_kharif"),
         "cur_rain_kharif", "hist_mean", "hist_std", "cur_rai", "cur_drought", "cur_flood",
     )
-    share = scored.agg(F.avg(F.col("cur_rai").isNull().cast("int"))).scalar()
-    guard = F.when(
-        share > max_missing, F.raise_error(F.lit("too many sites without a rainfall baseline")).cast("boolean")
-    ).otherwise(F.lit(True))
-    return scored.where(F.col("cur_rai").isNotNull() & guard)
+    # one row per site, needed for the share and for the result
+    scored = cut(scored)
+    share = scored.agg(F.avg(F.col("cur_rai").isNull().cast("int"))).first()[0]
+    if share is not None and share > max_missing:
+        raise RuntimeError(f"too many sites without a rainfall baseline: {share:.0%}")
+    return scored.where(F.col("cur_rai").isNotNull())

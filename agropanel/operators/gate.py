@@ -54,30 +54,32 @@ def schema_consistency(spark: SparkSession, models: Mapping[str, Sequence[str] |
 def concentration(df: DataFrame, level: str, measure: str | None = None) -> DataFrame:
     """One row: the most frequent level, its share, and how a measure spreads overall and inside that level.
 
-    Moments per level are merged by a second small aggregation, so the table is read once and a level that holds
-    nearly all rows is still aggregated in parallel.
+    Levels and total come out of one rollup, so the table is read once, and a level that holds nearly all rows is
+    still aggregated in parallel.
     """
     x = F.col(measure).cast("double") if measure else F.lit(None).cast("double")
-    per_level = df.groupBy(F.col(level).alias("level")).agg(
-        F.count(F.lit(1)).alias("n"), F.count(x).alias("k"), F.stddev_samp(x).alias("s"),
-        (F.max(x) - F.min(x)).alias("r"),
+    rolled = (
+        df.select(F.col(level).alias("level"), x.alias("x"))
+        .rollup("level")
+        .agg(
+            F.grouping("level").alias("all"), F.count(F.lit(1)).alias("n"), F.count("level").alias("labelled"),
+            F.stddev_samp("x").alias("std"), (F.max("x") - F.min("x")).alias("range"),
+            F.avg(F.abs("x")).alias("mean_abs"), F.kurtosis("x").alias("kurtosis"),
+        )
     )
-    overall = df.agg(
-        F.count(F.lit(1)).alias("n_rows"), F.count(level).alias("n_labelled"), F.stddev_samp(x).alias("measure_std"),
-        (F.max(x) - F.min(x)).alias("measure_range"), F.avg(F.abs(x)).alias("measure_mean_abs"),
-        F.kurtosis(x).alias("measure_kurtosis"),
+    total = F.col("all") == 1
+    labelled = ~total & F.col("level").isNotNull()
+    one = rolled.agg(
+        *[F.max(F.when(total, F.col(c))).alias(c) for c in ("n", "labelled", "std", "range", "mean_abs", "kurtosis")],
+        F.max_by(F.struct("level", "n", "std", "range"), F.when(labelled, F.struct("n", "level"))).alias("top"),
     )
-    top = per_level.where(F.col("level").isNotNull()).agg(
-        F.max_by(F.struct("level", "n", "s", "r"), F.struct("n", "level")).alias("t")
-    )
-    # two one-row frames
-    both = overall.withColumn("_k", F.lit(1)).join(top.withColumn("_k", F.lit(1)), "_k").drop("_k")
-    return both.select(
-        "n_rows",
-        F.col("t.level").alias("top_level"),
-        F.try_divide(F.col("t.n"), F.col("n_labelled")).alias("top_share"),
-        "measure_std", "measure_range", "measure_mean_abs", "measure_kurtosis",
-        F.col("t.s").alias("top_std"), F.col("t.r").alias("top_range"),
+    return one.select(
+        F.coalesce("n", F.lit(0)).alias("n_rows"),
+        F.col("top.level").alias("top_level"),
+        F.try_divide(F.col("top.n"), F.col("labelled")).alias("top_share"),
+        F.col("std").alias("measure_std"), F.col("range").alias("measure_range"),
+        F.col("mean_abs").alias("measure_mean_abs"), F.col("kurtosis").alias("measure_kurtosis"),
+        F.col("top.std").alias("top_std"), F.col("top.range").alias("top_range"),
     )
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from agropanel.functions import scalars as f
-from agropanel.operators.ranks import null_safe_join, wide_quantiles
+from agropanel.operators.ranks import wide_quantiles
 
 PERIOD = r"^(Jan|May|Aug|Nov)-\d{2}$"
 SITE = ("state", "district")
@@ -31,9 +31,9 @@ def wells_long(wide: DataFrame, ids: Sequence[str] = SITE, century: int = 2000)
 
 def wells_by_year(long: DataFrame, keys: Sequence[str] = (*SITE, "year"), prefix: str = "gw_depth") -> DataFrame:
     """Median and mean depth and number of wells; the median is exact and does not gather a group's readings."""
-    stats = long.groupBy(*keys).agg(F.avg("gwl").alias(f"{prefix}_mean"), F.count("gwl").alias("n_wells"))
-    median = wide_quantiles(long, "gwl", {f"{prefix}_median": 0.5}, list(keys))
-    return null_safe_join(stats, median, keys)
+    return wide_quantiles(
+        long, "gwl", {f"{prefix}_median": 0.5}, list(keys), mean=f"{prefix}_mean", count="n_wells"
+    )
 
 
 def pre_and_post(long: DataFrame) -> DataFrame:

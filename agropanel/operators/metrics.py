@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from agropanel.operators.ranks import exact_quantiles
@@ -116,8 +116,8 @@ def importance(df: DataFrame, attribution: str = "attributions") -> DataFrame:
     """Mean absolute attribution per feature and its share of the total."""
     long = df.select(F.explode(attribution).alias("feature", "value"))
     per = long.groupBy("feature").agg(F.avg(F.abs("value")).alias("importance"))
-    # the total of a handful of features
-    total = per.agg(F.sum("importance")).scalar()
+    # a window over one row per feature
+    total = F.sum("importance").over(Window.partitionBy(F.lit(0)))
     return per.withColumn("pct_of_total", F.try_divide(F.col("importance") * 100, total))
 
 
@@ -141,17 +141,20 @@ def persistence(df: DataFrame) -> DataFrame:
 
 
 def walk_forward_persistence(panel: DataFrame, min_train_years: int = 10, min_rows: int = 5) -> DataFrame:
-    """Metrics per test year of a forecast that needs no fit; training sizes are running counts over years."""
-    from pyspark.sql import Window
-
-    first = panel.agg(F.min("year")).scalar()
-    folds = persistence(panel).groupBy("year").agg(*metric_columns("yield_kg_ha", "pred"))
-    # one row per year
-    counts = panel.groupBy("year").agg(F.count(F.lit(1)).alias("_rows"))
-    earlier = Window.partitionBy(F.lit(0)).orderBy("year").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("n_train", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
-    joined = folds.join(counts, "year").where((F.col("year") >= first + min_train_years) & (F.col("n") >= min_rows))
-    return joined.select(F.col("year").alias("test_year"), "n_train", F.col("n").alias("n_test"), "rmse", "mape", "r2")
+    """Metrics per test year of a forecast that needs no fit.
+
+    One aggregation by year; training sizes are running counts over the few year rows.
+    """
+    per_year = panel.withColumn("pred", F.col("lag_yield_1")).groupBy("year").agg(
+        *metric_columns("yield_kg_ha", "pred"), F.count(F.lit(1)).alias("_rows")
+    )
+    years = Window.partitionBy(F.lit(0))
+    earlier = years.orderBy("year").rowsBetween(Window.unboundedPreceding, -1)
+    folds = per_year.withColumns(
+        {"n_train": F.coalesce(F.sum("_rows").over(earlier), F.lit(0)), "_first": F.min("year").over(years)}
+    )
+    folds = folds.where((F.col("year") >= F.col("_first") + min_train_years) & (F.col("n") >= min_rows))
+    return folds.select(F.col("year").alias("test_year"), "n_train", F.col("n").alias("n_test"), "rmse", "mape", "r2")
 
 
 def compare_folds(baseline: DataFrame, variant: DataFrame) -> DataFrame:

@@ -2,8 +2,8 @@
 
 Rows are first reduced to distinct keys with counts. The key space is then cut into ranges at split points taken
 from a bounded hash sample, so each range holds a bounded share of the keys whatever group they belong to. Counts
-per range give each range its offset; only inside a range are rows ordered by a window. The split points are
-literals in the plan, so a lost executor recomputes the same ranges.
+per range give each range its offset; only inside a range are rows ordered by a window. The counted keys are
+checkpointed and the split points are literals in the plan, so a lost executor leads to the same ranges again.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from agropanel.lineage import cut
+
 SAMPLE_PER_PIECE = 16
 MAX_PIECES = 512
 
@@ -62,7 +64,8 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
 def _cumulative(df: DataFrame, by: Sequence[str], value: str, pieces: int | None):
     """(counted keys with their range, ranges with the number of rows before them inside their group)."""
     keys = [*by, value]
-    counted = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    # read three times below: for the split points, the range totals and the ranks
+    counted = cut(df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")))
     points = split_points(counted, keys, pieces or default_pieces(df))
     counted = counted.withColumn("_range", range_number(keys, points, counted.schema))
     spans = counted.groupBy(*by, "_range").agg(F.sum("_n").alias("_range_n"))
@@ -80,6 +83,11 @@ def exact_quantiles(
     """Linearly interpolated quantiles per group as rows (by…, p, quantile)."""
     by = list(by)
     counted, spans = _cumulative(df.select(*by, value), by, value, pieces)
+    return _pick(counted, spans, value, probabilities, by)
+
+
+def _pick(counted: DataFrame, spans: DataFrame, value: str, probabilities: Sequence[float], by: Sequence[str]) -> DataFrame:
+    """Values at the wanted positions; only ranges that hold one are ordered."""
 
     def low(p):
         return F.floor(F.lit(float(p)) * (F.col("_total") - 1))
@@ -119,17 +127,27 @@ def exact_quantiles(
 
 
 def wide_quantiles(
-    df: DataFrame, value: str, named: dict[str, float], by: Sequence[str] = (), pieces: int | None = None
+    df: DataFrame, value: str, named: dict[str, float], by: Sequence[str] = (), pieces: int | None = None,
+    mean: str | None = None, count: str | None = None,
 ) -> DataFrame:
-    """exact_quantiles with one column per name."""
-    long = exact_quantiles(df, value, list(named.values()), by, pieces)
+    """Quantiles with one column per name; mean and number of values come from the same counted keys."""
+    by = list(by)
+    counted, spans = _cumulative(df.select(*by, value), by, value, pieces)
+    long = _pick(counted, spans, value, list(named.values()), by)
     picks = [F.max(F.when(F.col("p") == float(p), F.col("quantile"))).alias(name) for name, p in named.items()]
-    return long.groupBy(*by).agg(*picks)
+    out = long.groupBy(*by).agg(*picks)
+    extra = []
+    if mean:
+        extra.append((F.sum(F.col(value) * F.col("_n")) / F.sum("_n")).alias(mean))
+    if count:
+        extra.append(F.sum("_n").alias(count))
+    return null_safe_join(out, counted.groupBy(*by).agg(*extra), by) if extra else out
 
 
 def dense_numbers(keys: DataFrame, columns: Sequence[str], name: str = "rank", pieces: int | None = None) -> DataFrame:
     """Consecutive numbers from 1 in key order over distinct keys, without a single-partition sort."""
     columns = list(columns)
+    keys = cut(keys)
     points = split_points(keys, columns, pieces or default_pieces(keys))
     placed = keys.withColumn("_range", range_number(columns, points, keys.schema))
     spans = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from agropanel.functions import classify as K
@@ -59,5 +59,5 @@ def feed_order(df: DataFrame) -> DataFrame:
 def alert_counts(df: DataFrame, level: str = "alert_level") -> DataFrame:
     """Absolute and relative frequency per level."""
     counts = df.where(F.col(level).isNotNull()).groupBy(level).agg(F.count(F.lit(1)).alias("n"))
-    total = df.agg(F.count(level)).scalar()
-    return counts.withColumn("share", F.col("n") / total)
+    # a window over one row per level
+    return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0))))

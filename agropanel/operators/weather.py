@@ -40,11 +40,17 @@ def degree_days() -> Column:
 
 
 def with_day_bits(daily: DataFrame, day: Column) -> DataFrame:
-    """Adds the word and the two-bit code (present, and dry or not) of a day counted from the block start."""
+    """Adds the daily terms of the features, and the word and two-bit code (present, and dry or not) of the day
+    counted from the block start."""
     code = F.when(F.col("rainfall_mm") < DRY_DAY_MM, F.lit(3)).otherwise(F.lit(2)).cast("long")
     place = (2 * F.pmod(day, F.lit(_DAYS_PER_WORD))).cast("int")
-    return daily.withColumn("_word", F.floor(day / _DAYS_PER_WORD).cast("int")).withColumn(
-        "_bits", F.call_function("shiftleft", code, place)
+    return daily.withColumns(
+        {
+            "_word": F.floor(day / _DAYS_PER_WORD).cast("int"),
+            "_bits": F.call_function("shiftleft", code, place),
+            "_gdd": degree_days(),
+            "_et0": evapotranspiration(),
+        }
     )
 
 
@@ -87,8 +93,8 @@ def block_partials(member: Column, name: str, max_days: int = 153) -> list[Colum
         F.avg(over(F.col("temp_avg_c"))).alias(f"_{name}_tavg"),
         F.avg(over(F.col("temp_max_c"))).alias(f"_{name}_tmax"),
         F.avg(over(F.col("humidity_pct"))).alias(f"_{name}_humidity"),
-        F.sum(over(degree_days())).alias(f"_{name}_gdd"),
-        F.sum(over(evapotranspiration())).alias(f"_{name}_et0"),
+        F.sum(over(F.col("_gdd"))).alias(f"_{name}_gdd"),
+        F.sum(over(F.col("_et0"))).alias(f"_{name}_et0"),
         *dry_words(member, name, max_days),
     ]
 
@@ -112,11 +118,11 @@ def agronomic_columns(name: str, suffix: str, prefix: str = "", max_days: int =
 def seasonal(daily: DataFrame, keys: Sequence[str] = ("state", "district")) -> DataFrame:
     """One row per site and crop year with the Kharif, Rabi and agricultural-year blocks."""
     keys = list(keys)
-    days = with_day_bits(
-        daily.withColumn("year", S.crop_year("date")).withColumn("_season", S.season_name("date")),
-        S.block_day("date"),
+    tagged = daily.withColumns(
+        {"year": S.crop_year("date"), "_is_k": S.is_kharif("date"), "_is_r": S.is_rabi("date")}
     )
-    kharif, rabi = F.col("_season") == "Kharif", F.col("_season") == "Rabi"
+    days = with_day_bits(tagged, S.block_day("date"))
+    kharif, rabi = F.col("_is_k"), F.col("_is_r")
     wide = days.groupBy(*keys, "year").agg(
         *block_partials(kharif, "k"),
         *block_partials(rabi, "r"),
@@ -217,19 +223,24 @@ def current_season(
 
 
 def live_kharif(
-    daily: DataFrame, year: int, scale: DataFrame | None = None, keys: Sequence[str] = ("state", "district")
+    daily: DataFrame,
+    year: int,
+    scale: DataFrame | None = None,
+    keys: Sequence[str] = ("state", "district"),
+    sites: DataFrame | None = None,
 ) -> DataFrame:
     """Monsoon season of one year per site; with `scale` (keys, rain_scale, live_mean) on the training scale.
 
-    The factor is constant per site, so it is applied to each daily value before the features are computed.
+    The factor is constant per site, so it is applied to each daily value before the features are computed. Every
+    site keeps a row, also one without any day in this season; a given site table saves looking for them in the
+    daily rows.
     """
     keys = list(keys)
-    season = daily.where((F.year("date") == year) & S.is_kharif("date"))
-    # every site keeps a row, also one without any day in this season
-    sites = daily.select(*keys).distinct()
-    days = season if scale is None else season.join(scale.select(*keys, "rain_scale", "live_mean"), keys, "left")
+    days = daily.where((F.year("date") == year) & S.is_kharif("date"))
     if scale is None:
-        days = days.withColumn("rain_scale", F.lit(1.0)).withColumn("live_mean", F.lit(None).cast("double"))
+        days = days.withColumns({"rain_scale": F.lit(1.0), "live_mean": F.lit(None).cast("double")})
+    else:
+        days = days.join(scale.select(*keys, "rain_scale", "live_mean"), keys, "left")
     raw = F.col("rainfall_mm")
     days = days.withColumn("_raw", raw).withColumn("rainfall_mm", raw * F.col("rain_scale"))
     days = with_day_bits(days, S.block_day("date"))
@@ -240,8 +251,6 @@ def live_kharif(
         F.max("rain_scale").alias("rain_scale"),
         F.max("live_mean").alias("live_mean"),
     )
-    usable = (F.col("kharif_days_observed") > 0) & F.col("rain_scale").isNotNull()
-    agronomic = [c for c in ("gdd", "max_dry_streak", "rainfall_cv", "water_balance")]
     out = wide.select(
         *keys,
         "kharif_days_observed",
@@ -253,9 +262,10 @@ def live_kharif(
         F.col("_k_tmax").alias("cur_temp_max_kharif"),
         F.col("_k_humidity").alias("cur_humidity_kharif"),
         *agronomic_columns("k", "kharif", "cur_"),
-        usable.alias("_usable"),
     )
-    for c in agronomic:
-        out = out.withColumn(f"cur_{c}_kharif", F.when(F.col("_usable"), F.col(f"cur_{c}_kharif")))
-    filled = sites.join(out.drop("_usable"), keys, "left")
+    usable = (F.col("kharif_days_observed") > 0) & F.col("rain_scale").isNotNull()
+    names = [f"cur_{c}_kharif" for c in ("gdd", "max_dry_streak", "rainfall_cv", "water_balance")]
+    out = out.withColumns({c: F.when(usable, F.col(c)) for c in names})
+    everyone = (daily if sites is None else sites).select(*keys).distinct()
+    filled = everyone.join(out, keys, "left")
     return filled.withColumn("kharif_days_observed", F.coalesce("kharif_days_observed", F.lit(0)))

@@ -11,15 +11,16 @@ site AS (
          74.0::DOUBLE + (s_suppkey % 89) * 0.05::DOUBLE AS lon
   FROM supplier JOIN nation ON s_nationkey = n_nationkey),
 shipped AS (
-  SELECT l_suppkey AS site, CAST(l_shipdate AS DATE) AS date, sum(l_quantity) AS q, avg(l_discount) AS d,
-         avg(l_tax) AS t, avg(l_extendedprice) AS p
+  SELECT l_suppkey AS site, CAST(l_shipdate AS DATE) AS date, sum(l_quantity) AS q,
+         sum(round(l_discount * 100)::BIGINT)::DOUBLE / count(*) AS d, sum(round(l_tax * 100)::BIGINT)::DOUBLE / count(*) AS t,
+         sum(round(l_extendedprice * 100)::BIGINT)::DOUBLE / count(*) AS p
   FROM lineitem WHERE l_shipdate < TIMESTAMP '2001-11-01' GROUP BY 1, 2),
 calendar AS (
   SELECT CAST(unnest(generate_series(DATE '1995-01-01', DATE '2001-10-31', INTERVAL 1 DAY)) AS DATE) AS date),
 daily AS (
-  SELECT state, district, lat, lon, c.date, coalesce(q, 0)::DOUBLE AS rainfall_mm, 18 + 250 * d AS temp_max_c,
-         14 - 200 * t AS temp_min_c, ((18 + 250 * d) + (14 - 200 * t)) / 2 AS temp_avg_c,
-         1000 * t AS humidity_pct, 10 + p / 5000 AS solar_radiation,
+  SELECT state, district, lat, lon, c.date, coalesce(q, 0)::DOUBLE AS rainfall_mm, 18 + 2.5::DOUBLE * d AS temp_max_c,
+         14 - 2 * t AS temp_min_c, ((18 + 2.5::DOUBLE * d) + (14 - 2 * t)) / 2 AS temp_avg_c,
+         10 * t AS humidity_pct, 10 + p / 500000 AS solar_radiation,
          year(c.date) AS y, month(c.date) AS m,
          year(c.date) - CASE WHEN month(c.date) < 6 THEN 1 ELSE 0 END AS cy,
          CASE WHEN month(c.date) BETWEEN 6 AND 10 THEN 'Kharif'

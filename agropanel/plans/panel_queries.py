@@ -252,7 +252,7 @@ def live_override(spark, sf_dir):
 )
 def live_known_override(spark, sf_dir):
     days = fx.daily(spark, sf_dir)
-    live = weather.live_kharif(days, 2001)
+    live = weather.live_kharif(days, 2001, sites=fx.supplier_sites(spark, sf_dir))
     rows = refresh.live_kharif_rows(site_history(spark, sf_dir), live)
     return tidy(rows.select(*KEYS, "nasa_rainfall_kharif", "nasa_temp_avg_kharif"))
 

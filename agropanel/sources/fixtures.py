@@ -36,6 +36,23 @@ def _nation_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").select(F.col("n_nationkey"), F.col("n_name").alias("state"))
 
 
+def with_supplier(df: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """State, district and coordinates of `site`.
+
+    The two dimensions are joined one after the other: a dimension joined beforehand is estimated as the product of
+    its parts, and the planner would then rather broadcast the facts.
+    """
+    key = F.col("s_suppkey")
+    suppliers = table(spark, sf_dir, "supplier").select(
+        key.alias("site"),
+        F.col("s_nationkey").alias("n_nationkey"),
+        F.col("s_name").alias("district"),
+        (24.0 + (key % 97) * 0.05).alias("lat"),
+        (74.0 + (key % 89) * 0.05).alias("lon"),
+    )
+    return df.join(suppliers, "site").join(_nation_names(spark, sf_dir), "n_nationkey").drop("n_nationkey")
+
+
 def supplier_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per weather site; coordinates are spread over a grid by key."""
     key = F.col("s_suppkey")
@@ -52,6 +69,11 @@ def supplier_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def cents(column: str):
+    """Hundredths as whole numbers: their sums do not depend on the order of the rows."""
+    return F.round(F.col(column) * 100).cast("long")
+
+
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily weather per supplier over the whole calendar; days without a shipment are dry and unmeasured.
 
@@ -66,21 +88,23 @@ def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("l_suppkey").alias("site"),
             F.col("l_shipdate").cast("date").alias("_from"),
             F.col("l_quantity").alias("q"),
-            F.col("l_discount").alias("d"),
-            F.col("l_tax").alias("t"),
-            F.col("l_extendedprice").alias("p"),
+            cents("l_discount").alias("d"),
+            cents("l_tax").alias("t"),
+            cents("l_extendedprice").alias("p"),
         )
     )
     openings = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("site"), first.alias("_from"))
     per_day = (
         shipped.unionByName(openings, allowMissingColumns=True)
         .groupBy("site", "_from")
-        .agg(F.sum("q").alias("q"), F.avg("d").alias("d"), F.avg("t").alias("t"), F.avg("p").alias("p"))
+        .agg(F.sum("q").alias("q"), *[(F.sum(c) / F.count(c)).alias(c) for c in ("d", "t", "p")])
     )
     following = F.lead("_from").over(Window.partitionBy("site").orderBy("_from"))
-    spans = per_day.withColumn("_upto", F.coalesce(F.date_sub(following, 1), last))
-    dense = spans.withColumn("date", F.explode(F.sequence("_from", "_upto")))
-    shipped_today = F.col("date") == F.col("_from")
+    # whole-number offsets: a sequence of dates would go through calendar arithmetic for every element
+    spans = per_day.withColumn("_gap", F.datediff(F.coalesce(following, F.date_add(last, 1)), F.col("_from")))
+    dense = spans.withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_gap") - 1)))
+    dense = dense.withColumn("date", F.date_add(F.col("_from"), F.col("_i")))
+    shipped_today = F.col("_i") == 0
 
     def measured(x):
         return F.when(shipped_today, x)
@@ -89,13 +113,13 @@ def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
         "site",
         "date",
         F.coalesce(measured(F.col("q")), F.lit(0.0)).alias("rainfall_mm"),
-        measured(18 + 250 * F.col("d")).alias("temp_max_c"),
-        measured(14 - 200 * F.col("t")).alias("temp_min_c"),
-        measured(((18 + 250 * F.col("d")) + (14 - 200 * F.col("t"))) / 2).alias("temp_avg_c"),
-        measured(1000 * F.col("t")).alias("humidity_pct"),
-        measured(10 + F.col("p") / 5000).alias("solar_radiation"),
+        measured(18 + 2.5 * F.col("d")).alias("temp_max_c"),
+        measured(14 - 2 * F.col("t")).alias("temp_min_c"),
+        measured(((18 + 2.5 * F.col("d")) + (14 - 2 * F.col("t"))) / 2).alias("temp_avg_c"),
+        measured(10 * F.col("t")).alias("humidity_pct"),
+        measured(10 + F.col("p") / 500000).alias("solar_radiation"),
     )
-    return dense.join(supplier_sites(spark, sf_dir), "site").drop("site")
+    return with_supplier(dense, spark, sf_dir).drop("site")
 
 
 def daily_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,6 +127,15 @@ def daily_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return daily(spark, sf_dir).fillna(-999.0, ["temp_max_c", "temp_min_c", "temp_avg_c", "solar_radiation"])
 
 
+def with_customer(df: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """State, district and crop of `custkey`; joined like the suppliers."""
+    customers = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("custkey"), F.col("c_nationkey").alias("n_nationkey"), F.col("c_name").alias("district"),
+        F.col("c_mktsegment").alias("crop"),
+    )
+    return df.join(customers, "custkey").join(_nation_names(spark, sf_dir), "n_nationkey").drop("n_nationkey")
+
+
 def customer_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("c_custkey")
     return (
@@ -127,7 +160,7 @@ def yield_panel(spark: SparkSession, sf_dir: str, until: str | None = None) -> D
     yearly = orders.groupBy(F.col("o_custkey").alias("custkey"), F.year("o_orderdate").alias("year")).agg(
         F.avg("o_totalprice").alias("yield_kg_ha"), F.count(F.lit(1)).cast("double").alias("area_ha")
     )
-    return yearly.join(customer_sites(spark, sf_dir), "custkey").select(
+    return with_customer(yearly, spark, sf_dir).select(
         "state", "district", "crop", F.lit("S").alias("season"), "year", "yield_kg_ha", "area_ha", "custkey"
     )
 
@@ -142,7 +175,7 @@ def season_yields(spark: SparkSession, sf_dir: str) -> DataFrame:
         season.alias("season"),
         F.col("o_orderstatus").alias("record"),
     ).agg(F.avg("o_totalprice").alias("yield_kg_ha"), F.count(F.lit(1)).cast("double").alias("area_ha"))
-    return yearly.join(customer_sites(spark, sf_dir), "custkey").select(
+    return with_customer(yearly, spark, sf_dir).select(
         "state", "district", "crop", "season", "year", "yield_kg_ha", "area_ha", "record"
     )
 
@@ -165,7 +198,7 @@ def covariates(spark: SparkSession, sf_dir: str) -> DataFrame:
             (F.sum("q") / 10000).alias("irrigated_area_1000ha"),
         )
     )
-    return per_year.join(customer_sites(spark, sf_dir), "custkey").select(
+    return with_customer(per_year, spark, sf_dir).select(
         "state", "district", "year", "fertilizer_tons", "nitrogen_tons", "irrigated_area_1000ha"
     )
 
@@ -184,7 +217,7 @@ def site_yields(spark: SparkSession, sf_dir: str) -> DataFrame:
         .agg(F.avg("l_extendedprice").alias("yield_kg_ha"), F.count(F.lit(1)).cast("double").alias("area_ha"))
     )
     season = F.when(F.col("crop") == "Wheat", "Rabi").when(F.col("crop") == "Rice", "Kharif")
-    named = yearly.join(supplier_sites(spark, sf_dir), "site").withColumn("season", season)
+    named = with_supplier(yearly, spark, sf_dir).withColumn("season", season)
     return named.select("state", "district", "crop", "season", "year", "yield_kg_ha", "area_ha")
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from agropanel import schema as sc
 from agropanel.functions.scalars import season_or_default
+from agropanel.lineage import cut
 from agropanel.operators.panel import CROP_SEASON, feature_map
 from agropanel.sources.readers import exists, read_table
 
@@ -74,20 +75,6 @@ def upsert(
     overwrite(cut(merged), path, partition_by)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the session names; a temporary folder only where none is set (tests)."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            import tempfile
-
-            folder = tempfile.mkdtemp(prefix="agropanel-checkpoint-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
-
-
 # ---- run-scoped rows ------------------------------------------------------------------------------------------
 
 def prediction_rows(df: DataFrame, features: Sequence[str], run_id: str) -> DataFrame:
