@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from agropanel.functions import scalars as f
-from agropanel.operators import anomaly, groundwater, panel, weather
+from agropanel.operators import anomaly, gate, groundwater, metrics, panel, weather
 from agropanel.plans import oracle as o
-from agropanel.plans import refresh
+from agropanel.plans import refresh, views
 from agropanel.plans.registry import register, tidy
 from agropanel.sources import fixtures as fx
 
@@ -635,3 +635,89 @@ def state_summary(spark, sf_dir):
         F.sum("flood_flag").alias("n_wet"),
         F.count_if(F.col("rainfall_anomaly_index").isNull()).alias("n_missing"),
     )
+
+
+@register(
+    "distinct_counts",
+    o.query(
+        o.YIELD,
+        """SELECT crop, count(DISTINCT district)::BIGINT AS n_districts, count(DISTINCT state)::BIGINT AS n_states,
+        count(DISTINCT year)::BIGINT AS n_years FROM yield_panel GROUP BY ALL""",
+    ),
+)
+def distinct_counts(spark, sf_dir):
+    return fx.yield_panel(spark, sf_dir).groupBy("crop").agg(
+        F.countDistinct("district").alias("n_districts"), F.countDistinct("state").alias("n_states"),
+        F.countDistinct("year").alias("n_years"),
+    )
+
+
+@register(
+    "distinct_sites",
+    o.query(o.YIELD, "SELECT DISTINCT state, district FROM yield_panel"),
+)
+def distinct_sites(spark, sf_dir):
+    return fx.yield_panel(spark, sf_dir).select(*SITE).distinct()
+
+
+@register(
+    "describe_column",
+    o.query(
+        o.YIELD,
+        " UNION ALL ".join(
+            f"SELECT '{name}' AS summary, {o.num(expr, 2, 'value')} FROM yield_panel"
+            for name, expr in (
+                ("count", "count(yield_kg_ha)"), ("mean", "avg(yield_kg_ha)"), ("stddev", "stddev_samp(yield_kg_ha)"),
+                ("min", "min(yield_kg_ha)"), ("max", "max(yield_kg_ha)"),
+            )
+        ),
+    ),
+)
+def describe_column(spark, sf_dir):
+    summary = metrics.describe(fx.yield_panel(spark, sf_dir), "yield_kg_ha")
+    return tidy(summary.select("summary", F.col("yield_kg_ha").cast("double").alias("value")), 2)
+
+
+@register(
+    "top_trends",
+    o.query(
+        _ERRORS,
+        f"""SELECT district, {o.num('slope', 4, 'yield_trend')}, {o.num('abs_error')} FROM errors JOIN trends USING (district)
+        ORDER BY slope DESC LIMIT 5""",
+    ),
+)
+def top_trends(spark, sf_dir):
+    """Five sites with the steepest rise, with their forecast error."""
+    trends = groundwater.trend(fx.yield_panel(spark, sf_dir), "district", "year", "yield_kg_ha", "yield_trend")
+    joined = trends.join(groundwater.abs_error(persistence_errors(spark, sf_dir), "district"), "district")
+    return tidy(views.largest(joined, "yield_trend").select("district", "yield_trend", "abs_error"))
+
+
+@register(
+    "wells_implausible",
+    o.query(
+        _WELLS,
+        """SELECT count(*) FILTER (WHERE may > 32 OR nov > 32)::BIGINT AS n_implausible FROM (
+        SELECT state, district, year, quantile_cont(gwl, 0.5) FILTER (WHERE month = 'May') AS may,
+               quantile_cont(gwl, 0.5) FILTER (WHERE month = 'Nov') AS nov
+        FROM readings WHERE gwl IS NOT NULL AND month IN ('May', 'Nov') GROUP BY ALL)""",
+    ),
+)
+def wells_implausible(spark, sf_dir):
+    long = groundwater.wells_long(fx.wells_wide(spark, sf_dir), SITE, 1900)
+    return groundwater.implausible_depths(groundwater.pre_and_post(long), 32.0)
+
+
+@register(
+    "unresolved_share",
+    o.query(
+        o.YIELD + "," + o.COVARIATES,
+        f"""SELECT {o.num('avg((nitrogen_tons IS NULL)::INT)', 6, 'share')},
+        (avg((nitrogen_tons IS NULL)::INT) <= 0.1)::INTEGER AS passed
+        FROM yield_panel LEFT JOIN covariates USING (state, district, year)""",
+    ),
+)
+def unresolved_share(spark, sf_dir):
+    joined = fx.yield_panel(spark, sf_dir).join(fx.covariates(spark, sf_dir), [*SITE, "year"], "left")
+    out = gate.unresolved_share(joined, "nitrogen_tons")
+    return tidy(out.withColumn("passed", F.col("passed").cast("int")), 6)

@@ -10,7 +10,7 @@ from agropanel.operators.anomaly import rai_history
 from agropanel.plans import oracle as o
 from agropanel.plans.registry import register, tidy
 from agropanel.sources import fixtures as fx
-from agropanel.sources import readers
+from agropanel.sources import readers, sinks
 
 SITE = ["state", "district"]
 FIRST_CUT = "2000-06-30"
@@ -612,3 +612,37 @@ def feature_range_gate(spark, sf_dir):
     columns = ["nasa_rainfall_rabi", "gdd_kharif", "rainfall_anomaly_index"]
     found = gate.feature_ranges(rows.where(F.col("year") < 2001), rows.where(F.col("year") == 2001), columns)
     return found.select(F.substring_index("detail", " ", 1).alias("detail_feature"), "status")
+
+
+@register(
+    "gate_findings",
+    o.query(
+        ALERTS_SQL
+        + """,
+        lost AS (SELECT count(*) AS n FROM customer WHERE NOT EXISTS (
+          SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderdate >= TIMESTAMP '2001-01-01'))""",
+        """SELECT 0::INTEGER AS seq, 'schema_consistency' AS check_name, 'pass' AS status
+        UNION ALL SELECT 1::INTEGER, 'output_files_present', 'pass'
+        UNION ALL SELECT 2::INTEGER, 'weather_fetch_completeness', CASE WHEN n > 0 THEN 'fail' ELSE 'pass' END FROM lost
+        UNION ALL SELECT 3::INTEGER, 'plausible_values',
+          CASE WHEN count(*) FILTER (WHERE pred_yield IS NULL OR NOT pred_yield BETWEEN 0 AND 1000000) > 0 THEN 'fail'
+               ELSE 'pass' END FROM alerts
+        UNION ALL SELECT 4::INTEGER, 'classification_diversity', CASE WHEN max(n) / sum(n) <= 0.85 THEN 'pass' ELSE 'fail' END
+          FROM (SELECT alert_level, count(*) AS n FROM alerts GROUP BY ALL)""",
+    ),
+)
+def gate_findings(spark, sf_dir):
+    """A whole gate run over the alert feed, one row per check."""
+    feed = alerts(spark, sf_dir)
+    everyone = fx.customer_sites(spark, sf_dir)
+    landed = fx.yield_panel(spark, sf_dir).where(F.col("year") >= 2001)
+    found = gate.combine(
+        [
+            gate.schema_consistency(spark, {"model": panel.FEATURES}, panel.FEATURES),
+            gate.outputs_present(spark, {"alerts": feed}),
+            gate.fetch_completeness(sinks.failure_ledger(everyone, landed)),
+            gate.plausible_values(feed, "pred_yield", 0.0, 1000000.0),
+            gate.diversity(feed, "alert_level", "alerts", "yield_change"),
+        ]
+    )
+    return gate.rollup(found).select("seq", "check_name", "status")

@@ -56,6 +56,12 @@ def sort_any(df: DataFrame, column: str, descending: bool = False) -> DataFrame:
     return df.orderBy(c.desc_nulls_last() if descending else c.asc_nulls_last())
 
 
+def largest(df: DataFrame, column: str, n: int = 5, smallest: bool = False) -> DataFrame:
+    """The n rows with the greatest (or smallest) known values."""
+    c = F.col(column)
+    return df.where(c.isNotNull()).orderBy(c.asc() if smallest else c.desc()).limit(n)
+
+
 def page(df: DataFrame, order: Sequence[Column], limit: int = DEFAULT_LIMIT, offset: int = 0) -> DataFrame:
     if not 1 <= limit <= MAX_LIMIT or offset < 0:
         raise ValueError(f"limit must be 1 to {MAX_LIMIT} and offset not negative")

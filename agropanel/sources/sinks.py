@@ -69,10 +69,23 @@ def upsert(
     spark: SparkSession, incoming: DataFrame, path: str, keys: Sequence[str], schema, keep_first: Sequence[str] = (),
     partition_by: Sequence[str] = (),
 ) -> None:
-    """Merges into a table. A table may not be read and overwritten in one job, so the result is cut first."""
+    """Merges into a table. A table may not be read and overwritten in one job, so the result is cut first.
+
+    With partition columns, which must be part of the key, only the partitions that receive rows are read and
+    rewritten.
+    """
+    if not set(partition_by) <= set(keys):
+        raise ValueError("partition columns must be part of the key")
     existing = read_table(spark, path, schema)
-    merged = merge_rows(existing, incoming, keys, keep_first)
-    overwrite(cut(merged), path, partition_by)
+    if partition_by:
+        touched = incoming.select(*partition_by).distinct()
+        existing = existing.join(touched, list(partition_by), "left_semi").select(*schema.fieldNames())
+    merged = cut(merge_rows(existing, incoming, keys, keep_first))
+    if partition_by:
+        writer = merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy(*partition_by).parquet(path)
+    else:
+        overwrite(merged, path)
 
 
 # ---- run-scoped rows ------------------------------------------------------------------------------------------

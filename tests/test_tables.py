@@ -82,6 +82,31 @@ def test_upsert_twice_gives_the_same_table(spark, tmp_path):
     assert got == {(1, 2000): 1.0, (1, 2001): 9.0, (2, 2001): 3.0}
 
 
+def test_partitioned_upsert_rewrites_only_touched_partitions(spark, tmp_path):
+    path = str(tmp_path / "env")
+    keys = ["district_id", "year", "season", "metric"]
+    first = spark.createDataFrame([(1, 2000, "Rabi", "ndvi", 1.0), (1, 2001, "Rabi", "ndvi", 2.0)], sc.ENV_SEASONAL)
+    sinks.upsert(spark, first, path, keys, sc.ENV_SEASONAL, partition_by=["year"])
+    before = {f.name for f in (tmp_path / "env" / "year=2000").iterdir()}
+    second = spark.createDataFrame([(1, 2001, "Rabi", "ndvi", 9.0), (2, 2001, "Rabi", "ndvi", 3.0)], sc.ENV_SEASONAL)
+    sinks.upsert(spark, second, path, keys, sc.ENV_SEASONAL, partition_by=["year"])
+    assert {f.name for f in (tmp_path / "env" / "year=2000").iterdir()} == before
+    got = {(r.district_id, r.year): r.value for r in spark.read.parquet(path).collect()}
+    assert got == {(1, 2000): 1.0, (1, 2001): 9.0, (2, 2001): 3.0}
+    with pytest.raises(ValueError, match="part of the key"):
+        sinks.upsert(spark, second, path, ["district_id"], sc.ENV_SEASONAL, partition_by=["year"])
+
+
+def test_gate_report_is_written(spark, tmp_path):
+    from agropanel.operators import gate
+
+    found = gate.combine([gate.findings(spark, [("a", "pass", "fine"), ("b", "fail", "bad")])])
+    gate.write_report(found, str(tmp_path / "report"), "2026-01-01T00:00:00")
+    summary = spark.read.json(str(tmp_path / "report" / "summary")).first()
+    assert summary.passed is False and summary.failures == 1 and summary.generated_at == "2026-01-01T00:00:00"
+    assert spark.read.json(str(tmp_path / "report" / "findings")).count() == 2
+
+
 def test_upsert_keeps_the_first_known_value(spark):
     old = spark.createDataFrame([("v1", "2025-01-01", 1), ("v2", None, 1)], "model_version string, trained_at string, m int")
     new = spark.createDataFrame([("v1", "2026-01-01", 2), ("v2", "2026-01-01", 2), ("v3", "2026-01-01", 2)], old.schema)
