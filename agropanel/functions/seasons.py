@@ -66,6 +66,16 @@ def block_day(date) -> Column:
     return F.datediff(d, start)
 
 
+def between_days(date, first: str, last: str) -> Column:
+    """Range of literal days, which a Parquet scan can use to skip row groups."""
+    d = _col(date)
+    return (d >= F.lit(first).cast("date")) & (d <= F.lit(last).cast("date"))
+
+
+def kharif_days(date, year: int) -> Column:
+    return between_days(date, f"{year}-06-01", f"{year}-10-31")
+
+
 def window_label(date) -> Column:
     """Season-to-date window as text, from June 1 to the given date."""
     return F.concat(F.lit("Jun 1–"), F.date_format(_col(date), "MMM dd"))

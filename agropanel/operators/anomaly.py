@@ -90,9 +90,10 @@ def season_to_date(
     keys = list(keys)
     seen = F.col("rainfall_mm").isNotNull()
     day = S.season_day("date", month)
-    in_live = (F.year("date") == live_year) & (day >= 0) & seen
-    last = daily.where(in_live).agg(F.max("date")).scalar()
-    years = daily.where(F.year("date").between(first_year, live_year) & (day >= 0))
+    in_live = S.between_days("date", f"{live_year}-{month:02d}-01", f"{live_year}-12-31")
+    last = daily.where(in_live & seen).agg(F.max("date")).scalar()
+    in_range = S.between_days("date", f"{first_year}-{month:02d}-01", f"{live_year}-12-31")
+    years = daily.where(in_range & (day >= 0))
     years = years.where(day <= S.season_day(last, month, F.lit(live_year)))
     totals = years.groupBy(*keys, F.year("date").alias("_year")).agg(
         F.sum("rainfall_mm").alias("_total"), F.count("rainfall_mm").alias("_days")
@@ -128,7 +129,8 @@ def rain_scale(
 ) -> DataFrame:
     """Factor that maps live monsoon rainfall onto the historical scale, from complete live seasons only."""
     keys = list(keys)
-    seasons = daily.where(S.is_kharif("date") & F.year("date").between(first_year, last_year))
+    in_range = S.between_days("date", f"{first_year}-06-01", f"{last_year}-10-31")
+    seasons = daily.where(in_range & S.is_kharif("date"))
     complete = (
         seasons.groupBy(*keys, F.year("date").alias("_year"))
         .agg(F.sum("rainfall_mm").alias("_total"), F.count("rainfall_mm").alias("_days"))

@@ -353,15 +353,13 @@ def median_map(train: DataFrame, columns: Sequence[str]) -> dict[str, float]:
 # ---- live rows ------------------------------------------------------------------------------------------------
 
 def latest_known(panel: DataFrame, keys: Sequence[str] = ("state", "district", "crop")) -> DataFrame:
-    """Newest row per key (ties: first season). A partial maximum per task, so no key is gathered or sorted."""
+    """Newest row per key (ties: first season). A partial minimum per task, so no key is gathered in one place."""
     rest = [c for c in panel.columns if c not in keys]
-    best = F.max_by(F.struct(*rest), F.struct(F.col("year"), F.lit(0)))
+    order = [F.coalesce(-F.col("year"), F.lit(2**31 - 1)).alias("y")]
     if "season" in rest:
-        newest = panel.groupBy(*keys, "season").agg(best.alias("_row"), F.max("year").alias("_y"))
-        # struct order compares the year first; among equal years the smallest season wins
-        pick = F.min_by("_row", F.struct((-F.col("_y")).alias("y"), F.col("season").alias("s")))
-        return newest.groupBy(*keys).agg(pick.alias("_row")).select(*keys, "_row.*").select(*panel.columns)
-    return panel.groupBy(*keys).agg(best.alias("_row")).select(*keys, "_row.*").select(*panel.columns)
+        order += [F.col("season").isNull().alias("n"), F.col("season").alias("s")]
+    newest = F.min_by(F.struct(*rest), F.struct(*order))
+    return panel.groupBy(*keys).agg(newest.alias("_row")).select(*keys, "_row.*").select(*panel.columns)
 
 
 def override_always(df: DataFrame, crop: str, live: Mapping[str, str]) -> DataFrame:

@@ -193,33 +193,41 @@ def block_features(
 
 
 def current_season(
-    daily: DataFrame, rabi_start_year: int, keys: Sequence[str] = ("state", "district")
+    daily: DataFrame,
+    rabi_start_year: int,
+    keys: Sequence[str] = ("state", "district"),
+    sites: DataFrame | None = None,
 ) -> DataFrame:
     """Live view: the winter season that began in the given year and the monsoon season after it, so far.
 
-    Totals are null, not zero, where no value was reported.
+    Totals are null, not zero, where no value was reported. Every site keeps a row; with a site table only the days
+    of the two seasons are read.
     """
-    keys = list(keys)
-    days = daily.withColumn("_cy", S.crop_year("date")).withColumn("_day", S.block_day("date"))
-    days = with_day_bits(days, F.col("_day"))
-    rabi = S.is_rabi("date") & (F.col("_cy") == rabi_start_year)
-    partial = (F.year("date") == rabi_start_year + 1) & (F.month("date") >= 6)
-    live_rain = F.when(partial, F.col("rainfall_mm"))
+    keys, y = list(keys), rabi_start_year
+    winter = S.between_days("date", f"{y}-11-01", f"{y + 1}-03-31")
+    monsoon = S.between_days("date", f"{y + 1}-06-01", f"{y + 1}-12-31")
+    rows = daily if sites is None else daily.where(S.between_days("date", f"{y}-11-01", f"{y + 1}-12-31"))
+    days = with_day_bits(rows, S.block_day("date"))
+    live_rain = F.when(monsoon, F.col("rainfall_mm"))
     wide = days.groupBy(*keys).agg(
-        *block_partials(rabi, "r"),
+        *block_partials(winter, "r"),
         F.sum(live_rain).alias("_partial"),
         F.count(live_rain).alias("_partial_days"),
     )
-    return wide.select(
+    out = wide.select(
         *keys,
         F.col("_r_rain").alias("current_rabi_rainfall"),
         F.col("_r_tavg").alias("current_rabi_temp_avg"),
         F.col("_r_tmax").alias("current_rabi_temp_max"),
         F.col("_partial").alias("current_kharif_partial_rainfall"),
         F.col("_partial_days").alias("current_kharif_partial_days"),
-        daily.agg(F.max("date")).scalar().alias("data_as_of"),
         *agronomic_columns("r", "rabi", "current_"),
     )
+    if sites is not None:
+        out = sites.select(*keys).distinct().join(out, keys, "left")
+        days_seen = F.coalesce("current_kharif_partial_days", F.lit(0))
+        out = out.withColumn("current_kharif_partial_days", days_seen)
+    return out.withColumn("data_as_of", daily.agg(F.max("date")).scalar())
 
 
 def live_kharif(
@@ -236,7 +244,7 @@ def live_kharif(
     daily rows.
     """
     keys = list(keys)
-    days = daily.where((F.year("date") == year) & S.is_kharif("date"))
+    days = daily.where(S.kharif_days("date", year))
     if scale is None:
         days = days.withColumns({"rain_scale": F.lit(1.0), "live_mean": F.lit(None).cast("double")})
     else:

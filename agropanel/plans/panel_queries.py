@@ -230,7 +230,7 @@ _LATEST_MASTER = """,
 def live_override(spark, sf_dir):
     days = fx.daily(spark, sf_dir)
     live = anomaly.live_rai(
-        weather.current_season(days, 1999), weather.seasonal(days), "current_rabi_rainfall", "nasa_rainfall_rabi"
+        weather.current_season(days, 1999, sites=fx.supplier_sites(spark, sf_dir)), weather.seasonal(days), "current_rabi_rainfall", "nasa_rainfall_rabi"
     )
     rows = refresh.live_rabi_rows(site_history(spark, sf_dir), live)
     columns = ["nasa_rainfall_rabi", "nasa_temp_avg_rabi", "rainfall_anomaly_index"]

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from agropanel.functions import classify as K
+from agropanel.functions import seasons as S
 from agropanel.operators import anomaly, gate, panel, watch, weather
 from agropanel.sources import readers, sinks
 
@@ -93,6 +94,11 @@ class Settings:
     features: Sequence[str]
 
 
+def daily_sites(inputs: Inputs) -> DataFrame | None:
+    """The expected sites, if they are given; else the live view looks for sites in the daily rows."""
+    return None if inputs.expected_sites.isEmpty() else inputs.expected_sites
+
+
 def refresh(
     spark: SparkSession, root: str, inputs: Inputs, settings: Settings, score: Callable[[DataFrame], DataFrame]
 ) -> tuple[str, str]:
@@ -104,7 +110,7 @@ def refresh(
     daily = readers.clean_daily(inputs.daily)
     work = f"{root}/work/{settings.stamp}"
     live = anomaly.live_rai(
-        weather.current_season(daily, settings.rabi_start_year), inputs.seasonal, "current_rabi_rainfall",
+        weather.current_season(daily, settings.rabi_start_year, sites=daily_sites(inputs)), inputs.seasonal, "current_rabi_rainfall",
         "nasa_rainfall_rabi",
     )
     rows = live_rabi_rows(inputs.history, live, settings.crop, inputs.vegetation).where(F.col("crop") == settings.crop)
@@ -126,7 +132,8 @@ def refresh(
     sinks.overwrite(risk, f"{work}/risk")
     risk = spark.read.parquet(f"{work}/risk")
 
-    landed = daily.where(F.col("rainfall_mm").isNotNull() & (F.year("date") == settings.season_year))
+    year = settings.season_year
+    landed = daily.where(F.col("rainfall_mm").isNotNull() & S.between_days("date", f"{year}-01-01", f"{year}-12-31"))
     ledger = sinks.failure_ledger(inputs.expected_sites, landed)
     sinks.write_ledger(ledger, f"{root}/failures")
     check_features = [c for c in ("nasa_rainfall_rabi", "gdd_rabi", "rainfall_anomaly_index") if c in predictions.columns]

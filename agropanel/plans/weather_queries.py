@@ -259,7 +259,7 @@ def rain_scale(spark, sf_dir):
 )
 def live_conditions(spark, sf_dir):
     days = fx.daily(spark, sf_dir)
-    live = weather.current_season(days, LIVE_YEAR - 1)
+    live = weather.current_season(days, LIVE_YEAR - 1, sites=fx.supplier_sites(spark, sf_dir))
     out = anomaly.live_rai(live, weather.seasonal(days), "current_rabi_rainfall", "nasa_rainfall_rabi")
     return tidy(
         out.select(
