@@ -374,9 +374,9 @@ def override_known(df: DataFrame, live: Mapping[str, str]) -> DataFrame:
     return df.withColumns({c: F.coalesce(F.col(source), F.col(c)) for c, source in live.items()})
 
 
-def with_lineage(df: DataFrame, latest: DataFrame, basis: str, as_of: Column | None = None) -> DataFrame:
-    """Baseline year (newest year of all rows, not of the row), data date and basis text."""
-    out = df.withColumn("baseline_yield_year", latest.agg(F.max("year")).scalar())
+def with_lineage(df: DataFrame, history: DataFrame, basis: str, as_of: Column | None = None) -> DataFrame:
+    """Baseline year (newest year of the whole history, not of the row), data date and basis text."""
+    out = df.withColumn("baseline_yield_year", history.agg(F.max("year")).scalar())
     out = out.withColumn("prediction_basis", F.lit(basis))
     return out if as_of is None else out.withColumn("weather_data_as_of", as_of)
 

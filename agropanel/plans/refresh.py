@@ -53,7 +53,7 @@ def live_rabi_rows(
     rows = panel.merge_optional(rows, vegetation, ["state", "district"], ["current_ndvi_rabi"])
     known = {c: s for c, s in RABI_OVERRIDES.items() if {c, s} <= set(rows.columns)}
     rows = panel.override_always(rows, crop, known)
-    return panel.with_lineage(rows, latest, "live_rabi_weather_with_last_published_yield", F.col("data_as_of"))
+    return panel.with_lineage(rows, history, "live_rabi_weather_with_last_published_yield", F.col("data_as_of"))
 
 
 def live_kharif_rows(
@@ -65,7 +65,7 @@ def live_kharif_rows(
     rows = panel.merge_optional(rows, vegetation, ["state", "district"], ["current_ndvi_kharif"])
     known = {c: s for c, s in KHARIF_OVERRIDES.items() if {c, s} <= set(rows.columns)}
     rows = panel.override_known(rows, known).dropna(subset=["cur_rain_kharif"])
-    return panel.with_lineage(rows, latest, "live_kharif_weather_with_last_published_yield")
+    return panel.with_lineage(rows, history, "live_kharif_weather_with_last_published_yield")
 
 
 @dataclass(frozen=True)
