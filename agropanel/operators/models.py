@@ -10,7 +10,9 @@ import itertools
 import random
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
@@ -151,6 +153,15 @@ def conformal_band(
     return joined.withColumn("lower", F.col("pred") + F.col("_lo")).withColumn("upper", F.col("pred") + F.col("_hi")).drop("_lo", "_hi")
 
 
+def _all(spark, tasks: Sequence[Callable[[], object]], parallelism: int) -> list:
+    """Results of independent fits in order; several at a time, because one small fit leaves most executors idle."""
+    if not tasks:
+        return []
+    wrapped = [inheritable_thread_target(spark)(task) for task in tasks]
+    with ThreadPool(max(1, min(parallelism, len(wrapped)))) as pool:
+        return pool.map(lambda task: task(), wrapped)
+
+
 # ---- search and folds -----------------------------------------------------------------------------------------
 
 def draw_settings(grid: Mapping[str, Sequence] = GRID, draws: int = 40, seed: int = SEED) -> list[dict]:
@@ -172,7 +183,7 @@ def years_of(panel: DataFrame) -> list[int]:
 
 def search(
     panel: DataFrame, features: Sequence[str], settings: Sequence[dict], folds: int = 5,
-    estimator: Callable[..., object] = boosted,
+    estimator: Callable[..., object] = boosted, parallelism: int = 4,
 ) -> DataFrame:
     """RMSE of each setting over expanding-window folds, best first."""
     spark = panel.sparkSession
@@ -181,9 +192,13 @@ def search(
         train, test = panel.where(F.col("year") < year), panel.where(F.col("year") == year)
         prepared = prepare(train, features)
         fit_rows, test_rows = prepared.apply(train).select("features", TARGET).persist(), prepared.apply(test)
-        for i, values in enumerate(settings):
+
+        def error(values, fit_rows=fit_rows, test_rows=test_rows):
             scored = estimator(**values).fit(fit_rows).transform(test_rows)
-            rmse = m.metrics(scored, TARGET, "pred").first()["rmse"]
+            return m.metrics(scored, TARGET, "pred").first()["rmse"]
+
+        errors = _all(spark, [lambda v=values: error(v) for values in settings], parallelism)
+        for i, (values, rmse) in enumerate(zip(settings, errors, strict=True)):
             rows.append((i, str(sorted(values.items())), int(year), rmse))
         fit_rows.unpersist()
     table = spark.createDataFrame(rows, "setting int, parameters string, test_year int, rmse double")
@@ -193,7 +208,7 @@ def search(
 
 def walk_forward(
     panel: DataFrame, features: Sequence[str], fit: Callable[[DataFrame, Sequence[str]], object],
-    min_train_years: int = 10, min_rows: int = 5,
+    min_train_years: int = 10, min_rows: int = 5, parallelism: int = 4,
 ) -> DataFrame:
     """Fits on all years before Y, tests on Y; one metric row per test year.
 
@@ -202,14 +217,15 @@ def walk_forward(
     spark = panel.sparkSession
     sizes = {r["year"]: r["count"] for r in panel.groupBy("year").count().collect()}
     first = min(sizes)
-    rows = []
-    for year in sorted(sizes):
-        if year < first + min_train_years or sizes[year] < min_rows:
-            continue
+    tested = [y for y in sorted(sizes) if y >= first + min_train_years and sizes[y] >= min_rows]
+
+    def fold(year: int):
         model = fit(panel.where(F.col("year") < year), features)
         found = m.metrics(model.transform(panel.where(F.col("year") == year)), TARGET, "pred").first()
         n_train = sum(n for y, n in sizes.items() if y < year)
-        rows.append((int(year), n_train, found["n"], found["rmse"], found["mape"], found["r2"]))
+        return (int(year), n_train, found["n"], found["rmse"], found["mape"], found["r2"])
+
+    rows = _all(spark, [lambda y=year: fold(y) for year in tested], parallelism)
     return spark.createDataFrame(rows, "test_year int, n_train long, n_test long, rmse double, mape double, r2 double")
 
 
@@ -240,17 +256,19 @@ def fit_trees(train: DataFrame, features: Sequence[str], estimator=None, valid:
 
 
 def per_crop(
-    train: DataFrame, test: DataFrame, features: Sequence[str], crops: Sequence[str], fit
+    train: DataFrame, test: DataFrame, features: Sequence[str], crops: Sequence[str], fit, parallelism: int = 4
 ) -> DataFrame:
     """One model per crop without the crop feature; metric rows per crop. Crops are a short fixed list."""
     own = [c for c in features if c != "crop_encoded"]
-    parts = None
-    for crop in crops:
+
+    def one(crop: str):
         mine = F.col("crop") == crop
-        scored = fit(train.where(mine), own).transform(test.where(mine))
-        row = m.metrics(scored, TARGET, "pred").withColumn("crop", F.lit(crop))
-        parts = row if parts is None else parts.unionByName(row)
-    return parts
+        found = m.metrics(fit(train.where(mine), own).transform(test.where(mine)), TARGET, "pred").first()
+        return (*(found[c] for c in ("rmse", "mae", "mape", "r2", "n")), crop)
+
+    spark = train.sparkSession
+    rows = _all(spark, [lambda c=crop: one(c) for crop in crops], parallelism)
+    return spark.createDataFrame(rows, "rmse double, mae double, mape double, r2 double, n long, crop string")
 
 
 def comparison(parts: Sequence[DataFrame]) -> DataFrame:
