@@ -16,28 +16,28 @@ from agropanel.functions import classify as K
 from agropanel.functions import scalars as f
 from agropanel.operators.ranks import dense_numbers, null_safe_join, wide_quantiles
 
-# Encodings and the 40-name feature contract, in order.
+# Encodings and the feature contract, in order; the optional features complete it to 40 names.
 STATE_CODES = {"Punjab": 0, "Haryana": 1, "Uttar Pradesh": 2}
 SEASON_CODES = {"Rabi": 0, "Kharif": 1}
 CROP_SEASON = {"Wheat": "Rabi", "Rice": "Kharif"}
 BASE_YEAR = 1997
 TARGET = "yield_kg_ha"
-LAG_FEATURES = ("lag_yield_1", "lag_yield_2", "lag_yield_3", "rolling_yield_3yr", "yield_trend", "yield_gap_vs_state")
-INPUT_FEATURES = ("fertilizer_per_ha", "nitrogen_per_ha", "irrigation_pct")
-WEATHER_FEATURES = (
+FEATURES = (
+    "state_encoded", "crop_encoded", "season_encoded", "time_trend",
+    "lag_yield_1", "lag_yield_2", "lag_yield_3",
+    "rolling_yield_3yr", "yield_trend", "yield_gap_vs_state",
+    "log_area",
+    "fertilizer_per_ha", "nitrogen_per_ha", "irrigation_pct",
     "nasa_rainfall_kharif", "nasa_rainfall_rabi", "nasa_rainfall_annual",
-    "nasa_temp_avg_kharif", "nasa_temp_max_kharif", "nasa_temp_avg_rabi", "nasa_temp_max_rabi",
-    "nasa_humidity_kharif", "nasa_solar_annual", "heat_stress_days", "frost_risk_days",
+    "nasa_temp_avg_kharif", "nasa_temp_max_kharif",
+    "nasa_temp_avg_rabi", "nasa_temp_max_rabi",
+    "nasa_humidity_kharif", "nasa_solar_annual",
+    "heat_stress_days", "frost_risk_days",
     "rainfall_anomaly_index", "drought_flag", "flood_flag",
+    "gdd_kharif", "max_dry_streak_kharif", "rainfall_cv_kharif", "water_balance_kharif",
+    "gdd_rabi", "max_dry_streak_rabi", "rainfall_cv_rabi", "water_balance_rabi",
 )
-SEASON_FEATURES = tuple(
-    f"{name}_{season}" for season in ("kharif", "rabi")
-    for name in ("gdd", "max_dry_streak", "rainfall_cv", "water_balance")
-)
-FEATURES = (
-    ("state_encoded", "crop_encoded", "season_encoded", "time_trend")
-    + LAG_FEATURES + ("log_area",) + INPUT_FEATURES + WEATHER_FEATURES + SEASON_FEATURES
-)
+SEASONAL_FEATURES = FEATURES[14:]
 OPTIONAL_FEATURES = {
     "vegetation": ("ndvi_kharif", "ndvi_rabi"),
     "water": ("water_pct_kharif", "water_pct_rabi"),
@@ -168,7 +168,7 @@ def merge_master(
     keys: Sequence[str] = ("state", "district", "year"),
 ) -> DataFrame:
     """Panel of yields and seasonal features; all sources share one key, so the panel is shuffled once."""
-    out = merge_optional(yields, seasonal, keys, [*WEATHER_FEATURES, *SEASON_FEATURES])
+    out = merge_optional(yields, seasonal, keys, SEASONAL_FEATURES)
     for name, source in (("vegetation", vegetation), ("water", water), ("groundwater", groundwater)):
         out = merge_optional(out, source, keys, OPTIONAL_FEATURES[name])
     return out

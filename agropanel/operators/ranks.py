@@ -1,53 +1,27 @@
 """Exact ranks and quantiles that never sort one group in one task.
 
-Rows are first reduced to distinct keys with counts. The key space is then cut into ranges at split points taken
-from a bounded hash sample, so each range holds a bounded share of the keys whatever group they belong to. Counts
-per range give each range its offset; only inside a range are rows ordered by a window. The counted keys are
-checkpointed and the split points are literals in the plan, so a lost executor leads to the same ranges again.
+Rows are first reduced to distinct keys with counts. The key space is then range-partitioned, so each range holds a
+bounded share of the keys whatever group they belong to, and the range number is checkpointed with the keys. Counts
+per range give each range its offset; only inside a range are rows ordered by a window.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from agropanel.lineage import cut
 
-SAMPLE_PER_PIECE = 16
-MAX_PIECES = 512
+def _ranged(keys: DataFrame, columns: Sequence[str], pieces: int | None) -> DataFrame:
+    """Keys with the number of their range; greater keys never have a smaller number.
 
-
-def default_pieces(df: DataFrame) -> int:
-    """As many ranges as shuffle partitions, within the size a plan literal may have."""
-    wanted = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(4, min(MAX_PIECES, wanted))
-
-
-def split_points(keys: DataFrame, columns: Sequence[str], pieces: int) -> list[tuple]:
-    """About `pieces - 1` evenly spaced keys out of a hash sample of fixed size."""
-    sample = (
-        keys.select(*columns)
-        .orderBy(F.xxhash64(*columns), *columns)
-        .limit(SAMPLE_PER_PIECE * pieces)
-        .orderBy(*columns)
-        .collect()
-    )
-    step = max(1, len(sample) // pieces)
-    return [tuple(row) for row in sample[step::step]]
-
-
-def range_number(columns: Sequence[str], points: Sequence[tuple], schema) -> Column:
-    """Number of split points below the key; grows with the key."""
-    if not points:
-        return F.lit(0)
-
-    def literal(row):
-        return F.struct(*[F.lit(v).cast(schema[c].dataType).alias(c) for c, v in zip(columns, row, strict=True)])
-
-    key = F.struct(*[F.col(c) for c in columns])
-    return F.size(F.filter(F.array(*[literal(p) for p in points]), lambda p: p < key))
+    The number is stored by the checkpoint, so every later step sees the same ranges. Without `pieces` the session's
+    shuffle partitions decide.
+    """
+    spread = keys.repartitionByRange(pieces, *columns) if pieces else keys.repartitionByRange(*columns)
+    return cut(spread.withColumn("_range", F.spark_partition_id()))
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -64,12 +38,10 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
 def _cumulative(df: DataFrame, by: Sequence[str], value: str, pieces: int | None):
     """(counted keys with their range, ranges with the number of rows before them inside their group)."""
     keys = [*by, value]
-    # read three times below: for the split points, the range totals and the ranks
-    counted = cut(df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")))
-    points = split_points(counted, keys, pieces or default_pieces(df))
-    counted = counted.withColumn("_range", range_number(keys, points, counted.schema))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    counted = _ranged(counts, keys, pieces)
     spans = counted.groupBy(*by, "_range").agg(F.sum("_n").alias("_range_n"))
-    # at most `pieces` rows per group here, so these windows stay small
+    # at most one row per range and group here, so these windows stay small
     whole = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     earlier = whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     spans = spans.withColumn("_before", F.coalesce(F.sum("_range_n").over(earlier), F.lit(0)))
@@ -147,14 +119,12 @@ def wide_quantiles(
 def dense_numbers(keys: DataFrame, columns: Sequence[str], name: str = "rank", pieces: int | None = None) -> DataFrame:
     """Consecutive numbers from 1 in key order over distinct keys, without a single-partition sort."""
     columns = list(columns)
-    keys = cut(keys)
-    points = split_points(keys, columns, pieces or default_pieces(keys))
-    placed = keys.withColumn("_range", range_number(columns, points, keys.schema))
+    placed = _ranged(keys, columns, pieces)
     spans = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
     earlier = Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     spans = spans.select("_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
     inside = Window.partitionBy("_range").orderBy(*columns)
     numbered = placed.withColumn("_pos", F.row_number().over(inside))
-    # at most MAX_PIECES rows on the right
+    # one row per range partition on the right
     joined = numbered.join(F.broadcast(spans), "_range")
     return joined.withColumn(name, (F.col("_before") + F.col("_pos")).cast("long")).drop("_range", "_before", "_pos")

@@ -13,7 +13,7 @@ from agropanel.functions import seasons as S
 from agropanel.operators import anomaly, gate, panel, watch, weather
 from agropanel.sources import readers, sinks
 
-# live column of the winter season for each feature it replaces
+# Live column of the winter season for each feature it replaces
 RABI_OVERRIDES = {
     "nasa_rainfall_rabi": "current_rabi_rainfall",
     "nasa_temp_avg_rabi": "current_rabi_temp_avg",
@@ -27,7 +27,7 @@ RABI_OVERRIDES = {
     "water_balance_rabi": "current_water_balance_rabi",
     "ndvi_rabi": "current_ndvi_rabi",
 }
-# live column of the monsoon season for each feature it replaces where known
+# Live column of the monsoon season for each feature it replaces where known
 KHARIF_OVERRIDES = {
     "nasa_rainfall_kharif": "cur_rain_kharif",
     "nasa_temp_avg_kharif": "cur_temp_avg_kharif",

@@ -29,9 +29,10 @@ def merge_daily(batch: DataFrame, table: str) -> None:
     """
     spark = batch.sparkSession
     columns = [*sc.DAILY.fieldNames(), "landed_at"]
-    incoming = batch.select(*columns).withColumn("year", F.year("date"))
+    incoming = batch.select(*columns).withColumn("year", F.year("date")).persist()
     years = [r[0] for r in incoming.select("year").distinct().collect()]
     if not years:
+        incoming.unpersist()
         return
     schema = incoming.schema
     old = read_optional(spark, table, schema)
@@ -42,6 +43,7 @@ def merge_daily(batch: DataFrame, table: str) -> None:
     spark.read.schema(schema).parquet(staged).write.mode("overwrite").option(
         "partitionOverwriteMode", "dynamic"
     ).partitionBy("year").parquet(table)
+    incoming.unpersist()
 
 
 def run_once(spark: SparkSession, landing: str, table: str, checkpoint: str) -> None:
