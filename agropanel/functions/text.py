@@ -14,18 +14,24 @@ from agropanel.functions.scalars import _col
 
 # Length limits and the entities that are decoded; the closing semicolon may be missing.
 LIMITS = {"category": 80, "query": 200, "title": 160, "snippet": 280, "url": 500}
-ENTITIES = {"&lt;?": "<", "&gt;?": ">", "&quot;?": '"', "&#39;?": "'", "&#x27;?": "'", "&nbsp;?": "\u00a0", "&copy;?": "\u00a9",
-            "&middot;?": "\u00b7", "&amp;?": "&"}
+ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "#39": "'", "#x27": "'", "nbsp": "\u00a0", "copy": "\u00a9", "middot": "\u00b7"}
 BLANKS = r"(?U)[\s\x1c-\x1f]+"
 LINK = r"(?i)^https?://[^\s<>\"']+$"
 
 
 def decode_entities(c) -> Column:
-    """Each entity once: the ampersand last, so that an escaped entity is not decoded twice."""
+    """Each entity once: the ampersand last, so that an escaped entity is not decoded twice.
+
+    Plain replacement handles the usual spelling; patterns run only where an entity without its semicolon is left.
+    """
     text = _col(c)
-    for pattern, char in ENTITIES.items():
-        text = F.regexp_replace(text, pattern, char)
-    return text
+    for name, char in ENTITIES.items():
+        text = F.replace(text, F.lit(f"&{name};"), F.lit(char))
+    loose = text
+    for name, char in ENTITIES.items():
+        loose = F.regexp_replace(loose, f"&{name}", char)
+    text = F.when(text.rlike("&(" + "|".join(ENTITIES) + ")"), loose).otherwise(text)
+    return F.regexp_replace(text, "&amp;?", "&")
 
 
 @F.pandas_udf(T.StringType())

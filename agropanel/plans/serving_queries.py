@@ -732,9 +732,9 @@ def json_objects(spark, sf_dir):
 def clean_sql(column: str) -> str:
     """SQL twin of text.clean."""
     out = f"coalesce({column}, '')"
-    for pattern, char in text.ENTITIES.items():
+    for name, char in [*text.ENTITIES.items(), ("amp", "&")]:
         quoted = char.replace("'", "''")
-        out = f"regexp_replace({out}, '{pattern}', '{quoted}', 'g')"
+        out = f"regexp_replace({out}, '&{name};?', '{quoted}', 'g')"
     out = f"translate(regexp_replace({out}, '<[^>]*>', ' ', 'g'), '<>', '  ')"
     blanks = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
     return f"trim(regexp_replace({out}, '{blanks}', ' ', 'g'))"
