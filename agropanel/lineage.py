@@ -4,18 +4,30 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder the session names (spark.checkpoint.dir).
+def folder(spark: SparkSession) -> str:
+    """The shared folder for intermediate results that the session names in spark.checkpoint.dir.
 
-    Later steps read the files, so a lost executor costs a re-read and not a recomputation. A temporary folder is
-    used only where the session names none, as in local tests.
+    A temporary folder is made only for a local session that names none, as in tests; on a cluster that is an error,
+    because the machines would not see each other's files.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        current = context._jsc.sc().getCheckpointDir()
+        named = current.get() if current.isDefined() else None
+    if not named:
+        if not context.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="agropanel-checkpoint-")
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="agropanel-checkpoint-"))
+        context.setCheckpointDir(named)
+    return named
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder: later steps read files, so a lost executor costs a re-read."""
+    folder(df.sparkSession)
     return df.checkpoint(eager=True)
