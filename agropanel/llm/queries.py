@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from agropanel.llm import simhash
+from agropanel.llm import decontaminate, mixing, simhash, warc
 
 QUERIES = {
     "op3_simhash_groups": simhash.op3_simhash_groups,
+    "op7_benchmark_hits": decontaminate.op7_benchmark_hits,
+    "op8_mix_sources": mixing.op8_mix_sources,
+    "op9_warc_roundtrip": warc.op9_warc_roundtrip,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op7_benchmark_hits": decontaminate.ORACLE}
