@@ -36,6 +36,7 @@ from agropanel.operators.ranks import exact_quantiles
 
 SHARD_BYTES = 64 << 20  # payload of a shard
 FILE_BYTES = 16 << 20  # compressed size at which a file is closed
+CHUNK = 1 << 12  # compressed bytes given to the decompressor at once: what it leaves over is copied
 DATE = "1970-01-01T00:00:00Z"  # fixed: the same input gives the same bytes
 #: Fixed values of the file format.
 END = b"\r\n\r\n"
@@ -215,11 +216,17 @@ def read_archive(spark: SparkSession, path: str, blocks: bool = False) -> DataFr
     schema = pa.schema([*fields, *([("block", pa.binary())] if blocks else [])])
 
     def records(content: bytes) -> Iterator[tuple]:
-        rest = content
-        while rest:
-            unpacker = zlib.decompressobj(31)
-            data = unpacker.decompress(rest)
-            rest = unpacker.unused_data
+        view, at = memoryview(content), 0
+        while at < len(view):
+            unpacker, pieces = zlib.decompressobj(31), []
+            while not unpacker.eof:
+                if at >= len(view):
+                    raise ValueError("the last member is cut off")
+                piece = view[at : at + CHUNK]
+                pieces.append(unpacker.decompress(piece))
+                at += len(piece)
+            at -= len(unpacker.unused_data)
+            data = b"".join(pieces)
             for head, block in parse(data):
                 if head["WARC-Block-Digest"] != f"sha1:{digest_of(block)}":
                     raise ValueError(f"block of {head['WARC-Record-ID']} is damaged")
