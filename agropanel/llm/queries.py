@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from agropanel.llm import decontaminate, mixing, simhash, warc
+from agropanel.llm import decontaminate, line_quality, mixing, phrases, private_data, simhash, toxicity, warc
 
 QUERIES = {
+    "op1_private_data": private_data.op1_private_data,
+    "op2_phrase_fingerprints": phrases.op2_phrase_fingerprints,
     "op3_simhash_groups": simhash.op3_simhash_groups,
+    "op4_toxicity": toxicity.op4_toxicity,
+    "op6_line_quality": line_quality.op6_line_quality,
     "op7_benchmark_hits": decontaminate.op7_benchmark_hits,
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_warc_roundtrip": warc.op9_warc_roundtrip,
