@@ -211,6 +211,13 @@ def mask(docs: DataFrame, text: str = "text", **settings) -> DataFrame:
     return found.select(*[out.alias(c) if c == text else F.col(c) for c in docs.columns])
 
 
+def masked_with_size(docs: DataFrame, text: str = "text", size: str = "n_chars", **settings) -> DataFrame:
+    """`mask`, with the column of text lengths brought up to date where the text changed."""
+    out = mask(docs.withColumn("_pii_before", F.length(text)), text, **settings)
+    changed = F.length(text) != F.col("_pii_before")
+    return out.withColumn(size, F.when(changed, F.length(text).cast("long")).otherwise(F.col(size))).drop("_pii_before")
+
+
 def _listed(spans):
     names = F.array(*map(F.lit, KINDS))
     one = F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string")))

@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
-from agropanel.llm import decontaminate, line_quality, mixing, phrases, private_data, simhash, toxicity, warc
+from agropanel.llm import decontaminate, factors, line_quality, mixing, phrases, private_data, simhash, suffixes, toxicity, warc
 
 QUERIES = {
     "op1_private_data": private_data.op1_private_data,
     "op2_phrase_fingerprints": phrases.op2_phrase_fingerprints,
     "op3_simhash_groups": simhash.op3_simhash_groups,
     "op4_toxicity": toxicity.op4_toxicity,
+    "op5_lempel_ziv": factors.op5_lempel_ziv,
     "op6_line_quality": line_quality.op6_line_quality,
     "op7_benchmark_hits": decontaminate.op7_benchmark_hits,
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_warc_roundtrip": warc.op9_warc_roundtrip,
+    "op10_suffix_dedup": suffixes.op10_suffix_dedup,
 }
 
-ORACLE_SQL = {"op7_benchmark_hits": decontaminate.ORACLE}
+ORACLE_SQL = {
+    "op5_lempel_ziv": factors.ORACLE,
+    "op7_benchmark_hits": decontaminate.ORACLE,
+    "op10_suffix_dedup": suffixes.ORACLE,
+}

@@ -32,19 +32,18 @@ THRESHOLD = 0.5
 WINDOW = 3
 LEAD = bytes(range(128, 176))
 ORDINARY_BYTES, TOXIC_BYTES = 4096, 1024
-ORDINARY_WORDS = 8  # of a training sample
 LEVEL, LEAST_MATCH = 8, 6
 PREFIXES = range(6, 11)  # bytes of a word's beginning, the blank before it included
 PIECE_BYTES = 12  # of a training sample that holds one beginning
 STOPS = b".,;:!?"
 LEAST_ODDS = 1.6  # log odds of a beginning in toxic against ordinary documents
-LEAST_DOCS = 8  # toxic documents that a beginning must occur in
+LEAST_DOCS, LEAST_SHARE = 12, 0.025  # toxic documents that a beginning must occur in, and their share
 LEAST_EXAMPLES = 20  # of each class, to train at all
 
 
-def windows_of(text: bytes, width: int = WINDOW) -> list[bytes]:
+def windows_of(text: bytes) -> list[bytes]:
     words = text.lower().split()
-    return [b" %b " % b" ".join(words[i : i + width]) for i in range(0, len(words), width)] or [b""]
+    return [b" %b " % b" ".join(words[i : i + WINDOW]) for i in range(0, len(words), WINDOW)] or [b""]
 
 
 def _trained(samples: list[bytes], size: int, k: int, d: int) -> bytes:
@@ -71,7 +70,8 @@ def toxic_pieces(texts: list[bytes], labels: list[int]) -> list[bytes]:
     def odds(p: bytes) -> float:
         return float(np.log((counts[1][p] + 0.5) / (totals[1] + 1)) - np.log((counts[0][p] + 0.5) / (totals[0] + 1)))
 
-    telling = {p for p, n in counts[1].items() if n >= LEAST_DOCS and odds(p) >= LEAST_ODDS}
+    least = max(LEAST_DOCS, LEAST_SHARE * totals[1])
+    telling = {p for p, n in counts[1].items() if n >= least and odds(p) >= LEAST_ODDS}
     some = (b for text, label in zip(texts, labels, strict=True) if label for b in _beginnings(text))
     return [found for b in some if (found := next((p for p in b if p in telling), None))]
 
@@ -127,7 +127,7 @@ def fit(sample: Sample) -> Model:
     pieces = toxic_pieces(texts, labels)
     if not pieces:
         return nothing
-    ordinary = [w for x, y in zip(texts, labels, strict=True) if not y for w in windows_of(x, ORDINARY_WORDS)][:100_000]
+    ordinary = [w for x, y in zip(texts, labels, strict=True) if not y for w in windows_of(x)][:100_000]
     model = Model(
         _trained(ordinary, ORDINARY_BYTES, 32, 8),
         _trained([p.ljust(PIECE_BYTES) for p in pieces], TOXIC_BYTES, 16, 6), np.zeros(8), prior,

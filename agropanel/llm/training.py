@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,7 +20,7 @@ def held_out(key: str = "doc_id") -> F.Column:
 
 @dataclass
 class Sample:
-    """Texts and labels in a fixed order, and how many labelled training rows of each class there are in all."""
+    """Texts and labels in a fixed mixed order, and how many labelled training rows of each class there are in all."""
 
     texts: list[bytes]
     labels: np.ndarray
@@ -46,8 +47,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, key: str = "
     # two times per_class small rows at most
     rows = docs.where((F.octet_length(text) <= most_bytes)).select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     rows = rows.join(F.broadcast(picked), "_key").collect()
-    rows = sorted(((r["_key"], r["_label"], r["_text"].encode()) for r in rows))
-    return Sample([r[2] for r in rows], np.array([r[1] for r in rows], np.int64), (totals.get(0, 0), totals.get(1, 0)))
+    found = sorted((zlib.crc32(f"{seed}:{r['_key']}".encode()), r["_label"], r["_text"].encode()) for r in rows)
+    return Sample([r[2] for r in found], np.array([r[1] for r in found], np.int64), (totals.get(0, 0), totals.get(1, 0)))
 
 
 def sigmoid(x):
