@@ -37,7 +37,7 @@ PREFIXES = range(6, 11)  # bytes of a word's beginning, the blank before it incl
 PIECE_BYTES = 12  # of a training sample that holds one beginning
 STOPS = b".,;:!?"
 LEAST_ODDS = 1.6  # log odds of a beginning in toxic against ordinary documents
-LEAST_DOCS, LEAST_SHARE = 12, 0.025  # toxic documents that a beginning must occur in, and their share
+LEAST_DOCS, LEAST_SHARE = 4, 0.05  # toxic documents that a beginning must occur in, and their share
 LEAST_EXAMPLES = 20  # of each class, to train at all
 
 
