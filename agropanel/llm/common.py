@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from agropanel.lineage import folder
+from agropanel.operators.ranks import dense_numbers
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +32,21 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def even_heads(keys: DataFrame, column: str, pieces: int) -> np.ndarray:
+    """Smallest key of each of about `pieces` ranges with equally many distinct keys, ascending; depends on the keys alone.
+
+    Ranks come from a range partitioning, so no task orders all keys; the driver sees one key per range.
+    """
+    distinct = keys.select(column).where(F.col(column).isNotNull()).distinct()
+    ranked = dense_numbers(distinct, [column], "_rank")
+    n = distinct.count()
+    if not n:
+        return np.zeros(0, np.int64)
+    piece = F.floor((F.col("_rank") - 1) * F.lit(min(pieces, n)) / F.lit(n))
+    heads = ranked.groupBy(piece.alias("piece")).agg(F.min(column).alias("head")).collect()
+    return np.array(sorted(r["head"] for r in heads), np.int64)
+
+
 def texts_of(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each text; null is empty."""
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]

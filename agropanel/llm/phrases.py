@@ -25,8 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from agropanel.llm.common import parts, table, written
-from agropanel.operators.ranks import exact_quantiles
+from agropanel.llm.common import even_heads, parts, table, written
 
 SKETCH = 64
 SPANS = (8, 64)  # code points of the phrases that count
@@ -199,7 +198,7 @@ def _edited(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Fingerprints of every document (ascending long key) and of its text edited with its follower's first half.
 
-    Keys are cut at exact quantiles into buckets. A bucket's first document is also sent to the bucket before it, so the
+    Keys are cut into buckets of equally many. A bucket's first document is also sent to the bucket before it, so the
     texts cross the network once and every bucket is walked on its own; the driver sees one key per bucket.
     """
     spark = docs.sparkSession
@@ -207,27 +206,16 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     rows = docs.select(F.col(key).alias("key"), place.alias("place"), F.col(text).alias("text"))
     wanted = 3 * parts(spark)
     places = written(rows.select("place"), "places")
-    cuts = exact_quantiles(places, "place", [i / wanted for i in range(1, wanted)]).collect()
-    bounds = np.array(sorted({r["quantile"] for r in cuts}))
-
-    def numbers(values: pd.Series) -> np.ndarray:
-        return np.searchsorted(bounds, values.to_numpy("float64"), side="right")
-
-    @F.pandas_udf("int")
-    def bucket_of(values: pd.Series) -> pd.Series:
-        return pd.Series(numbers(values)).astype("int32")
-
-    heads = places.withColumn("bucket", bucket_of("place")).groupBy("bucket").agg(F.min("place").alias("head")).orderBy("bucket").collect()
-    buckets, firsts = [r["bucket"] for r in heads], np.array([r["head"] for r in heads], np.int64)
+    heads = even_heads(places, "place", wanted)
+    last = len(heads) - 1
 
     @F.pandas_udf("array<struct<bucket:int,tag:int>>")
     def copies_of(values: pd.Series) -> pd.Series:
-        at = numbers(values)
-        slot = np.searchsorted(firsts, values.to_numpy("int64"))
-        head = firsts[np.minimum(slot, len(firsts) - 1)] == values.to_numpy("int64")
+        place = values.to_numpy("int64")
+        bucket = np.searchsorted(heads, place, side="right") - 1
         return pd.Series([
-            [{"bucket": b, "tag": 0}, {"bucket": buckets[i - 1], "tag": 1}] if h else [{"bucket": b, "tag": 0}]
-            for b, i, h in zip(at.tolist(), slot.tolist(), head.tolist(), strict=True)
+            [{"bucket": b, "tag": 0}, {"bucket": b - 1 if b else last, "tag": 1}] if h else [{"bucket": b, "tag": 0}]
+            for b, h in zip(bucket.tolist(), (heads[bucket] == place).tolist(), strict=True)
         ])
 
     sent = rows.withColumn("copy", F.explode(copies_of("place"))).select("copy.bucket", "copy.tag", "key", "text", "place")

@@ -1,6 +1,6 @@
 """Deterministic sharded WARC writer, and a reader.
 
-Records are range-partitioned by key at exact quantiles, so shard borders depend on the keys alone, and ordered inside a
+Records are range-partitioned by key into shards of equally many keys, so shard borders depend on the keys alone, and ordered inside a
 shard. A shard rolls over to its next file when the compressed size passes a limit. Every record is a gzip member of its
 own with a regenerated header, block and payload digest. Files are written by Spark's own writer under a temporary name,
 its task commit included, then renamed to their final names; the manifest with sizes and record counts is written last,
@@ -31,8 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from agropanel.lineage import folder
-from agropanel.llm.common import table, texts_of, written
-from agropanel.operators.ranks import exact_quantiles
+from agropanel.llm.common import even_heads, table, texts_of, written
 
 SHARD_BYTES = 64 << 20  # payload of a shard
 FILE_BYTES = 16 << 20  # compressed size at which a file is closed
@@ -160,15 +159,12 @@ def write_archive(pages: DataFrame, path: str, key: str = "page_id", url: str =
     kinds = written(record_kinds(pages, key, payload, least_bytes), "kinds")
     total = kinds.agg(F.sum("size")).first()[0] or 0
     shards = max(1, -(-total // shard_bytes))
-    bounds = np.array([])
-    if shards > 1:
-        cuts = exact_quantiles(kinds, "key", [i / shards for i in range(1, shards)]).collect()  # one number per shard
-        bounds = np.array(sorted({r["quantile"] for r in cuts}))
+    heads = even_heads(kinds, "key", shards) if shards > 1 else np.zeros(0, np.int64)  # one number per shard
 
     @F.pandas_udf("int")
     def shard_of(keys: pd.Series) -> pd.Series:
-        values = keys.to_numpy("float64", na_value=-np.inf)
-        return pd.Series(np.searchsorted(bounds, values, side="right")).astype("int32")
+        found = np.searchsorted(heads, keys.to_numpy("int64"), side="right") - 1
+        return pd.Series(np.maximum(found, 0)).astype("int32")
 
     nothing = F.lit(None)
     info = kinds.select(
@@ -178,7 +174,7 @@ def write_archive(pages: DataFrame, path: str, key: str = "page_id", url: str =
         F.col(key).cast("long").alias("key"), F.lit(1).alias("tag"), F.col(url).alias("url"), F.col(payload).cast("binary").alias("payload"),
         nothing.cast("string").alias("digest"), nothing.cast("long").alias("refers"),
     )
-    rows = info.unionByName(bodies).withColumn("shard", shard_of("key"))
+    rows = info.unionByName(bodies).withColumn("shard", shard_of(F.coalesce("key", F.lit(-(2**63)))))
     rows = rows.repartition("shard").sortWithinPartitions("shard", "key", "tag", "url", "payload")
     packed = rows.mapInArrow(lambda frames: _packed(frames, file_bytes), "file string, seq long, data binary")
     packed = packed.sortWithinPartitions("file", "seq").select("file", F.col("data").cast("string").alias("data"))
