@@ -4,9 +4,9 @@ Two zstandard dictionaries are trained on a bounded sample of labelled documents
 toxic text apart, the beginnings of words that are much commoner in toxic documents than in ordinary ones. Every window of
 three words is compressed twice, with the ordinary dictionary and with the toxic one put behind it, so that both share all
 ordinary phrases and the difference in length comes from the toxic ones. Only matches of six bytes count, else chance
-matches would drown the difference; a fixed lead, held by both dictionaries, keeps short windows from being stored raw. A document's windows give sums, a mean, a largest difference and the shares of windows
-over two thresholds; a logistic curve over these, fitted on labelled documents that neither dictionary has seen, is the
-calibrated score.
+matches would drown the difference; a fixed lead, held by both dictionaries, keeps short windows from being stored raw. A
+document's windows give sums, a mean, a largest difference and the shares of windows over two thresholds; a logistic curve
+over these, fitted on labelled documents that neither dictionary has seen, is the calibrated score.
 
 Defined results: null and empty texts have one empty window and get the score of no evidence; without enough examples of
 both classes every score is the share of label 1 (0.5 without labels); repeated rows keep a row each; other columns are
@@ -32,7 +32,7 @@ THRESHOLD = 0.5
 WINDOW = 3
 LEAD = bytes(range(128, 176))
 ORDINARY_BYTES, TOXIC_BYTES = 4096, 1024
-LEVEL, LEAST_MATCH = 8, 6
+LEVEL, LEAST_MATCH = 13, 6  # lower levels miss phrases at a window's end
 PREFIXES = range(6, 11)  # bytes of a word's beginning, the blank before it included
 PIECE_BYTES = 12  # of a training sample that holds one beginning
 STOPS = b".,;:!?"
@@ -103,7 +103,7 @@ class Model:
 
     def features(self, text: bytes) -> list[float]:
         plain, toxic = (c.compress for c in self.compressors())
-        gain = np.array([len(plain(LEAD + w)) - len(toxic(LEAD + w)) for w in windows_of(text)], np.float64)
+        gain = np.array([len(plain(w)) - len(toxic(w)) for w in (LEAD + w for w in windows_of(text))], np.float64)
         n = len(gain)
         over = [(gain >= t).sum() for t in (2, 3)]
         return [np.sign(s := gain.sum()) * np.log1p(abs(s)), gain.sum() / (n + 5), gain.max(), np.log1p(over[0]), np.log1p(over[1]), over[0] / (n + 3), over[1] / (n + 3)]
