@@ -170,10 +170,18 @@ def draw_settings(grid: Mapping[str, Sequence] = GRID, draws: int = 40, seed: in
     return random.Random(seed).sample(points, min(draws, len(points)))
 
 
-def expanding_folds(years: Sequence[int], folds: int = 5) -> list[int]:
-    """Test years of an expanding window: each fold trains on all earlier years."""
+def expanding_folds(years: Sequence[int], folds: int = 5) -> list[tuple[int, int]]:
+    """First and last test year of each fold: the whole history in folds + 1 blocks, each tested on all years before it.
+
+    The first block, which only trains, takes the years that do not divide evenly. Fewer years give fewer folds.
+    """
     ordered = sorted(set(years))
-    return ordered[1:][-folds:]
+    folds = min(folds, len(ordered) - 1)
+    if folds < 1:
+        return []
+    size = len(ordered) // (folds + 1)
+    starts = [len(ordered) - size * (folds - i) for i in range(folds)]
+    return [(ordered[i], ordered[i + size - 1]) for i in starts]
 
 
 def years_of(panel: DataFrame) -> list[int]:
@@ -188,8 +196,8 @@ def search(
     """RMSE of each setting over expanding-window folds, best first."""
     spark = panel.sparkSession
     rows = []
-    for year in expanding_folds(years_of(panel), folds):
-        train, test = panel.where(F.col("year") < year), panel.where(F.col("year") == year)
+    for year, last in expanding_folds(years_of(panel), folds):
+        train, test = panel.where(F.col("year") < year), panel.where(F.col("year").between(year, last))
         prepared = prepare(train, features)
         fit_rows, test_rows = prepared.apply(train).select("features", TARGET).persist(), prepared.apply(test)
 

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from agropanel.functions import seasons as S
+from agropanel.operators.ranks import null_safe_join
 
 # Agronomic constants.
 GDD_BASE_C = 10.0
@@ -103,13 +104,16 @@ def _zero(c: str) -> Column:
     return F.coalesce(F.col(c), F.lit(0.0))
 
 
-def agronomic_columns(name: str, suffix: str, prefix: str = "", max_days: int = 153) -> list[Column]:
-    """Degree days, longest dry spell, rain variation and water balance of a block; null without any row."""
+def agronomic_columns(name: str, suffix: str, prefix: str = "", max_days: int = 153, dry: Column | None = None) -> list[Column]:
+    """Degree days, longest dry spell, rain variation and water balance of a block; null without any row.
+
+    `dry` is the longest dry spell where it does not come from day words of this block.
+    """
     seen = F.col(f"_{name}_rows") > 0
     mean = F.col(f"_{name}_rain_mean")
     return [
         F.when(seen, _zero(f"_{name}_gdd")).alias(f"{prefix}gdd_{suffix}"),
-        F.when(seen, longest_dry_run(name, max_days)).alias(f"{prefix}max_dry_streak_{suffix}"),
+        F.when(seen, longest_dry_run(name, max_days) if dry is None else dry).alias(f"{prefix}max_dry_streak_{suffix}"),
         F.when(mean > 0, F.col(f"_{name}_rain_std") / mean).alias(f"{prefix}rainfall_cv_{suffix}"),
         F.when(seen, _zero(f"_{name}_rain") - _zero(f"_{name}_et0")).alias(f"{prefix}water_balance_{suffix}"),
     ]
@@ -179,17 +183,24 @@ def calendar_seasonal(daily: DataFrame, keys: Sequence[str] = ("district",)) ->
     )
 
 
-def block_features(
-    block: DataFrame, keys: Sequence[str], season: str, prefix: str = "", start=None, max_days: int = 366
-) -> DataFrame:
-    """The four agronomic features of arbitrary blocks of daily rows, one block per key.
+def longest_dry_runs(days: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, _dry): longest run of dry days per key over any number of days, from rows with `_word` and `_bits`.
 
-    `start` is the first day of the block as a column; by default the running season's first day.
+    Days merge into words of 30 as partial results; a key then holds one small number per word of its days.
     """
-    day = S.block_day("date") if start is None else F.datediff(F.col("date"), start)
-    days = with_day_bits(block, day)
-    wide = days.groupBy(*keys).agg(*block_partials(F.lit(True), "b", max_days))
-    return wide.select(*keys, *agronomic_columns("b", season, prefix, max_days))
+    words = days.groupBy(*keys, "_word").agg(F.bit_or("_bits").alias("_bits"))
+    ordered = F.sort_array(F.collect_list(F.struct("_word", "_bits")), asc=False)
+    digits = F.transform(ordered, lambda w: F.lpad(F.conv(w["_bits"].cast("string"), 10, 4), _DAYS_PER_WORD, "0"))
+    present = F.replace(F.array_join(digits, ""), F.lit("0"), F.lit(""))
+    return words.groupBy(*keys).agg(F.length(F.array_max(F.split(present, "2"))).alias("_dry"))
+
+
+def block_features(block: DataFrame, keys: Sequence[str], season: str, prefix: str = "") -> DataFrame:
+    """The four agronomic features of arbitrary blocks of daily rows, one block per key, however long."""
+    days = with_day_bits(block, F.unix_date(F.col("date").cast("date")))
+    wide = days.groupBy(*keys).agg(*block_partials(F.lit(True), "b", 0))
+    joined = null_safe_join(wide, longest_dry_runs(days, keys), keys)
+    return joined.select(*keys, *agronomic_columns("b", season, prefix, dry=F.col("_dry")))
 
 
 def current_season(

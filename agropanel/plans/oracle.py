@@ -14,9 +14,10 @@ shipped AS (
   SELECT l_suppkey AS site, CAST(l_shipdate AS DATE) AS date, sum(l_quantity) AS q,
          sum(round(l_discount * 100)::BIGINT)::DOUBLE / count(*) AS d, sum(round(l_tax * 100)::BIGINT)::DOUBLE / count(*) AS t,
          sum(round(l_extendedprice * 100)::BIGINT)::DOUBLE / count(*) AS p
-  FROM lineitem WHERE l_shipdate < TIMESTAMP '2001-11-01' GROUP BY 1, 2),
+  FROM lineitem GROUP BY 1, 2),
 calendar AS (
-  SELECT CAST(unnest(generate_series(DATE '1995-01-01', DATE '2001-10-31', INTERVAL 1 DAY)) AS DATE) AS date),
+  SELECT CAST(unnest(generate_series(first, last, INTERVAL 1 DAY)) AS DATE) AS date
+  FROM (SELECT min(CAST(l_shipdate AS DATE)) AS first, max(CAST(l_shipdate AS DATE)) AS last FROM lineitem)),
 daily AS (
   SELECT state, district, lat, lon, c.date, coalesce(q, 0)::DOUBLE AS rainfall_mm, 18 + 2.5::DOUBLE * d AS temp_max_c,
          14 - 2 * t AS temp_min_c, ((18 + 2.5::DOUBLE * d) + (14 - 2 * t)) / 2 AS temp_avg_c,
@@ -44,11 +45,12 @@ season_yield AS (
 
 COVARIATES = """
 covariates AS (
-  SELECT n_name AS state, c_name AS district, year(o_orderdate) AS year, sum(l_discount) AS fertilizer_tons,
-         sum(l_tax) AS nitrogen_tons, sum(l_quantity) / 10000 AS irrigated_area_1000ha
+  SELECT n_name AS state, c_name AS district, year(o_orderdate) AS year,
+         CASE WHEN c_custkey % 11 <> 0 THEN sum(l_discount) END AS fertilizer_tons,
+         CASE WHEN c_custkey % 11 <> 0 THEN sum(l_tax) END AS nitrogen_tons, sum(l_quantity) / 10000 AS irrigated_area_1000ha
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
   JOIN nation ON c_nationkey = n_nationkey
-  WHERE o_orderdate >= TIMESTAMP '1996-01-01' GROUP BY ALL)"""
+  GROUP BY n_name, c_name, c_custkey, year(o_orderdate))"""
 
 ET0 = "0.0023::DOUBLE * solar_radiation * (temp_avg_c + 17.8::DOUBLE) * sqrt(greatest(temp_max_c - temp_min_c, 0))"
 

@@ -79,12 +79,12 @@ def dup_average(spark, sf_dir):
         f"""SELECT count(*)::BIGINT AS n_both, count(*) FILTER (WHERE k = r)::BIGINT AS n_identical,
         {o.num('count(*) FILTER (WHERE k = r) / count(*) * 100', 4, 'pct_identical')} FROM (
         SELECT state, district, year, avg(area_ha) FILTER (WHERE season = 'Kharif') AS k,
-               avg(area_ha) FILTER (WHERE season = 'Rabi') AS r FROM season_yield WHERE record = 'O' GROUP BY ALL)
+               avg(area_ha) FILTER (WHERE season = 'Rabi') AS r FROM season_yield GROUP BY ALL)
         WHERE k IS NOT NULL AND r IS NOT NULL""",
     ),
 )
 def season_overlap(spark, sf_dir):
-    records = fx.season_yields(spark, sf_dir).where(F.col("record") == "O")
+    records = panel.average_duplicates(fx.season_yields(spark, sf_dir), KEYS)
     return tidy(panel.season_overlap(records, [*SITE, "year"], "area_ha", "Kharif", "Rabi"))
 
 
@@ -568,15 +568,15 @@ def join_by_name(spark, sf_dir):
         o.SEASONAL,
         "SELECT state, "
         + ", ".join(
-            o.num(f"avg(nasa_rainfall_kharif) FILTER (WHERE year = {y})", 4, f"y{y}") for y in range(1996, 2002)
+            o.num(f"avg(nasa_rainfall_kharif) FILTER (WHERE year = {y})", 4, f"y{y}") for y in range(1994, 2002)
         )
         + " FROM seasonal GROUP BY ALL",
     ),
 )
 def state_year_pivot(spark, sf_dir):
     seasonal = weather.seasonal(fx.daily(spark, sf_dir))
-    wide = seasonal.groupBy("state").pivot("year", list(range(1996, 2002))).agg(F.avg("nasa_rainfall_kharif"))
-    return tidy(wide.select("state", *[F.col(str(y)).alias(f"y{y}") for y in range(1996, 2002)]))
+    wide = seasonal.groupBy("state").pivot("year", list(range(1994, 2002))).agg(F.avg("nasa_rainfall_kharif"))
+    return tidy(wide.select("state", *[F.col(str(y)).alias(f"y{y}") for y in range(1994, 2002)]))
 
 
 @register(

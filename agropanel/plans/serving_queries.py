@@ -420,7 +420,8 @@ def supplier_districts(spark, sf_dir):
 
 _RISK = o.DAILY + f""",
     totals AS (SELECT state, district, y, sum(rainfall_mm) AS total, count(rainfall_mm) AS days FROM daily
-               WHERE y BETWEEN 1996 AND 2001 AND date >= make_date(y, 6, 1) AND m <= 10 GROUP BY ALL),
+               WHERE y BETWEEN 1996 AND 2001 AND date >= make_date(y, 6, 1) AND date - make_date(y, 6, 1)
+                 <= (SELECT max(date) FROM daily WHERE y = 2001 AND m >= 6) - DATE '2001-06-01' GROUP BY ALL),
     stats AS (SELECT state, district, max(total) FILTER (WHERE y = 2001) AS t, max(days) FILTER (WHERE y = 2001) AS days,
                 avg(total) FILTER (WHERE y < 2001) AS mean, stddev_samp(total) FILTER (WHERE y < 2001) AS std,
                 count(total) FILTER (WHERE y < 2001) AS n FROM totals GROUP BY ALL),

@@ -118,7 +118,7 @@ def agronomic_features(spark, sf_dir):
     """Block form: the blocks are keyed by season and crop year and computed by the shared block function."""
     days = fx.daily(spark, sf_dir).withColumn("season", F.lower(S.season_name("date")))
     days = days.where(F.col("season").isNotNull()).withColumn("year", S.crop_year("date"))
-    out = weather.block_features(days, [*SITE, "season", "year"], "block", max_days=153)
+    out = weather.block_features(days, [*SITE, "season", "year"], "block")
     names = {f"{x}_block": x for x in ("gdd", "rainfall_cv", "water_balance")}
     return tidy(out.select(*SITE, "season", "year", *[F.col(a).alias(b) for a, b in names.items()]))
 
@@ -127,13 +127,14 @@ def agronomic_features(spark, sf_dir):
     "dry_streak",
     o.query(
         o.DAILY + "," + o.STREAK,
-        "SELECT state, district, lower(season) AS season, cy::INTEGER AS year, streak::INTEGER AS streak FROM streaks",
+        "SELECT state, district, lower(season) AS season, cy::INTEGER AS year, coalesce(streak, 0)::INTEGER AS streak "
+        "FROM (SELECT DISTINCT state, district, season, cy FROM marked) LEFT JOIN streaks USING (state, district, season, cy)",
     ),
 )
 def dry_streak(spark, sf_dir):
     days = fx.daily(spark, sf_dir).withColumn("season", F.lower(S.season_name("date")))
     days = days.where(F.col("season").isNotNull()).withColumn("year", S.crop_year("date"))
-    out = weather.block_features(days, [*SITE, "season", "year"], "block", max_days=153)
+    out = weather.block_features(days, [*SITE, "season", "year"], "block")
     return out.select(*SITE, "season", "year", F.col("max_dry_streak_block").alias("streak"))
 
 
@@ -253,7 +254,7 @@ def rain_scale(spark, sf_dir):
         coalesce(current_rai < -1, false)::INTEGER AS current_drought_flag,
         coalesce(current_rai > 1, false)::INTEGER AS current_flood_flag,
         s.max_dry_streak_rabi::INTEGER AS current_max_dry_streak_rabi,
-        {o.num('s.gdd_rabi', 4, 'current_gdd_rabi')}, DATE '2001-10-31' AS data_as_of
+        {o.num('s.gdd_rabi', 4, 'current_gdd_rabi')}, (SELECT max(date) FROM daily) AS data_as_of
         FROM scored c JOIN seasonal s ON s.state = c.state AND s.district = c.district AND s.year = 2000""",
     ),
 )

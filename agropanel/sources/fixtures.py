@@ -9,9 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-FIRST_DAY = "1995-01-01"
-LAST_DAY = "2001-10-31"
-
 # given schemas save one footer-reading job per table
 SCHEMAS = {
     "nation": "n_nationkey int, n_name string, n_regionkey int",
@@ -75,23 +72,21 @@ def cents(column: str):
 
 
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily weather per supplier over the whole calendar; days without a shipment are dry and unmeasured.
+    """Daily weather per supplier from the first to the last shipping day; days without a shipment are dry and unmeasured.
 
     Shipments shrink to one row per site-day first (so a site never has more rows than the calendar has days); the
     empty days up to the next shipment are then generated in place and are never shuffled.
     """
-    first, last = F.lit(FIRST_DAY).cast("date"), F.lit(LAST_DAY).cast("date")
-    shipped = (
-        table(spark, sf_dir, "lineitem")
-        .where(F.col("l_shipdate") < F.lit("2001-11-01").cast("timestamp_ntz"))
-        .select(
-            F.col("l_suppkey").alias("site"),
-            F.col("l_shipdate").cast("date").alias("_from"),
-            F.col("l_quantity").alias("q"),
-            cents("l_discount").alias("d"),
-            cents("l_tax").alias("t"),
-            cents("l_extendedprice").alias("p"),
-        )
+    lines = table(spark, sf_dir, "lineitem")
+    first = lines.agg(F.min("l_shipdate").cast("date")).scalar()
+    last = lines.agg(F.max("l_shipdate").cast("date")).scalar()
+    shipped = lines.select(
+        F.col("l_suppkey").alias("site"),
+        F.col("l_shipdate").cast("date").alias("_from"),
+        F.col("l_quantity").alias("q"),
+        cents("l_discount").alias("d"),
+        cents("l_tax").alias("t"),
+        cents("l_extendedprice").alias("p"),
     )
     openings = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("site"), first.alias("_from"))
     per_day = (
@@ -181,7 +176,10 @@ def season_yields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def covariates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Inputs per customer and year: taxes as nitrogen, discounts as fertiliser, quantity as irrigated area."""
+    """Inputs per customer and year: taxes as nitrogen, discounts as fertiliser, quantity as irrigated area.
+
+    Every eleventh customer reports no fertiliser and no nitrogen, as real records leave gaps.
+    """
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity", "l_tax", "l_discount")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.year("o_orderdate").alias("year"))
     # lines shrink to one row per order before the join
@@ -190,11 +188,10 @@ def covariates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     per_year = (
         per_order.join(orders, "o_orderkey")
-        .where(F.col("year") >= 1996)
         .groupBy(F.col("o_custkey").alias("custkey"), "year")
         .agg(
-            F.sum("d").alias("fertilizer_tons"),
-            F.sum("t").alias("nitrogen_tons"),
+            F.when(F.col("custkey") % 11 != 0, F.sum("d")).alias("fertilizer_tons"),
+            F.when(F.col("custkey") % 11 != 0, F.sum("t")).alias("nitrogen_tons"),
             (F.sum("q") / 10000).alias("irrigated_area_1000ha"),
         )
     )

@@ -101,7 +101,9 @@ def test_band_by_group_and_without(spark):
 def test_draws_are_distinct_and_repeatable():
     a = models.draw_settings(draws=40)
     assert a == models.draw_settings(draws=40) and len({str(x) for x in a}) == 40
-    assert models.expanding_folds([2003, 2001, 2002, 2000], 2) == [2002, 2003]
+    assert models.expanding_folds([2003, 2001, 2002, 2000], 2) == [(2002, 2002), (2003, 2003)]
+    assert models.expanding_folds(range(1990, 2010), 5) == [(1995, 1997), (1998, 2000), (2001, 2003), (2004, 2006), (2007, 2009)]
+    assert models.expanding_folds([2000, 2001], 5) == [(2001, 2001)] and models.expanding_folds([2000]) == []
 
 
 def test_walk_forward_and_search(spark, table):

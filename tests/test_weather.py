@@ -79,6 +79,12 @@ def test_runs_against_plain_code_over_word_borders(spark):
     assert {r.district: r.max_dry_streak_rabi for r in got} == want
 
 
+def test_a_run_may_be_longer_than_a_season_or_a_year(spark):
+    assert block(spark, [0] * 500).max_dry_streak_rabi == 500
+    assert block(spark, [0] * 500, start=dt.date(1969, 7, 1)).max_dry_streak_rabi == 500
+    assert block(spark, [0] * 200 + [4] + [0] * 900 + [4], start=dt.date(2001, 4, 3)).max_dry_streak_rabi == 900
+
+
 @pytest.mark.parametrize(
     "date, season, year",
     [
