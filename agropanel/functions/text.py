@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import html
-from collections.abc import Callable
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,40 +10,27 @@ from pyspark.sql import types as T
 
 from agropanel.functions.scalars import _col
 
-# Length limits and the entities that are decoded; the closing semicolon may be missing.
+# Length limits.
 LIMITS = {"category": 80, "query": 200, "title": 160, "snippet": 280, "url": 500}
-ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "#39": "'", "#x27": "'", "nbsp": "\u00a0", "copy": "\u00a9", "middot": "\u00b7"}
 BLANKS = r"(?U)[\s\x1c-\x1f]+"
 LINK = r"(?i)^https?://[^\s<>\"']+$"
 
 
-def decode_entities(c) -> Column:
-    """Each entity once: the ampersand last, so that an escaped entity is not decoded twice.
-
-    Plain replacement handles the usual spelling; patterns run only where an entity without its semicolon is left.
-    """
-    text = _col(c)
-    for name, char in ENTITIES.items():
-        text = F.replace(text, F.lit(f"&{name};"), F.lit(char))
-    loose = text
-    for name, char in ENTITIES.items():
-        loose = F.regexp_replace(loose, f"&{name}", char)
-    text = F.when(text.rlike("&(" + "|".join(ENTITIES) + ")"), loose).otherwise(text)
-    return F.regexp_replace(text, "&amp;?", "&")
-
-
 @F.pandas_udf(T.StringType())
 def unescape(values: pd.Series) -> pd.Series:
-    """Every named and numeric entity; the built-in functions only know the listed ones."""
+    """Every named and numeric character reference, decoded once."""
     return values.map(html.unescape, na_action="ignore")
 
 
-def clean(c, limit: int | None = None, decode: Callable[[Column], Column] = decode_entities) -> Column:
-    """Entities decoded first, so that escaped tags go too; then markup and doubled blanks; then the length cap.
+def decode_entities(c) -> Column:
+    """Character references decoded in Arrow batches; texts without an ampersand stay in the JVM."""
+    text = _col(c)
+    return F.coalesce(unescape(F.when(F.contains(text, F.lit("&")), text)), text)
 
-    The default decoder stays in the JVM and knows the listed entities; `decode=unescape` knows all of them.
-    """
-    text = decode(F.coalesce(_col(c), F.lit("")))
+
+def clean(c, limit: int | None = None) -> Column:
+    """References decoded first, so that escaped tags go too; then markup and doubled blanks; then the length cap."""
+    text = decode_entities(F.coalesce(_col(c), F.lit("")))
     text = F.regexp_replace(text, "<[^>]*>", " ")
     text = F.translate(text, "<>", "  ")
     text = F.trim(F.regexp_replace(text, BLANKS, " "))
@@ -67,5 +52,21 @@ def top_results(df: DataFrame, section: str, order: str, k: int = 3) -> DataFram
     citable = df.withColumn("url", link("url")).where(F.col("url").isNotNull())
     w = Window.partitionBy(section).orderBy(order)
     first = citable.withColumn("position", F.row_number().over(w)).where(F.col("position") <= k)
-    titled = first.withColumn("title", clean("title", LIMITS["title"], unescape))
-    return titled.withColumn("snippet", clean("content", LIMITS["snippet"], unescape)).drop("content")
+    titled = first.withColumn("title", clean("title", LIMITS["title"]))
+    return titled.withColumn("snippet", clean("content", LIMITS["snippet"])).drop("content")
+
+
+def shape_sections(sections: DataFrame, results: DataFrame, section: str, order: str, k: int = 3) -> DataFrame:
+    """Every section with its plain category and query, its first k citable results and whether its source failed.
+
+    `sections` holds (section, category, query, error), `results` (section, order, title, content, url). A section
+    without a citable result keeps an empty list; the error's text is not passed on.
+    """
+    first = top_results(results, section, order, k)
+    item = F.struct("position", "title", "snippet", "url")
+    listed = first.groupBy(section).agg(F.sort_array(F.collect_list(item)).alias("results"))  # at most k items
+    empty = F.array().cast("array<struct<position:int,title:string,snippet:string,url:string>>")
+    return sections.join(listed, section, "left").select(
+        section, clean("category", LIMITS["category"]).alias("category"), clean("query", LIMITS["query"]).alias("query"),
+        F.coalesce("results", empty).alias("results"), (F.coalesce(F.col("error"), F.lit("")) != "").alias("failed"),
+    )

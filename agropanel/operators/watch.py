@@ -26,16 +26,21 @@ def diff(
     keys: Sequence[str] = ("state", "district", "crop"),
     limits: K.ChangeThresholds = K.ChangeThresholds(),
 ) -> DataFrame:
-    """Changes since the previous snapshot with a level and a note; without one every row is baseline."""
+    """Changes since the previous snapshot with a level and a note; without one every row is baseline.
+
+    A key that the previous snapshot holds twice is an error, raised when the row is computed.
+    """
     null = F.lit(None).cast("double")
     if previous is None:
         out = current.withColumns({"yield_change": null, "rai_change": null, "severity_change": null})
         out = out.withColumn("previous_severity", null).withColumn("alert_level", F.lit("baseline"))
     else:
-        before = previous.select(
-            *keys, F.col("pred_yield").alias("_pred"), F.col("rai").alias("_rai"),
-            F.col("severity").alias("previous_severity"),
+        before = previous.groupBy(*keys).agg(
+            F.count(F.lit(1)).alias("_n"), F.max("pred_yield").alias("_pred"), F.max("rai").alias("_rai"),
+            F.max("severity").alias("previous_severity"),
         )
+        twice = F.raise_error(F.lit("a key occurs twice in the previous snapshot")).cast("double")
+        before = before.withColumn("_pred", F.when(F.col("_n") > 1, twice).otherwise(F.col("_pred"))).drop("_n")
         out = current.join(before, list(keys), "left")
         out = out.withColumns(
             {

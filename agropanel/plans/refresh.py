@@ -99,13 +99,19 @@ def daily_sites(inputs: Inputs) -> DataFrame | None:
     return None if inputs.expected_sites.isEmpty() else inputs.expected_sites
 
 
+def matched(rows: DataFrame, keys: Sequence[str], source: str) -> DataFrame:
+    """All rows, each with a known site and once; else the run is refused."""
+    return gate.require_matched(panel.known_sites(rows), rows.count(), keys, source)
+
+
 def refresh(
     spark: SparkSession, root: str, inputs: Inputs, settings: Settings, score: Callable[[DataFrame], DataFrame]
 ) -> tuple[str, str]:
     """Cleaned weather to live features, forecast, changes, risk and checks; returns (run id, status).
 
-    `score` adds pred_yield, pred_lower and pred_upper. Shared results are written once and read back, so that each
-    later table is computed from files and not from the whole chain.
+    `score` adds pred_yield, pred_lower and pred_upper; its attribute `features`, the names that the model was fitted on, is
+    compared with the contract. A forecast or risk whose site is unknown, or that comes twice, refuses the run. Shared
+    results are written once and read back, so that each later table is computed from files and not from the whole chain.
     """
     daily = readers.clean_daily(inputs.daily)
     work = f"{root}/work/{settings.stamp}"
@@ -116,8 +122,8 @@ def refresh(
     rows = live_rabi_rows(inputs.history, live, settings.crop, inputs.vegetation).where(F.col("crop") == settings.crop)
     scored = score(rows).withColumn("change", F.col("pred_yield") - F.col(panel.TARGET))
     resolved = panel.resolve_ids(scored, inputs.sites, panel.alias_table(spark))
-    sinks.overwrite(panel.known_sites(resolved), f"{work}/predictions")
-    predictions = spark.read.parquet(f"{work}/predictions")
+    sinks.overwrite(resolved, f"{work}/predictions")
+    predictions = matched(spark.read.parquet(f"{work}/predictions"), ["district_id", "crop"], "predictions")
 
     shot = watch.snapshot(
         predictions.withColumn("rai", F.col("rainfall_anomaly_index")), inputs.seasonal
@@ -128,9 +134,8 @@ def refresh(
     sinks.append_snapshot(shot, f"{root}/snapshots", settings.stamp)
 
     risk = anomaly.season_to_date(daily, settings.season_year, settings.first_year, as_of=settings.as_of)
-    risk = panel.known_sites(panel.resolve_ids(risk, inputs.sites, panel.alias_table(spark)))
-    sinks.overwrite(risk, f"{work}/risk")
-    risk = spark.read.parquet(f"{work}/risk")
+    sinks.overwrite(panel.resolve_ids(risk, inputs.sites, panel.alias_table(spark)), f"{work}/risk")
+    risk = matched(spark.read.parquet(f"{work}/risk"), ["district_id"], "season risk")
 
     year = settings.season_year
     landed = daily.where(F.col("rainfall_mm").isNotNull() & S.between_days("date", f"{year}-01-01", f"{year}-12-31"))
@@ -141,7 +146,7 @@ def refresh(
     def checks(_run_id: str) -> DataFrame:
         found = gate.combine(
             [
-                gate.schema_consistency(spark, {"model": settings.features}, settings.features),
+                gate.schema_consistency(spark, {"model": getattr(score, "features", None)}, settings.features),
                 gate.diversity(risk, "kharif_risk_level", "season risk"),
                 gate.diversity(changes, "alert_level", "alerts", "yield_change"),
                 gate.feature_ranges(inputs.history, predictions, check_features),

@@ -730,10 +730,14 @@ def json_objects(spark, sf_dir):
     )
 
 
+#: Named references in the given pages, all that the SQL twin decodes there.
+_PAGE_REFERENCES = {"lt": "<", "gt": ">", "quot": '"', "#39": "'", "#x27": "'", "nbsp": "\u00a0", "copy": "\u00a9", "middot": "\u00b7"}
+
+
 def clean_sql(column: str) -> str:
     """SQL twin of text.clean."""
     out = f"coalesce({column}, '')"
-    for name, char in [*text.ENTITIES.items(), ("amp", "&")]:
+    for name, char in [*_PAGE_REFERENCES.items(), ("amp", "&")]:
         quoted = char.replace("'", "''")
         out = f"regexp_replace({out}, '&{name};?', '{quoted}', 'g')"
     out = f"translate(regexp_replace({out}, '<[^>]*>', ' ', 'g'), '<>', '  ')"
@@ -747,14 +751,53 @@ def clean_sql(column: str) -> str:
         "",
         f"""SELECT page_id, {clean_sql('html')} AS body, substring({clean_sql('html')}, 1, 280) AS snippet,
         coalesce(CASE WHEN length(trim(url)) <= 500 AND regexp_matches(trim(url), '(?i)^https?://[^\\s<>"'']+$')
-             THEN trim(url) END, '') AS link FROM pages""",
+             THEN trim(url) END, '') AS link,
+        'a ' || chr((945 + page_id % 25)::INTEGER) || ' —é…≪ ' || chr((128512 + page_id % 60)::INTEGER) || ' &lt; x' AS spelled
+        FROM pages""",
     ).replace("WITH \n", ""),
 )
 def text_sanitise(spark, sf_dir):
+    """The pages, and references spelled in every way: decimal, hexadecimal, named, doubly escaped."""
     pages = fx.table(spark, sf_dir, "pages")
+    spelled = F.concat(
+        F.lit("a &#"), (945 + F.col("page_id") % 25).cast("string"), F.lit("; &mdash;&eacute;&hellip;&Lt; &#x"),
+        F.lower(F.hex(128512 + F.col("page_id") % 60)), F.lit("; &amp;lt; <b>x"),
+    )
     return pages.select(
         "page_id", text.clean("html").alias("body"), text.clean("html", text.LIMITS["snippet"]).alias("snippet"),
-        F.coalesce(text.link("url"), F.lit("")).alias("link"),
+        F.coalesce(text.link("url"), F.lit("")).alias("link"), text.clean(spelled).alias("spelled"),
+    )
+
+
+@register(
+    "text_sections",
+    o.query(
+        "found AS (SELECT page_id, (page_id % 20)::INTEGER AS section, trim(url) AS url, html FROM pages "
+        "WHERE length(trim(url)) <= 500 AND regexp_matches(trim(url), '(?i)^https?://[^\\s<>\"'']+$')), "
+        "first AS (SELECT *, row_number() OVER (PARTITION BY section ORDER BY page_id) AS position FROM found)",
+        f"""SELECT n_nationkey::INTEGER AS section, n_name AS category, 'rain & ' || n_name AS query,
+        count(url)::BIGINT AS n_results, coalesce(string_agg(url, ' ' ORDER BY position), '') AS urls,
+        coalesce(string_agg(substring({clean_sql('html')}, 1, 280), ' ' ORDER BY position), '') AS snippets,
+        (n_regionkey = 1)::INTEGER AS failed
+        FROM nation LEFT JOIN (SELECT * FROM first WHERE position <= 3) f ON f.section = n_nationkey
+        GROUP BY n_nationkey, n_name, n_regionkey""",
+    ),
+)
+def text_sections(spark, sf_dir):
+    """Retrieved pages under the nations; five nations have none, one region's source failed."""
+    pages = fx.table(spark, sf_dir, "pages")
+    results = pages.select(
+        (F.col("page_id") % 20).cast("int").alias("section"), "page_id", "url", F.col("url").alias("title"), F.col("html").alias("content")
+    )
+    sections = fx.table(spark, sf_dir, "nation").select(
+        F.col("n_nationkey").cast("int").alias("section"), F.concat(F.lit("&lt;b&gt;"), "n_name", F.lit("</b>")).alias("category"),
+        F.concat(F.lit("rain &amp;  "), "n_name").alias("query"), F.when(F.col("n_regionkey") == 1, "timeout").alias("error"),
+    )
+    shaped = text.shape_sections(sections, results, "section", "page_id")
+    return shaped.select(
+        "section", "category", "query", F.size("results").cast("long").alias("n_results"),
+        F.array_join("results.url", " ").alias("urls"), F.array_join("results.snippet", " ").alias("snippets"),
+        F.col("failed").cast("int").alias("failed"),
     )
 
 

@@ -24,6 +24,26 @@ def overwrite(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> Non
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
+def replace_table(df: DataFrame, path: str) -> None:
+    """Writes beside the table and then switches the folders, so a failure half-way leaves the old table."""
+    spark = df.sparkSession
+    jvm = spark.sparkContext._jvm
+
+    def at(name: str):
+        return jvm.org.apache.hadoop.fs.Path(name)
+
+    new, old = f"{path}__new_{uuid.uuid4().hex}", f"{path}__old_{uuid.uuid4().hex}"
+    df.write.parquet(new)
+    fs = at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    had = fs.exists(at(path))
+    if had and not fs.rename(at(path), at(old)):
+        raise OSError(f"{path} could not be set aside")
+    if not fs.rename(at(new), at(path)):
+        raise OSError(f"{path} could not be put in place; its rows are in {new}")
+    if had:
+        fs.delete(at(old), True)
+
+
 def append_run(df: DataFrame, path: str, run_id: str) -> None:
     """Run-scoped append; a repeated write of the same run replaces its partition only."""
     tagged = df.withColumn("run_id", F.lit(run_id))
@@ -32,10 +52,11 @@ def append_run(df: DataFrame, path: str, run_id: str) -> None:
 
 
 def append_snapshot(df: DataFrame, path: str, stamp: str) -> None:
-    """Adds one snapshot; earlier snapshots are never touched."""
+    """Adds one snapshot; a repeated write of one stamp replaces it, other snapshots are never touched."""
     columns = [c for c in sc.SNAPSHOT.fieldNames() if c != "snapshot_ts"]
     out = df.select(*columns, F.lit(stamp).alias("snapshot_ts"))
-    out.write.mode("append").partitionBy("snapshot_ts").parquet(path)
+    writer = out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("snapshot_ts").parquet(path)
 
 
 def failure_ledger(expected: DataFrame, landed: DataFrame, keys: Sequence[str] = ("state", "district")) -> DataFrame:
@@ -52,7 +73,10 @@ def write_ledger(ledger: DataFrame, path: str) -> None:
 def merge_rows(
     existing: DataFrame, incoming: DataFrame, keys: Sequence[str], keep_first: Sequence[str] = ()
 ) -> DataFrame:
-    """Result of a keyed upsert: new rows win, except columns in `keep_first`, which keep their first known value."""
+    """Result of a keyed upsert: new rows win, except columns in `keep_first`, which keep their first known value.
+
+    The keys of `incoming` must be unique; `upsert` refuses others.
+    """
     keys = list(keys)
     columns = existing.columns
     new = incoming
@@ -76,6 +100,9 @@ def upsert(
     """
     if not set(partition_by) <= set(keys):
         raise ValueError("partition columns must be part of the key")
+    repeated = incoming.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    if not repeated.isEmpty():
+        raise ValueError(f"repeated keys {list(keys)} in the rows to merge")
     existing = read_table(spark, path, schema)
     if partition_by:
         touched = incoming.select(*partition_by).distinct()
@@ -85,7 +112,7 @@ def upsert(
         writer = merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         writer.partitionBy(*partition_by).parquet(path)
     else:
-        overwrite(merged, path)
+        replace_table(merged, path)
 
 
 # ---- run-scoped rows ------------------------------------------------------------------------------------------

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from agropanel import schema as sc
+from agropanel.lineage import cut
 from agropanel.operators.panel import keep_last
 from agropanel.sources.readers import clean_daily, explode_payload, read_optional
 
@@ -38,11 +39,9 @@ def merge_daily(batch: DataFrame, table: str) -> None:
     old = read_optional(spark, table, schema)
     rows = incoming if old is None else old.where(F.col("year").isin(*years)).unionByName(incoming)
     merged = keep_last(rows, [*KEYS, "year"], ["landed_at"])
-    staged = f"{table}_stage"
-    merged.write.mode("overwrite").parquet(staged)
-    spark.read.schema(schema).parquet(staged).write.mode("overwrite").option(
-        "partitionOverwriteMode", "dynamic"
-    ).partitionBy("year").parquet(table)
+    # a table may not be read and overwritten in one job: the checkpoint holds the merged rows
+    writer = cut(merged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("year").parquet(table)
     incoming.unpersist()
 
 

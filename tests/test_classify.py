@@ -138,6 +138,20 @@ def test_clean_text(spark):
     assert tuple(row) == ("A bold x &amp; 3 4 end", "abc", "", "HTTPS://a.org/x", None, None, None)
 
 
+def test_every_reference_is_decoded_once(spark):
+    raw = "&mdash;&hellip;&eacute; &#8217;&#x2019; &#3937; &ltimes; &amp;amp; &notanentity; a&b"
+    row = spark.range(1).select(text.clean(F.lit(raw)).alias("a"), text.clean(F.lit("plain")).alias("b")).first()
+    assert tuple(row) == ("—…é ’’ \u0f61 ⋉ &amp; ¬anentity; a&b", "plain")
+
+
+def test_sections_keep_their_shape_without_results(spark):
+    sections = spark.createDataFrame([(1, "A &amp; b", "q", None), (2, None, None, "no route"), (3, "c", "q3", "")], "s int, category string, query string, error string")
+    rows = [(1, i, f"t{i}", "c", "bad" if i == 1 else f"http://x/{i}") for i in range(6)] + [(2, 0, "t", "c", "bad")]
+    results = spark.createDataFrame(rows, "s int, rank int, title string, content string, url string")
+    got = {r.s: (r.category, r.query, [x.url for x in r.results], r.failed) for r in text.shape_sections(sections, results, "s", "rank").collect()}
+    assert got == {1: ("A & b", "q", ["http://x/0", "http://x/2", "http://x/3"], False), 2: ("", "", [], True), 3: ("c", "q3", [], False)}
+
+
 def test_top_results_keep_citable_rows(spark):
     rows = [("s", i, f"t{i}", "c", "bad" if i == 1 else f"http://x/{i}") for i in range(6)]
     df = spark.createDataFrame(rows, "section string, rank int, title string, content string, url string")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from agropanel import schema as sc
-from agropanel.operators import panel
+from agropanel.operators import panel, watch
 from agropanel.plans import refresh as rf
 from agropanel.plans import views
 from agropanel.sources import readers, sinks
@@ -58,6 +58,11 @@ def test_snapshots_are_appended_and_the_newest_before_now_is_read(spark, tmp_pat
     sinks.append_snapshot(df, path, "20260101_000000")
     sinks.append_snapshot(df.withColumn("pred_yield", F.lit(2.0)), path, "20260102_000000")
     assert readers.latest_snapshot(spark, path).first().pred_yield == 2.0
+    sinks.append_snapshot(df.withColumn("pred_yield", F.lit(3.0)), path, "20260102_000000")
+    assert [r.pred_yield for r in readers.latest_snapshot(spark, path).collect()] == [3.0]
+    assert spark.read.parquet(path).count() == 2
+    with pytest.raises(Exception, match="twice"):
+        watch.diff(df, df.union(df)).collect()
     assert readers.latest_snapshot(spark, path, "20260102_000000").first().pred_yield == 1.0
     assert readers.latest_snapshot(spark, path, "20260101_000000") is None
 
@@ -82,6 +87,20 @@ def test_upsert_twice_gives_the_same_table(spark, tmp_path):
     assert got == {(1, 2000): 1.0, (1, 2001): 9.0, (2, 2001): 3.0}
 
 
+def test_upsert_refuses_repeated_keys_and_keeps_the_old_table_on_failure(spark, tmp_path):
+    path, schema = str(tmp_path / "t"), sc.ENV_SEASONAL
+    rows = spark.createDataFrame([(1, 2000, "Rabi", "ndvi", 0.5)], "district_id int, year int, season string, metric string, value double")
+    rows = rows.select(*[F.col(c) if c in rows.columns else F.lit(None).alias(c) for c in schema.fieldNames()])
+    keys = ["district_id", "year", "season", "metric"]
+    sinks.upsert(spark, rows, path, keys, schema)
+    with pytest.raises(ValueError, match="repeated keys"):
+        sinks.upsert(spark, rows.union(rows), path, keys, schema)
+    with pytest.raises(Exception, match="broken"):
+        sinks.replace_table(rows.withColumn("value", F.raise_error(F.lit("broken")).cast("double")), path)
+    sinks.replace_table(rows.withColumn("value", F.lit(2.0)), path)
+    assert [r.value for r in spark.read.parquet(path).collect()] == [2.0]
+
+
 def test_partitioned_upsert_rewrites_only_touched_partitions(spark, tmp_path):
     path = str(tmp_path / "env")
     keys = ["district_id", "year", "season", "metric"]
@@ -311,12 +330,22 @@ def test_refresh_end_to_end(spark, tmp_path):
     assert status in ("ok", "flagged")
     predictions = spark.read.parquet(f"{tmp_path}/predictions")
     assert predictions.count() == 12 and predictions.where("district_id = 1").first().features["nasa_rainfall_rabi"] > 0
-    watch = spark.read.parquet(f"{tmp_path}/watch_events")
-    assert {r.alert_level for r in watch.collect()} == {"baseline"}
+    events = spark.read.parquet(f"{tmp_path}/watch_events")
+    assert {r.alert_level for r in events.collect()} == {"baseline"}
     second, _ = go("20260722_020000", 2)
-    watch = spark.read.parquet(f"{tmp_path}/watch_events").where(F.col("run_id") == second)
-    assert watch.count() == 12 and "baseline" not in {r.alert_level for r in watch.collect()}
+    events = spark.read.parquet(f"{tmp_path}/watch_events").where(F.col("run_id") == second)
+    assert events.count() == 12 and "baseline" not in {r.alert_level for r in events.collect()}
     assert spark.read.parquet(f"{tmp_path}/snapshots").count() == 24
+    good, bad = score(3), score(3)
+    good.features, bad.features = features, features[:1]
+    for stamp, run, want in (("20260722_040000", good, "pass"), ("20260722_050000", bad, "fail")):
+        settings = rf.Settings(2025, 2026, 2020, "Wheat", "v1", "2026-07-22", stamp, "2026-07-22 05:00:00", features)
+        name, _ = rf.refresh(spark, str(tmp_path), inputs, settings, run)
+        found = spark.read.parquet(f"{tmp_path}/sanity_checks").where(F.col("run_id") == name)
+        assert {r.status for r in found.where("check_name = 'schema_consistency'").collect()} == {want}
+    fewer = rf.Inputs(daily, inputs.expected_sites, history, seasonal, sites.where("district_id > 1"))
+    with pytest.raises(RuntimeError, match="matched a known site"):
+        rf.refresh(spark, str(tmp_path), fewer, settings, good)
     if status == "ok":
         assert views.latest_run(spark.read.schema(sc.RUNS).parquet(f"{tmp_path}/runs")).count() == 1
     assert manifest.where("status = 'failed'").count() == 0
