@@ -119,6 +119,18 @@ def fit_ridge(train: DataFrame, features: Sequence[str], alpha: float = RIDGE_AL
     return Ridge(prepared, scale, solver.fit(_scaled(prepared, scale, train)))
 
 
+def normal_equation_gaps(ridge: Ridge, train: DataFrame, alpha: float = RIDGE_ALPHA) -> DataFrame:
+    """(feature, residual, n): mean of z (y - prediction) less alpha times the weight per row; 0 at the solution."""
+    filled = impute(ridge.transform(train), ridge.prepared.medians)
+    error = F.col(TARGET) - F.col("pred")
+    sums = []
+    for c, weight in zip(ridge.prepared.features, ridge.model.coefficients.toArray().tolist(), strict=True):
+        mean, std = ridge.scale[c]
+        gap = (F.sum((F.col(c) - mean) / (std or 1.0) * error) - alpha * weight) / F.count(F.lit(1))
+        sums.append(F.struct(F.lit(c).alias("feature"), gap.alias("residual"), F.count(F.lit(1)).alias("n")))
+    return filled.agg(F.array(*sums).alias("found")).select(F.explode("found").alias("f")).select("f.*")
+
+
 def change_columns(scored: DataFrame, last_yield: str = TARGET) -> DataFrame:
     """Prediction and its difference to the last published yield."""
     out = scored.withColumnRenamed("pred", "pred_yield")

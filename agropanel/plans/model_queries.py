@@ -1,6 +1,9 @@
-"""Registered queries that fit models. Their numbers depend on MLlib, so they have no SQL twin.
+"""Registered queries that fit models.
 
-Tree counts are small here, because a query is a check and not a production fit; every fit still reads all rows.
+Where SQL knows the exact answer there is a twin: ridge with two features, the normal equations of the full ridge, and
+trees over 0/1 flags, which with full depth and no sampling are group means whatever their number. The other numbers
+depend on MLlib. Tree counts are small there, because a query is a check and not a production fit; every fit still reads
+all rows.
 """
 
 from __future__ import annotations
@@ -9,12 +12,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from agropanel.operators import explain, metrics, models, panel
-from agropanel.plans.registry import register
+from agropanel.plans import oracle as o
+from agropanel.plans.registry import register, tidy
 from agropanel.sources import fixtures as fx
 
 FEATURES = ["lag_yield_1", "lag_yield_2", "lag_yield_3", "rolling_yield_3yr", "yield_trend", "yield_gap_vs_state",
             "log_area", "fertilizer_per_ha", "nitrogen_per_ha", "irrigation_pct", "time_trend", "crop_encoded"]
-LAG_EXTRA = ["flood_flag_lag1", "drought_flag_lag1"]
+LAG_EXTRA = ["rai_lag1", "flood_flag_lag1", "drought_flag_lag1"]
 TRAIN_END, VALID_END = 1998, 1999
 SMALL = {"maxIter": 8, "maxDepth": 3, "stepSize": 0.2}
 
@@ -139,3 +143,97 @@ def live_scores(spark, sf_dir):
     live = panel.latest_known(model_panel(spark, sf_dir))
     scored = models.change_columns(models.fit_ridge(train, FEATURES).transform(live))
     return scored.select("state", "district", "crop", "year", "pred_yield", "change")
+
+
+_SPLIT = "CASE WHEN year <= 1998 THEN 'train' WHEN year <= 1999 THEN 'valid' ELSE 'test' END"
+_ROWS = o.YIELD + "," + o.LAGS + f""",
+    rows_ AS (SELECT state, district, crop, year, yield_kg_ha AS y, lag_yield_1 AS a, area_ha AS b, (area_ha > 1.5)::INT AS f,
+                crop IN ('BUILDING', 'MACHINERY') AS g, {_SPLIT} AS split FROM lags WHERE lag_yield_1 IS NOT NULL)"""
+_ERRORS = """sqrt(avg((y - p) ** 2)) AS rmse, avg(abs(y - p)) AS mae, avg(abs((y - p) / y)) * 100 AS mape,
+    1 - sum((y - p) ** 2) / (var_pop(y) * count(*)) AS r2, count(*) AS n"""
+_METRICS = ("rmse", "mae", "mape", "r2")
+FLAGS = ["many_orders", "staple"]
+
+
+def _plain_rows(spark, sf_dir) -> DataFrame:
+    """Customer panel with a known last yield, two flags and the split."""
+    rows = panel.yield_lags(fx.yield_panel(spark, sf_dir)).dropna(subset=["lag_yield_1"])
+    rows = rows.withColumn("many_orders", (F.col("area_ha") > 1.5).cast("double"))
+    rows = rows.withColumn("staple", F.col("crop").isin("BUILDING", "MACHINERY").cast("double"))
+    return panel.with_split(rows, TRAIN_END, VALID_END)
+
+
+@register(
+    "ridge_two_features",
+    o.query(
+        _ROWS + f""",
+        s AS (SELECT avg(y) AS my, avg(a) AS ma, stddev_pop(a) AS sa, avg(b) AS mb, stddev_pop(b) AS sb FROM rows_ WHERE split = 'train'),
+        z AS (SELECT r.*, (a - ma) / sa AS za, (b - mb) / sb AS zb, y - my AS yc, my FROM rows_ r, s),
+        m AS (SELECT sum(za * za) + {models.RIDGE_ALPHA} AS aa, sum(za * zb) AS ab, sum(zb * zb) + {models.RIDGE_ALPHA} AS bb,
+                sum(za * yc) AS ay, sum(zb * yc) AS byc FROM z WHERE split = 'train'),
+        w AS (SELECT (bb * ay - ab * byc) / (aa * bb - ab * ab) AS wa, (aa * byc - ab * ay) / (aa * bb - ab * ab) AS wb FROM m),
+        scored AS (SELECT y, my + wa * za + wb * zb AS p FROM z, w WHERE split = 'test')""",
+        f"SELECT {o.nums(*_METRICS, digits=2)}, n::BIGINT AS n FROM (SELECT {_ERRORS} FROM scored)",
+    ),
+)
+def ridge_two_features(spark, sf_dir):
+    """Ridge on the last yield and the number of orders, against its closed form."""
+    rows = _plain_rows(spark, sf_dir)
+    model = models.fit_ridge(rows.where("split = 'train'"), ["lag_yield_1", "area_ha"])
+    return tidy(metrics.metrics(model.transform(rows.where("split = 'test'")), panel.TARGET, "pred"), 2)
+
+
+@register(
+    "ridge_normal_equations",
+    o.query(
+        _ROWS,
+        "SELECT f AS feature, 0.0::DOUBLE AS residual, (SELECT count(*) FROM rows_ WHERE split = 'train')::BIGINT AS n "
+        f"FROM (SELECT unnest({FEATURES!r}) AS f)",
+    ),
+)
+def ridge_normal_equations(spark, sf_dir):
+    """What each feature misses of its normal equation, mean of z (y - prediction) less alpha times its weight per row."""
+    train, _, _ = _split(spark, sf_dir)
+    model = models.fit_ridge(train, FEATURES)
+    return tidy(models.normal_equation_gaps(model, train), 3)
+
+
+@register(
+    "trees_on_flags",
+    o.query(
+        _ROWS + """,
+        means AS (SELECT f, g, avg(y) AS p FROM rows_ WHERE split = 'train' GROUP BY ALL),
+        scored AS (SELECT y, p FROM rows_ JOIN means USING (f, g) WHERE split = 'test')""",
+        f"""SELECT model, {o.nums(*_METRICS, digits=2)}, n::BIGINT AS n
+        FROM (SELECT {_ERRORS} FROM scored), (SELECT unnest(['boosted trees', 'random forest']) AS model)""",
+    ),
+)
+def trees_on_flags(spark, sf_dir):
+    """Boosted trees with early stopping and a forest over two flags, without any sampling: both must give group means."""
+    rows = _plain_rows(spark, sf_dir)
+    train, valid, test = (rows.where(F.col("split") == s) for s in ("train", "valid", "test"))
+    exact = {"minInstancesPerNode": 1, "subsamplingRate": 1.0, "featureSubsetStrategy": "all"}
+    boosted = models.fit_trees(train, FLAGS, models.boosted(**exact), valid)
+    forest = models.fit_trees(train, FLAGS, models.forest(**exact, bootstrap=False))
+    parts = [_metrics(boosted.transform(test), "boosted trees"), _metrics(forest.transform(test), "random forest")]
+    return tidy(parts[0].unionByName(parts[1]), 2)
+
+
+@register(
+    "attribution_of_one_flag",
+    o.query(
+        _ROWS + """,
+        means AS (SELECT f, avg(y) AS p FROM rows_ WHERE split = 'train' GROUP BY ALL),
+        base AS (SELECT avg(y) AS b0 FROM rows_ WHERE split = 'train')""",
+        f"""SELECT state, district, crop, year::INTEGER AS year, {o.num('p', 2, 'pred')}, {o.num('p - b0', 2, 'contribution')}
+        FROM rows_ JOIN means USING (f), base WHERE split = 'test'""",
+    ),
+)
+def attribution_of_one_flag(spark, sf_dir):
+    """With one flag the contribution is the prediction less the training mean."""
+    rows = _plain_rows(spark, sf_dir)
+    exact = {"minInstancesPerNode": 1, "subsamplingRate": 1.0, "maxIter": 20}
+    model = models.fit_trees(rows.where("split = 'train'"), FLAGS[:1], models.boosted(**exact))
+    scored = model.transform(rows.where("split = 'test'")).select("state", "district", "crop", "year", "features", "pred")
+    explained = explain.attribute(scored, model.model, model.prepared.names())
+    return tidy(explained.select("state", "district", "crop", "year", "pred", F.col("attributions")[FLAGS[0]].alias("contribution")), 2)
