@@ -7,9 +7,9 @@ positions. Only windows whose cover position starts a run that occurs elsewhere
 a sort of all windows would: runs at cover positions, those that occur twice, and the windows around these, one row for
 each cover position.
 
-A run that occurs more than HOT times is no bucket: its windows become buckets of their own, and each task keeps only its
-earliest occurrence of such a window before anything moves. So no bucket holds more than HOT rows or rows from as many
-tasks (times their flushes), however many documents share a passage.
+A run that occurs more than HOT times is no bucket: its windows become buckets of their own, and a task hands on one
+occurrence of each. So no bucket holds more than HOT rows or rows from as many tasks (times what they have forgotten),
+however many documents share a passage.
 """
 
 from __future__ import annotations
@@ -24,10 +24,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from agropanel.llm.common import batches, texts_of
+from agropanel.llm.common import batches, texts_of, written
 
 HOT = 256
-KEPT = 200_000  # hot windows that a task remembers before it hands them on
+KEPT = 200_000  # contents that a task remembers
 _M = np.uint64(0x9E3779B97F4A7C15)
 _M_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _B, _C = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -98,7 +98,7 @@ class Units:
     """What a text is cut into, and how windows travel.
 
     split: (unit hashes, first unit of each text and the end, content); pack: the data of n neighbouring windows from a
-    position of the content on; one: of such data the part of window j; resolve: see `repeated_runs`.
+    position of the content on; one: what stands for window j of such data; resolve: see `resolved`.
     """
 
     width: int
@@ -147,6 +147,7 @@ def places_of(runs: DataFrame, hot: int = HOT) -> DataFrame:
     Occurrences are counted per run with map-side sums; the join back is one that run-time skew handling can split.
     """
     often = runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor", (F.col("n") > hot).alias("hot"))
+    often = written(often, "often")  # the join then has a shuffle on both sides, and a run with very many places can be split
     place = F.when(F.col("hot"), -1 - F.col("place")).otherwise(F.col("place"))
     return runs.join(often, "anchor").groupBy("doc", "twin").agg(F.collect_list(place).alias("places"))
 
@@ -173,7 +174,9 @@ def packed_windows(joined: DataFrame, units: Units) -> DataFrame:
     """Rows of windows that may repeat, from (id, doc, twin, text, places).
 
     data null: decided, a run of `n` repeats from `start` on with a reference. Else n windows from `start` on, the first
-    with its cover position at `offset`, in the bucket they must be compared in.
+    with its cover position at `offset`, in the bucket they must be compared in; a negative offset marks the single window
+    of a hot run. What a task has met before at an earlier place is decided there and then, so equal contents reach a
+    bucket once for each task.
     """
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,10 +184,13 @@ def packed_windows(joined: DataFrame, units: Units) -> DataFrame:
         out: list[tuple] = []
         size = 0
 
-        def hand_on() -> None:
-            for (bucket, offset, data), (doc, twin, start) in seen.items():
-                out.append((bucket, doc, twin, start, offset, 1, None, None, None, data))
-            seen.clear()
+        def earlier(key: tuple, mine: tuple[int, int, int]) -> tuple[int, int, int] | None:
+            """An earlier place of the same content that this task has met; else the place is remembered."""
+            other = seen.setdefault(key, mine)
+            if other < mine:
+                return other
+            seen[key] = mine
+            return None
 
         for frame in batches(frames, units.batch_bytes):
             frame = frame.filter(frame.column(4).is_valid())
@@ -201,36 +207,40 @@ def packed_windows(joined: DataFrame, units: Units) -> DataFrame:
             owner = np.repeat(np.arange(frame.num_rows), sizes)[order]
             at, flag = at[order], flag[order]
             low, high = np.searchsorted(covers, at, "left"), np.searchsorted(covers, at, "right")
-            doc, twin = (frame.column(i).to_numpy() for i in (1, 2))
-            named = anchors[at].view(np.int64).tolist()
-            for i, a, b in zip(range(len(at)), starts[low].tolist(), starts[high - 1].tolist(), strict=True):
-                d, t, first = int(doc[owner[i]]), int(twin[owner[i]]), int(firsts[owner[i]])
-                offset, place = int(at[i]) - a, a - first
-                data = units.pack(content, a, b - a + 1)
-                if not flag[i]:
-                    out.append((named[i], d, t, place, offset, b - a + 1, None, None, None, data))
-                    size += len(data) + 60
-                else:
-                    for j in range(b - a + 1):
-                        one = units.one(data, j)
-                        key, mine = (_bucket(named[i], offset - j, one), offset - j, one), (d, t, place + j)
-                        other = seen.setdefault(key, mine)
-                        if other == mine:
-                            continue
-                        late, early = (mine, other) if other < mine else (other, mine)
-                        seen[key] = early
-                        out.append((_spread(late), *late, 0, 1, *early, None))
+            doc, twin = (frame.column(i).to_numpy()[owner].tolist() for i in (1, 2))
+            named, first = anchors[at].view(np.int64).tolist(), starts[low].tolist()
+            columns = (named, doc, twin, first, (firsts[owner]).tolist(), (at - starts[low]).tolist(), (high - low).tolist(), flag.tolist())
+            for anchor, d, t, a, begin, offset, n, hot in zip(*columns, strict=True):
+                data = units.pack(content, a, n)
+                mine = (d, t, a - begin)
+                if not hot:
+                    ref = earlier((anchor, offset, data), mine)
+                    if ref is None:
+                        out.append((anchor, *mine, offset, n, None, None, None, data))
+                        size += len(data) + 60
+                    else:
+                        out.append((_spread(mine), *mine, 0, n, *ref, None))
                         size += 60
-                if len(seen) > KEPT:
-                    hand_on()
-                    size += 100 * KEPT
-                if size > 4 << 20:
-                    yield _batch(out)
-                    out.clear()
-                    size = 0
-        hand_on()
-        for i in range(0, len(out), 50_000):
-            yield _batch(out[i : i + 50_000])
+                    continue
+                refs = []
+                for j in range(n):
+                    one, here = units.one(data, j), (d, t, a - begin + j)
+                    ref = earlier((anchor, offset - j, one), here)
+                    if ref is None:
+                        out.append((_bucket(anchor, offset - j, one), *here, j - offset - 1, 1, None, None, None, one))
+                        size += 80
+                    else:
+                        refs.append((j, ref))
+                for some in joined_runs(iter(refs), *mine):
+                    out.append((_spread(mine), *some[:3], 0, *some[3:], None))
+                    size += 60
+            if len(seen) > KEPT:
+                seen.clear()  # forgetting costs rows, not results
+            if size > 4 << 20:
+                yield _batch(out)
+                out, size = [], 0
+        if out:
+            yield _batch(out)
 
     return joined.mapInArrow(run, ROWS)
 

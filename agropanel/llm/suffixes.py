@@ -6,7 +6,8 @@ residues is for; this one needs 2 in 78 positions instead of a tenth or more. On
 are built. A bucket's cover suffixes are sorted and ranked first, and so are the reversed bytes before them. Windows that
 begin further left are never compared byte by byte: two of them are equal when the common part of their cover suffixes and
 that of the bytes before are long enough, and both follow from the ranks as minima over neighbours in the sorted orders.
-Memory is bounded by one bucket, its rows by HOT or the number of tasks; contexts are at most two windows long.
+Memory is bounded by one bucket, its rows by HOT or the number of tasks; contexts are at most two windows long. Windows
+around a run with more than HOT places are told apart by 128-bit digests instead.
 
 Matches never leave a document. Defined results: null and empty texts have no bytes; texts shorter than a window keep
 everything; a null id comes before all others; rows with one id and different texts are different documents in an
@@ -20,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -71,7 +73,7 @@ def _resolver(width: int):
             whole = wholes.setdefault((offset, n, data), mine)
             if whole != mine:
                 yield (*mine, n, *whole)
-            else:
+            elif offset >= 0:
                 some.append((doc, twin, start, offset, n, data))
         if len(some) < 2:
             return
@@ -101,7 +103,7 @@ def units_of(width: int = WIDTH, run: int = RUN) -> Units:
 
     return Units(
         width, run, 1 << 20, split, lambda content, first, n: content[first : first + n - 1 + width],
-        lambda data, j: data[j : j + width], _resolver(width),
+        lambda data, j: xxhash.xxh3_128_digest(data[j : j + width]), _resolver(width),
     )
 
 
