@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
-from agropanel.plans import model_queries, panel_queries, quality_queries, serving_queries, weather_queries  # noqa: F401
+from agropanel.plans import (  # noqa: F401
+    model_queries,
+    panel_queries,
+    quality_queries,
+    serving_queries,
+    store_queries,
+    weather_queries,
+)
 from agropanel.plans.registry import RUNS, SQL, Run
 
 
