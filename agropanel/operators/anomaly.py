@@ -127,15 +127,21 @@ def rain_scale(
     min_years: int = 4,
     keys: Sequence[str] = SITE,
 ) -> DataFrame:
-    """Factor that maps live monsoon rainfall onto the historical scale, from complete live seasons only."""
+    """Factor that maps live monsoon rainfall onto the historical scale, from complete live seasons only.
+
+    `daily` may also be seasonal rows with kharif_days_known, which spares another pass over the daily rows.
+    """
     keys = list(keys)
-    in_range = S.between_days("date", f"{first_year}-06-01", f"{last_year}-10-31")
-    seasons = daily.where(in_range & S.is_kharif("date"))
-    complete = (
-        seasons.groupBy(*keys, F.year("date").alias("_year"))
-        .agg(F.sum("rainfall_mm").alias("_total"), F.count("rainfall_mm").alias("_days"))
-        .where(F.col("_days") >= min_days)
-    )
+    if "kharif_days_known" in daily.columns:
+        seasons = daily.where(F.col("year").between(first_year, last_year))
+        complete = seasons.select(*keys, F.col("nasa_rainfall_kharif").alias("_total"), F.col("kharif_days_known").alias("_days"))
+    else:
+        in_range = S.between_days("date", f"{first_year}-06-01", f"{last_year}-10-31")
+        seasons = daily.where(in_range & S.is_kharif("date"))
+        complete = seasons.groupBy(*keys, F.year("date").alias("_year")).agg(
+            F.sum("rainfall_mm").alias("_total"), F.count("rainfall_mm").alias("_days")
+        )
+    complete = complete.where(F.col("_days") >= min_days)
     live = complete.groupBy(*keys).agg(F.avg("_total").alias("live_mean"), F.count("_total").alias("_n"))
     live = live.where(F.col("_n") >= min_years).drop("_n")
     past = history.groupBy(*keys).agg(F.avg("nasa_rainfall_kharif").alias("hist_mean"))

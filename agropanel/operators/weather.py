@@ -119,8 +119,11 @@ def agronomic_columns(name: str, suffix: str, prefix: str = "", max_days: int =
     ]
 
 
-def seasonal(daily: DataFrame, keys: Sequence[str] = ("state", "district")) -> DataFrame:
-    """One row per site and crop year with the Kharif, Rabi and agricultural-year blocks."""
+def seasonal(daily: DataFrame, keys: Sequence[str] = ("state", "district"), known_days: bool = False) -> DataFrame:
+    """One row per site and crop year with the Kharif, Rabi and agricultural-year blocks.
+
+    With `known_days` also kharif_days_known, the monsoon days with a rainfall value.
+    """
     keys = list(keys)
     tagged = daily.withColumns(
         {"year": S.crop_year("date"), "_is_k": S.is_kharif("date"), "_is_r": S.is_rabi("date")}
@@ -154,6 +157,7 @@ def seasonal(daily: DataFrame, keys: Sequence[str] = ("state", "district")) -> D
         F.col("_solar").alias("nasa_solar_annual"),
         F.col("_heat").alias("heat_stress_days"),
         F.col("_frost").alias("frost_risk_days"),
+        *([F.col("_k_days").alias("kharif_days_known")] if known_days else []),
     )
 
 

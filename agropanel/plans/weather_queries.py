@@ -221,8 +221,8 @@ _SCALE = """,
 )
 def rain_scale(spark, sf_dir):
     days = fx.daily(spark, sf_dir)
-    history = weather.seasonal(days)
-    scale = anomaly.rain_scale(days, history, 1997, 2000)
+    history = weather.seasonal(days, known_days=True)
+    scale = anomaly.rain_scale(history, history, 1997, 2000)
     live = weather.live_kharif(days, LIVE_YEAR, scale, sites=fx.supplier_sites(spark, sf_dir))
     out = anomaly.live_kharif_rai(live, history, max_missing=0.5)
     return tidy(

@@ -169,6 +169,8 @@ def test_rain_scale_needs_complete_seasons(spark):
     row = anomaly.rain_scale(whole.union(short), history, 2020, 2025).first()
     assert row.live_mean == pytest.approx(306.0) and row.rain_scale == pytest.approx(2.0)
     assert anomaly.rain_scale(whole, history, 2021, 2025).count() == 0
+    seasons = weather.seasonal(whole.union(short), known_days=True)
+    assert tuple(anomaly.rain_scale(seasons, history, 2020, 2025).first()) == tuple(row)
 
 
 def test_rai_flags_of_null_and_zero_spread(spark):
