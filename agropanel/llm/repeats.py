@@ -24,9 +24,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from agropanel.llm.common import batches, texts_of, written
+from agropanel.llm.common import batches, release, texts_of, written
 
-HOT = 256
+HOT = 4096
 KEPT = 200_000  # contents that a task remembers
 _M = np.uint64(0x9E3779B97F4A7C15)
 _M_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -183,6 +183,22 @@ def packed_windows(joined: DataFrame, units: Units) -> DataFrame:
         seen: dict[tuple, tuple[int, int, int]] = {}
         out: list[tuple] = []
         size = 0
+        going: list | None = None  # a decided run that the next one may go on
+
+        def decide(doc: int, twin: int, start: int, n: int, *ref: int) -> None:
+            nonlocal going, size
+            if going and going[:2] == [doc, twin] and going[4:6] == list(ref[:2]) and start <= going[2] + going[3] and ref[2] - start == going[6] - going[2]:
+                going[3] = max(going[3], start + n - going[2])
+                return
+            flush()
+            going = [doc, twin, start, n, *ref]
+
+        def flush() -> None:
+            nonlocal going, size
+            if going:
+                out.append((_spread(tuple(going[:3])), *going[:3], 0, going[3], *going[4:], None))
+                size += 60
+            going = None
 
         def earlier(key: tuple, mine: tuple[int, int, int]) -> tuple[int, int, int] | None:
             """An earlier place of the same content that this task has met; else the place is remembered."""
@@ -219,8 +235,7 @@ def packed_windows(joined: DataFrame, units: Units) -> DataFrame:
                         out.append((anchor, *mine, offset, n, None, None, None, data))
                         size += len(data) + 60
                     else:
-                        out.append((_spread(mine), *mine, 0, n, *ref, None))
-                        size += 60
+                        decide(*mine, n, *ref)
                     continue
                 refs = []
                 for j in range(n):
@@ -232,13 +247,13 @@ def packed_windows(joined: DataFrame, units: Units) -> DataFrame:
                     else:
                         refs.append((j, ref))
                 for some in joined_runs(iter(refs), *mine):
-                    out.append((_spread(mine), *some[:3], 0, *some[3:], None))
-                    size += 60
+                    decide(*some)
             if len(seen) > KEPT:
                 seen.clear()  # forgetting costs rows, not results
             if size > 4 << 20:
                 yield _batch(out)
                 out, size = [], 0
+        flush()
         if out:
             yield _batch(out)
 
@@ -286,8 +301,12 @@ def resolved(packed: DataFrame, units: Units) -> DataFrame:
 
 
 def repeated_runs(rows: DataFrame, units: Units, hot: int = HOT) -> DataFrame:
-    """(doc, twin, start, n, ref_doc, ref_twin, ref_start): windows of `rows` (see `keyed`) that also start earlier."""
-    places = places_of(cover_runs(rows, units), hot)
+    """(doc, twin, start, n, ref_doc, ref_twin, ref_start): windows of `rows` (see `keyed`) that also start earlier.
+
+    The places are written, so that the shuffles that found them need not stay while the windows move.
+    """
+    places = written(places_of(cover_runs(rows, units), hot), "places")
+    release(rows.sparkSession)
     return resolved(packed_windows(rows.join(places, ["doc", "twin"], "left").select(*rows.columns, "places"), units), units)
 
 

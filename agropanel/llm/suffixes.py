@@ -6,8 +6,8 @@ residues is for; this one needs 2 in 78 positions instead of a tenth or more. On
 are built. A bucket's cover suffixes are sorted and ranked first, and so are the reversed bytes before them. Windows that
 begin further left are never compared byte by byte: two of them are equal when the common part of their cover suffixes and
 that of the bytes before are long enough, and both follow from the ranks as minima over neighbours in the sorted orders.
-Memory is bounded by one bucket, its rows by HOT or the number of tasks; contexts are at most two windows long. Windows
-around a run with more than HOT places are told apart by 128-bit digests instead.
+Memory is bounded by one bucket, its rows by HOT or the number of tasks; contexts are at most two windows long. Where a
+bucket has over MANY different contexts, or a run more than HOT places, windows are told apart by 128-bit digests instead.
 
 Matches never leave a document. Defined results: null and empty texts have no bytes; texts shorter than a window keep
 everything; a null id comes before all others; rows with one id and different texts are different documents in an
@@ -30,6 +30,7 @@ from agropanel.llm.repeats import Units, covered, joined_runs, keyed, mix, repea
 
 WIDTH = 100
 RUN = 24
+MANY = 64  # different contexts in a bucket above which windows are told apart by digests
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64))
 
 
@@ -77,6 +78,17 @@ def _resolver(width: int):
                 some.append((doc, twin, start, offset, n, data))
         if len(some) < 2:
             return
+        if len(some) > MANY:
+            windows: dict[tuple, tuple] = {}
+            for doc, twin, start, offset, n, data in some:
+                refs = []
+                for j in range(n):
+                    here = (doc, twin, start + j)
+                    ref = windows.setdefault((offset - j, xxhash.xxh3_128_digest(data[j : j + width])), here)
+                    if ref != here:
+                        refs.append((j, ref))
+                yield from joined_runs(iter(refs), doc, twin, start)
+            return
         after = sorted_order([r[5][r[3] :] for r in some])
         before = sorted_order([r[5][: r[3]][::-1] for r in some])
         right, left = [0] * len(some), [0] * len(some)

@@ -86,8 +86,9 @@ def test_factors_point_at_what_they_repeat(docs, rows):
         assert here == there
 
 
-@pytest.mark.parametrize("hot", [repeats.HOT, 2])
-def test_suffixes(docs, rows, hot, monkeypatch):
+@pytest.mark.parametrize(("hot", "many"), [(repeats.HOT, suffixes.MANY), (repeats.HOT, 2), (2, 64)])
+def test_suffixes(docs, rows, hot, many, monkeypatch):
+    monkeypatch.setattr(suffixes, "MANY", many)
     monkeypatch.setattr(repeats.places_of, "__defaults__", (hot,))
     monkeypatch.setattr(repeats.repeated_runs, "__defaults__", (hot,))
     texts = {k: (t or "").encode() for k, t, *_ in rows}
