@@ -20,5 +20,6 @@ QUERIES = {
 ORACLE_SQL = {
     "op5_lempel_ziv": factors.ORACLE,
     "op7_benchmark_hits": decontaminate.ORACLE,
+    "op9_warc_roundtrip": warc.ORACLE,
     "op10_suffix_dedup": suffixes.ORACLE,
 }

@@ -252,3 +252,23 @@ def op9_warc_roundtrip(spark, sf_dir):
     path = write_archive(table(spark, sf_dir, "pages"), f"{folder(spark)}/warc-{uuid.uuid4().hex}")
     found = read_archive(spark, path)
     return found.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def _digit(place: int) -> str:
+    return f"((instr('0123456789abcdef', substr(x, (5 * (m // 4) + {place + 1})::INTEGER, 1)) - 1) << {16 - 4 * place})"
+
+
+#: The same rows in SQL; five hexadecimal digits of the digest are 20 bits and so four letters of base32.
+ORACLE = f"""
+WITH p AS (
+  SELECT row_number() OVER () AS r, page_id, coalesce(html, '') AS h, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS top FROM pages
+), letters AS (
+  SELECT r, m, {" + ".join(map(_digit, range(5)))} AS v FROM (SELECT r, sha1(h) AS x, unnest(range(0, 32)) AS m FROM p)
+), digests AS (
+  SELECT r, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((v >> (15 - 5 * (m % 4))::INTEGER) & 31) + 1)::INTEGER, 1), '' ORDER BY m) AS payload_digest
+  FROM letters GROUP BY r
+)
+SELECT page_id, octet_length(encode(h))::BIGINT AS payload_bytes, payload_digest,
+       CASE WHEN top = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN top <> page_id THEN top END AS refers_to
+FROM p JOIN digests USING (r)
+"""
