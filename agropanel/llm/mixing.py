@@ -10,8 +10,7 @@ consecutive, hence disjoint, stretches of each source's permuted blocks, and a s
 The hash of (seed, key) decides everything, so a rerun and a retried task agree.
 
 Defined results: a null text has size 0; the null source is a source and comes last; a source without words has target
-0; repeated rows are drawn each; an empty
-table gives no rows; other columns pass through `mixture` untouched.
+0; repeated rows are drawn each; an empty table gives no rows; other columns pass through `mixture` untouched.
 """
 
 from __future__ import annotations
