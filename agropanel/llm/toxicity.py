@@ -32,6 +32,7 @@ THRESHOLD = 0.5
 WINDOW = 3
 LEAD = bytes(range(128, 176))
 ORDINARY_BYTES, TOXIC_BYTES = 4096, 1024
+KNOWN = 300_000  # windows whose difference a task remembers
 LEVEL, LEAST_MATCH = 13, 6  # lower levels miss phrases at a window's end
 PREFIXES = range(6, 11)  # bytes of a word's beginning, the blank before it included
 PIECE_BYTES = 12  # of a training sample that holds one beginning
@@ -85,9 +86,10 @@ class Model:
     curve: np.ndarray
     prior: float
     _made: list = field(default_factory=list)
+    _known: dict[bytes, int] = field(default_factory=dict)
 
     def __getstate__(self):
-        return {**self.__dict__, "_made": []}
+        return {**self.__dict__, "_made": [], "_known": {}}
 
     def compressors(self) -> list:
         if not self._made:
@@ -103,7 +105,16 @@ class Model:
 
     def features(self, text: bytes) -> list[float]:
         plain, toxic = (c.compress for c in self.compressors())
-        gain = np.array([len(plain(w)) - len(toxic(w)) for w in (LEAD + w for w in windows_of(text))], np.float64)
+        known, gains = self._known, []
+        for window in windows_of(text):
+            one = known.get(window)
+            if one is None:
+                led = LEAD + window
+                one = known[window] = len(plain(led)) - len(toxic(led))
+            gains.append(one)
+        if len(known) > KNOWN:
+            known.clear()
+        gain = np.array(gains, np.float64)
         n = len(gain)
         over = [(gain >= t).sum() for t in (2, 3)]
         return [np.sign(s := gain.sum()) * np.log1p(abs(s)), gain.sum() / (n + 5), gain.max(), np.log1p(over[0]), np.log1p(over[1]), over[0] / (n + 3), over[1] / (n + 3)]
