@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -32,10 +33,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def release(spark: SparkSession) -> None:
     """Drop the shuffle files of finished jobs that nothing refers to any more.
 
-    Spark removes them when the driver collects its garbage, which it may never do by itself in a short job.
+    Spark removes them when the driver collects its garbage, which it may never do by itself in a short job. References
+    from Python end first, and only then those behind them: hence two rounds with a pause.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(1)
 
 
 def parts(spark: SparkSession) -> int:
