@@ -3,8 +3,11 @@
 Four fixed patterns find the seeds: email, ip, card and phone spans. Every number-like or address-like run of a text, seed
 or not, is an instance with lexical patterns: the two words before it, and the words on both sides. Spark scores the graph
 of patterns and instances in rounds: a pattern's confidence in a kind is the share of its distinct instances known to be
-of that kind; an unknown instance's score is the chance that not all of its accepted patterns are wrong; instances above
-the threshold join the known ones of the next round. The spans of discovered instances are added; seeds always stay.
+of that kind, where an unknown one counts half and one of another kind in full; an unknown instance's score is the chance
+that not all of its accepted patterns are wrong; instances above the threshold join the known ones of the next round, until
+a round finds none. Seeds always stay; the spans of discovered instances are added, and those of seeds that are written
+elsewhere in a way that no fixed pattern matches: an address is the same in any case, a number by its digits, an ip address
+by its dots too.
 
 Matches are found with their places by splitting a text at them: the lengths of what lies between add up. The expressions
 use possessive loops and lookbehinds that leave the matches as they are but keep the search linear in the text.
@@ -15,16 +18,18 @@ columns pass through `find` and `mask` (columns that begin with _pii_ are reserv
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from agropanel.llm.common import table, written
 
 KINDS = ("email", "ip", "card", "phone")
-ROUNDS = 3
 MIN_SUPPORT = 5  # distinct known instances that a pattern needs
 MIN_CONFIDENCE = 0.9
 MIN_SCORE = 0.9
+UNKNOWN = 0.5  # weight of an instance of no known kind in a confidence
 MIN_DIGITS = 7  # of a number that may be discovered
 
 _LOCAL = "A-Za-z0-9._%+-"
@@ -118,6 +123,12 @@ def _words(text):
     return F.transform(F.split(F.trim(F.regexp_replace(text, r"[\x09-\x0D]", " ")), " +"), lambda w: F.regexp_replace(F.lower(w), "[0-9]", "9"))
 
 
+def _identity(value, kind):
+    """What two spellings of one identifier have in common."""
+    digits = F.when(kind == KINDS.index("ip"), F.regexp_replace(value, "[^0-9.]", "")).otherwise(_digits(value))
+    return F.when(F.contains(value, F.lit("@")), F.lower(value)).otherwise(digits)
+
+
 def _instances(df: DataFrame) -> DataFrame:
     """`df` with _pii_seen: every instance as (start, end, value, kind, patterns); kind is that of a seed it overlaps."""
     df = _split(df, "instance", INSTANCE)
@@ -127,44 +138,50 @@ def _instances(df: DataFrame) -> DataFrame:
         left, right = _words(F.right(F.get(gaps, m["at"]), F.lit(80))), _words(F.left(F.get(gaps, m["at"] + 1), F.lit(40)))
         w1, w2, r1 = F.element_at(left, -1), F.coalesce(F.get(left, F.size(left) - 2), F.lit("")), F.get(right, F.lit(0))
         seeds = F.filter("_pii_base", lambda s: (s["start"] < m["end"]) & (m["start"] < s["end"]))
-        value = F.when(F.contains(m["value"], F.lit("@")), F.lower(m["value"])).otherwise(_digits(m["value"]))
+        kind = F.get(seeds, F.lit(0))["kind"]
         return F.struct(
-            m["start"].alias("start"), m["end"].alias("end"), value.alias("value"), F.get(seeds, F.lit(0))["kind"].alias("kind"),
+            m["start"].alias("start"), m["end"].alias("end"), _identity(m["value"], kind).alias("value"), kind.alias("kind"),
             F.array(F.concat_ws(" ", w2, w1, F.lit("_")), F.concat_ws(" ", w1, F.lit("_"), r1)).alias("patterns"),
         )
 
     matches = _matches(F.col("_pii_v_instance"), gaps)
     likely = F.filter(matches, lambda m: F.contains(m["value"], F.lit("@")) | (F.length(_digits(m["value"])) >= MIN_DIGITS))
-    return df.withColumn("_pii_seen", F.transform(likely, instance)).drop("_pii_v_instance", "_pii_g_instance")
+    # a run may be longer than the seed in it: the seed itself is known too, and has no patterns of its own
+    # (of overlapping seeds the first, whose kind the run has)
+    first = F.filter("_pii_base", lambda s: ~F.exists("_pii_base", lambda o: (o["start"] < s["start"]) & (s["start"] < o["end"])))
+    own = F.transform(first, lambda s: F.struct(
+        s["start"].alias("start"), s["end"].alias("end"),
+        _identity(F.substring(F.col(_TEXT), s["start"] + 1, s["end"] - s["start"]), s["kind"]).alias("value"),
+        s["kind"].alias("kind"), F.array().cast("array<string>").alias("patterns"),
+    ))
+    return df.withColumn("_pii_seen", F.concat(F.transform(likely, instance), own)).drop("_pii_v_instance", "_pii_g_instance")
 
 
-def bootstrap(seen: DataFrame, rounds: int = ROUNDS, support: int = MIN_SUPPORT, confidence: float = MIN_CONFIDENCE,
-              score: float = MIN_SCORE) -> DataFrame:
-    """(value, kind) of the instances discovered from (value, kind or null, patterns) rows.
+def bootstrap(seen: DataFrame, rounds: int | None = None, support: int = MIN_SUPPORT, confidence: float = MIN_CONFIDENCE,
+              score: float = MIN_SCORE, unknown: float = UNKNOWN) -> DataFrame:
+    """(value, kind) of the seeds and of the instances discovered from (value, kind or null, patterns) rows.
 
     The graph holds each pattern and value once, however often they occur, so a value or pattern with a third of all
-    occurrences is one partial row per task. Rounds end early when nothing is discovered.
+    occurrences is one partial row per task. Rounds end when nothing is discovered, or after `rounds` of them.
     """
-    edges = written(seen.select("value", "kind", F.explode("patterns").alias("pattern")).groupBy("pattern", "value").agg(F.min("kind").alias("kind")), "edges")
-    known = written(edges.where("kind is not null").groupBy("value").agg(F.min("kind").alias("kind")), "known")
-    found = known.limit(0)
-    for _ in range(rounds):
-        state = edges.drop("kind").join(known, "value", "left")
+    edges = written(seen.select("value", F.explode("patterns").alias("pattern")).distinct(), "edges")
+    known = written(seen.where("kind is not null").groupBy("value").agg(F.min("kind").alias("kind")), "known")
+    for _ in itertools.count() if rounds is None else range(rounds):
+        state = edges.join(known, "value", "left")
         shares = [F.sum((F.col("kind") == k).cast("long")).alias(f"n{k}") for k in range(len(KINDS))]
-        counts = state.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), *shares)
+        counts = state.groupBy("pattern").agg(F.sum(F.when(F.col("kind").isNull(), unknown).otherwise(1.0)).alias("n"), *shares)
         best = F.greatest(*[F.struct(F.coalesce(f"n{k}", F.lit(0)).alias("n"), F.lit(k).alias("kind")) for k in range(len(KINDS))])
         good = counts.withColumn("best", best).select(
             "pattern", F.col("best.kind").alias("kind"), F.col("best.n").alias("hits"), (F.col("best.n") / F.col("n")).alias("confidence")
         ).where((F.col("hits") >= support) & (F.col("confidence") >= confidence))
         doubt = F.log(1.0 - F.least(F.col("confidence"), F.lit(0.999)))
-        unknown = state.where("kind is null").drop("kind").join(good, "pattern")
-        scored = unknown.groupBy("value", "kind").agg((1 - F.exp(F.sum(doubt))).alias("score")).where(F.col("score") >= score - 1e-9)
+        unseen = state.where("kind is null").drop("kind").join(good, "pattern")
+        scored = unseen.groupBy("value", "kind").agg((1 - F.exp(F.sum(doubt))).alias("score")).where(F.col("score") >= score - 1e-9)
         new = written(scored.groupBy("value").agg(F.max(F.struct("score", (-F.col("kind")).alias("k"))).alias("m")).select("value", (-F.col("m.k")).alias("kind")), "new")
         if new.isEmpty():
             break
-        found = found.union(new)
-        known = known.union(new)
-    return found
+        known = written(known.union(new), "known")
+    return known
 
 
 def find(docs: DataFrame, text: str = "text", keep_columns: bool = True, **settings) -> DataFrame:
@@ -177,8 +194,8 @@ def find(docs: DataFrame, text: str = "text", keep_columns: bool = True, **setti
     rows = rows.select(*kept, "_pii_base", "_pii_seen").withColumn("_pii_row", F.monotonically_increasing_id())
     rows = written(rows, "private")
     seen = rows.select("_pii_row", F.explode("_pii_seen").alias("s")).select("_pii_row", "s.*")
-    new = bootstrap(seen.select("value", "kind", "patterns"), **settings).withColumnRenamed("kind", "new")
-    added = seen.where("kind is null").join(new, "value").select("_pii_row", F.struct("start", F.col("new").alias("kind"), "end").alias("span"))
+    known = bootstrap(seen.select("value", "kind", "patterns"), **settings).withColumnRenamed("kind", "new")
+    added = seen.where("kind is null").join(known, "value").select("_pii_row", F.struct("start", F.col("new").alias("kind"), "end").alias("span"))
     # a row's own spans: bounded by its text
     added = added.groupBy("_pii_row").agg(F.collect_list("span").alias("_pii_added"))
     both = rows.drop("_pii_seen").join(added, "_pii_row", "left")
@@ -225,7 +242,7 @@ def _listed(spans):
 
 
 def op1_private_data(spark, sf_dir):
-    """Personal data of every document; n_* count the seeds, n_added the spans that patterns discovered."""
+    """Personal data of every document; n_* count the seeds, n_added the other spans."""
     found = find(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_columns=False)
 
     def count(k: int):

@@ -74,6 +74,34 @@ def test_one_hot_context_and_value(spark, letters):
     assert len(found) == 300 and all(len(r["_pii_spans"]) == 1 for r in found)
 
 
+def test_a_seed_written_otherwise_is_found(spark):
+    texts = [
+        "call +49 30 1234567 now", "it was 49 30 1234567 then", "pay 4111 1111 1111 1111. 5 left", "the card 4111.1111.1111.1111 went",
+        "host 192.168.100.200 is", "number 192168100200 is none",
+    ]
+    found = private_data.find(frame(spark, [(i, t, "en", "a", 0) for i, t in enumerate(texts)])).collect()
+    added = {r["doc_id"]: [tuple(s) for s in r["_pii_spans"] if s not in r["_pii_base"]] for r in found}
+    assert added == {0: [], 1: [(7, 3, 20)], 2: [], 3: [(9, 2, 28)], 4: [], 5: []}
+
+
+def test_unknown_instances_are_no_counterexamples(spark, letters):
+    more = [(100 + i, f"Please reach me by phone {10**7 + i} any time.", "en", "a", 0) for i in range(2)]
+    found = private_data.find(frame(spark, letters[:12] + more)).collect()
+    assert [len(r["_pii_spans"]) for r in found if r["doc_id"] >= 100] == [1, 1]
+
+
+def test_rounds_go_on_until_nothing_is_found(spark):
+    # four seeds are too few for a context, until the number that it shares with the one before is found
+    context = [f"ctx{c} ctx{c}{c}" for c in "abcdefg"]
+    rows, known = [], [f"+49 30 555{i:04d}" for i in range(60)]
+    for words in context:
+        fresh = [f"77{len(rows):06d}"]
+        rows += [(len(rows) * 100 + i, f"start {words} {x} {words} end", "en", "a", 0) for i, x in enumerate(known + fresh)]
+        known = fresh + [f"+49 30 55{len(rows):05d}{i}" for i in range(4)]
+    found = private_data.find(frame(spark, rows)).collect()
+    assert all(r["_pii_spans"] for r in found)
+
+
 def test_mask(spark):
     texts = ["write a@b.c or 1.2.3.4!", "clean", None, "", "+1.2.3.4.5.6.7.8.9 漢 a@b.c"]
     table = frame(spark, [(i, t, "en", "a", len(t or "")) for i, t in enumerate(texts)])
