@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from agropanel.llm import decontaminate, factors, line_quality, mixing, phrases, private_data, simhash, suffixes, toxicity, warc
+from agropanel.llm import (
+    decontaminate, factors, fill_middle, importance, line_quality, mixing, phrases, private_data, simhash, suffixes, tokens, toxicity, warc,
+)
 
 QUERIES = {
     "op1_private_data": private_data.op1_private_data,
@@ -15,6 +17,9 @@ QUERIES = {
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_warc_roundtrip": warc.op9_warc_roundtrip,
     "op10_suffix_dedup": suffixes.op10_suffix_dedup,
+    "op11_token_counts": tokens.op11_token_counts,
+    "op12_importance_draw": importance.op12_importance_draw,
+    "op13_fill_middle": fill_middle.op13_fill_middle,
 }
 
 ORACLE_SQL = {
@@ -22,4 +27,6 @@ ORACLE_SQL = {
     "op7_benchmark_hits": decontaminate.ORACLE,
     "op9_warc_roundtrip": warc.ORACLE,
     "op10_suffix_dedup": suffixes.ORACLE,
+    "op12_importance_draw": importance.ORACLE,
+    "op13_fill_middle": fill_middle.ORACLE,
 }
