@@ -22,6 +22,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import inf
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -33,6 +34,7 @@ from agropanel.llm.common import batches, table
 BLANK = "▁"
 LONG = 1 << 20  # bytes; a longer text is cut, and its chunks are spread over the tasks
 CHUNK = 1 << 16  # characters of a chunk
+TRIED = 16  # longer pieces below a trie node up to which they are tried beforehand
 UNITS, STATES, PAIRS = 1 << 19, 1 << 17, 1 << 20  # that a worker remembers before it starts anew
 LIMIT = 4096
 
@@ -87,18 +89,29 @@ class Transducer:
         self.links = {p[i : i + 2] for p, _ in pieces for i in range(len(p) - 1)}
         self.child: dict[tuple[int, str], int] = {}
         self.ends = [-1]
-        self.inner = [True]
+        self.below: list[list[int] | None] = [None]
         for number, piece in enumerate(self.text):
             node = 0
             for c in piece:
-                self.inner[node] = True
                 if (node, c) not in self.child:
                     self.child[node, c] = len(self.ends)
                     self.ends.append(-1)
-                    self.inner.append(False)
+                    self.below.append([])
                 node = self.child[node, c]
             self.ends[node] = number
+        for number, piece in enumerate(self.text):
+            node = 0
+            for c in piece[:-1]:
+                node = self.child[node, c]
+                longer = self.below[node]
+                if longer is not None:
+                    longer.append(number)
+                    if len(longer) > TRIED:
+                        self.below[node] = None
+        self.split: dict[str, tuple[str, str] | bool] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
+        self.alike: dict[tuple[int, int], int | None] = {}
+        self.first_alike: dict[tuple[int, tuple[int, ...]], int] = {}
         self.states: dict[tuple[Open, ...], State] = {}
         self.counts = _Remembered(self)
         known = "".join(map(re.escape, sorted(self.alphabet - {BLANK})))
@@ -106,16 +119,58 @@ class Transducer:
         synchronises = not any(a != BLANK and b == BLANK for a, b in self.links)
         self.unit = re.compile(f"{blank}*[{known}]+|{blank}+|[^{known} {BLANK}]+" if synchronises and known else "(?s:.+)")
 
-    def encode(self, text: str) -> list[str]:
-        """Merges the two neighbours whose joined piece scores best, the leftmost of equals, until none joins."""
-        parts = list(text)
-        while len(parts) > 1:
+    def merges(self, text: str) -> list[list[str]]:
+        """Every stage of joining the two neighbours whose joined piece scores best, the leftmost of equals."""
+        stages = [list(text)]
+        while len(stages[-1]) > 1:
+            parts = stages[-1]
             joined = [(-self.score[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in self.score]
             if not joined:
                 break
             i = min(joined)[1]
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return parts
+            stages.append([*parts[:i], parts[i] + parts[i + 1], *parts[i + 2 :]])
+        return stages
+
+    def encode(self, text: str) -> list[str]:
+        return self.merges(text)[-1]
+
+    def halves(self, text: str) -> tuple[str, str] | bool:
+        """The two parts that `text` is joined of; True for one character, False if it does not become one piece.
+
+        False also where a part scores no better than the whole, as in runs of blanks: such pieces are tried in full.
+        """
+        found = self.split.get(text)
+        if found is None:
+            stages = self.merges(text)
+            if len(text) == 1:
+                found = True
+            elif len(stages[-1]) > 1:
+                found = False
+            else:
+                found = tuple(stages[-2])
+                simple = all(len(h) == 1 or (self.halves(h) and self.score[h] > self.score[text]) for h in found)
+                found = found if simple else False
+            self.split[text] = found
+        return found
+
+    def _joins(self, a: str, b: str) -> bool:
+        """Whether a join over the border comes before the joins inside `a` and `b` next to it.
+
+        The parts are taken apart again, the later one first; a join over the border must score better than that one (or
+        as well, where it lies to the left of it).
+        """
+        score, limit, also = self.score, -inf, True
+        while True:
+            s = score.get(a + b)
+            if s is not None and (s > limit or (also and s == limit)):
+                return True
+            parts_a, parts_b = self.halves(a), self.halves(b)
+            if parts_a is True and parts_b is True:
+                return False
+            if parts_b is True or (parts_a is not True and score[a] < score[b]):
+                limit, also, a = score[a], False, parts_a[1]
+            else:
+                limit, also, b = score[b], True, parts_b[0]
 
     def fits(self, last: int, piece: int) -> bool:
         """Whether `piece` may follow `last` (-1: nothing that could join it)."""
@@ -123,13 +178,35 @@ class Transducer:
             last = -1
         known = self.pairs.get((last, piece))
         if known is None:
-            row = [self.text[piece]] if last < 0 else [self.text[last], self.text[piece]]
-            known = self.encode("".join(row)) == row
+            b = self.text[piece]
+            if last >= 0 and self.halves(self.text[last]) and self.halves(b):
+                known = not self._joins(self.text[last], b)
+            else:
+                row = [b] if last < 0 else [self.text[last], b]
+                known = self.encode("".join(row)) == row
             if len(self.pairs) >= PAIRS:
                 self.pairs.clear()
             self.pairs[last, piece] = known
         return known
 
+    def reduced(self, node: int, before: int) -> int | None:
+        """A piece that lets the same longer pieces end below `node` as `before` does; None if there are none.
+
+        States that differ in such pieces only are one. Nodes with many longer pieces keep theirs.
+        """
+        key = node, before
+        if key not in self.alike:
+            if len(self.alike) >= PAIRS:
+                self.alike.clear()
+                self.first_alike.clear()
+            longer = self.below[node]
+            if longer is None:
+                self.alike[key] = before
+            else:
+                fitting = tuple(p for p in longer if self.fits(before, p))
+                self.alike[key] = self.first_alike.setdefault((node, fitting), before) if fitting else None
+        return self.alike[key]
+
     def step(self, state: tuple[Open, ...], c: str) -> tuple[tuple[Open, ...], int]:
         """The next state and the change of the number of tokens."""
         if c not in self.alphabet:
@@ -142,8 +219,9 @@ class Transducer:
             piece = self.ends[after]
             if change is None and piece >= 0 and self.fits(before, piece):
                 last, change = piece, self.weight[piece] - ago
-            if self.inner[after]:
-                grown.append((after, before, ago))
+            same = self.reduced(after, before)
+            if same is not None:
+                grown.append((after, same, ago))
         assert change is not None, "every prefix has a last piece"
         return (*((node, before, ago + change) for node, before, ago in grown), (0, last, 0)), change
 
