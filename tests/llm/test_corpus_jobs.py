@@ -174,8 +174,8 @@ def test_every_operator_has_one_query():
 
 
 def test_pipeline_stages(spark, sf_dir):
-    from agropanel.llm import simhash
     from agropanel.llm.common import table, written
+    from test_near_copies import wanted
 
     docs = table(spark, sf_dir, "documents")
     kept = {}
@@ -188,7 +188,7 @@ def test_pipeline_stages(spark, sf_dir):
             after = {r["doc_id"]: r["text"] for r in out.select("doc_id", "text").collect()}
             assert set(after) <= set(before)
         if name == "near_duplicates":
-            assert set(after) == {r["component_id"] for r in simhash.groups(docs).collect()}
+            assert set(after) == set(wanted(list(before.items())).values())
         if name == "decontamination":
             items = [(r["item_id"], r["text"]) for r in table(spark, sf_dir, "benchmark").collect()]
             found = brute.contaminated(list(before.items()), items)
