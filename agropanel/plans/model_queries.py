@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from agropanel.operators import explain, metrics, models, panel
+from agropanel.lineage import cut
+from agropanel.operators import explain, metrics, models, moments, panel, quantile
 from agropanel.plans import oracle as o
 from agropanel.plans.registry import register, tidy
 from agropanel.sources import fixtures as fx
@@ -20,6 +21,7 @@ FEATURES = ["lag_yield_1", "lag_yield_2", "lag_yield_3", "rolling_yield_3yr", "y
             "log_area", "fertilizer_per_ha", "nitrogen_per_ha", "irrigation_pct", "time_trend", "crop_encoded"]
 LAG_EXTRA = ["rai_lag1", "flood_flag_lag1", "drought_flag_lag1"]
 TRAIN_END, VALID_END = 1998, 1999
+ABLATION = {"baseline": FEATURES, "with lag": [*FEATURES, *LAG_EXTRA]}
 SMALL = {"maxIter": 8, "maxDepth": 3, "stepSize": 0.2}
 
 
@@ -115,19 +117,24 @@ def tuned_search(spark, sf_dir):
 
 @register("walk_forward_ridge")
 def walk_forward_ridge(spark, sf_dir):
-    rows = model_panel(spark, sf_dir).persist()
-    return models.walk_forward(rows, FEATURES, models.fit_ridge, min_train_years=3)
+    """Every year tested on a ridge of all years before, from one pass of moments."""
+    return moments.walk_forward(model_panel(spark, sf_dir), {"ridge": FEATURES}, min_train_years=3).drop("label")
 
 
 @register("lag_flag_ablation")
 def lag_flag_ablation(spark, sf_dir):
-    """Ridge with and without last year's flags, fold by fold."""
-    rows = model_panel(spark, sf_dir).persist()
-    plain = models.walk_forward(rows, FEATURES, models.fit_ridge, min_train_years=3)
-    extended = models.walk_forward(rows, [*FEATURES, *LAG_EXTRA], models.fit_ridge, min_train_years=3)
+    """Ridge with and without last year's flags, fold by fold; both sets share the moments."""
+    folds = moments.walk_forward(model_panel(spark, sf_dir), ABLATION, min_train_years=3)
+    plain, extended = (cut(folds.where(F.col("label") == name)) for name in ABLATION)
     return metrics.compare_folds(plain, extended)
 
 
+@register("ablation_headline")
+def ablation_headline(spark, sf_dir):
+    """The same two feature sets on the fixed split: fitted on all years up to the validation years."""
+    return moments.headline(model_panel(spark, sf_dir), ABLATION, VALID_END + 1, VALID_END + 2)
+
+
 @register("per_crop_models")
 def per_crop_models(spark, sf_dir):
     """One ridge per crop, weighted by its test rows."""
@@ -237,3 +244,85 @@ def attribution_of_one_flag(spark, sf_dir):
     scored = model.transform(rows.where("split = 'test'")).select("state", "district", "crop", "year", "features", "pred")
     explained = explain.attribute(scored, model.model, model.prepared.names())
     return tidy(explained.select("state", "district", "crop", "year", "pred", F.col("attributions")[FLAGS[0]].alias("contribution")), 2)
+
+
+LAG_SETS = {"one lag": ["lag_yield_1"], "two lags": ["lag_yield_1", "lag_yield_2"]}
+
+
+def _closed_form(first_year: str, last_year: str) -> str:
+    """One and two lags for each test block `t`: rows before it give medians, deviations and the two solutions."""
+    return o.YIELD + "," + o.LAGS + f""",
+        r AS (SELECT year, yield_kg_ha AS y, lag_yield_1 AS a, lag_yield_2 AS b FROM lags WHERE lag_yield_1 IS NOT NULL),
+        folds AS (SELECT DISTINCT {first_year} AS t, {last_year} AS t2 FROM r),
+        med AS (SELECT t, t2, coalesce(median(b), 0) AS b0 FROM folds JOIN r ON year < t GROUP BY ALL),
+        x AS (SELECT t, y, a, coalesce(b, b0) AS b FROM med JOIN r ON year < t),
+        s AS (SELECT t, count(*) AS n_train, avg(y) AS my, avg(a) AS ma, coalesce(nullif(stddev_pop(a), 0), 1) AS sa, avg(b) AS mb,
+                coalesce(nullif(stddev_pop(b), 0), 1) AS sb FROM x GROUP BY t),
+        m AS (SELECT t, sum(((a - ma) / sa) ** 2) + {models.RIDGE_ALPHA} AS aa, sum((a - ma) / sa * (b - mb) / sb) AS ab,
+                sum(((b - mb) / sb) ** 2) + {models.RIDGE_ALPHA} AS bb, sum((a - ma) / sa * (y - my)) AS ay, sum((b - mb) / sb * (y - my)) AS byc
+              FROM x JOIN s USING (t) GROUP BY t),
+        w AS (SELECT t, ay / aa AS w1, (bb * ay - ab * byc) / (aa * bb - ab * ab) AS wa, (aa * byc - ab * ay) / (aa * bb - ab * ab) AS wb FROM m),
+        scored AS (SELECT t, n_train, y, my + w1 * (a - ma) / sa AS p1, my + wa * (a - ma) / sa + wb * (coalesce(b, b0) - mb) / sb AS p2
+                   FROM med JOIN r ON year BETWEEN t AND t2 JOIN s USING (t) JOIN w USING (t)),
+        long AS (SELECT 'one lag' AS label, 1 AS k, t, n_train, y, p1 AS p FROM scored
+                 UNION ALL SELECT 'two lags', 2, t, n_train, y, p2 FROM scored),
+        found AS (SELECT label, k, t, n_train, {_ERRORS} FROM long GROUP BY ALL)"""
+
+
+def _lagged(spark, sf_dir) -> DataFrame:
+    return panel.yield_lags(fx.yield_panel(spark, sf_dir)).dropna(subset=["lag_yield_1"])
+
+
+@register(
+    "walk_forward_closed_form",
+    o.query(
+        _closed_form("year", "year"),
+        f"""SELECT label, t::INTEGER AS test_year, n_train::BIGINT AS n_train, n::BIGINT AS n_test, {o.nums('rmse', 'mape', 'r2', digits=2)}
+        FROM found WHERE t >= (SELECT min(t) FROM folds) + 3 AND n >= 5""",
+    ),
+)
+def walk_forward_closed_form(spark, sf_dir):
+    """Every fold of two feature sets against the closed form; the second lag has gaps, which the fold's median fills."""
+    return tidy(moments.walk_forward(_lagged(spark, sf_dir), LAG_SETS, min_train_years=3), 2)
+
+
+@register(
+    "ablation_closed_form",
+    o.query(
+        _closed_form(str(VALID_END + 1), str(VALID_END + 2)),
+        f"SELECT label, k::INTEGER AS n_features, {o.nums('rmse', 'mape', 'r2', digits=2)}, n::BIGINT AS n FROM found",
+    ),
+)
+def ablation_closed_form(spark, sf_dir):
+    """Two feature sets on the fixed split against the closed form."""
+    return tidy(moments.headline(_lagged(spark, sf_dir), LAG_SETS, VALID_END + 1, VALID_END + 2), 2)
+
+
+@register("quantile_band")
+def quantile_band(spark, sf_dir):
+    """Lower and upper quantile model on all features, corrected by crop on the validation years: coverage and width."""
+    train, valid, test = _split(spark, sf_dir)
+    model = quantile.fit(train, FEATURES)
+    wide = quantile.corrected(quantile.band(model, test), quantile.band(model, valid), ["crop"])
+    return tidy(quantile.coverage_and_width(wide, ["crop"]), 2)
+
+
+@register(
+    "quantile_band_constant",
+    o.query(
+        _ROWS + f""",
+        q AS (SELECT quantile_cont(y, {models.LOWER_Q}) AS lo, quantile_cont(y, {models.UPPER_Q}) AS hi FROM rows_ WHERE split = 'train'),
+        shifts AS (SELECT crop, quantile_cont(greatest(lo - y, y - hi), {models.UPPER_Q - models.LOWER_Q}) AS shift FROM rows_, q WHERE split = 'valid' GROUP BY crop),
+        wide AS (SELECT crop, y, least(lo - coalesce(shift, 0), (lo + hi) / 2) AS lower, greatest(hi + coalesce(shift, 0), (lo + hi) / 2) AS upper
+                 FROM rows_ LEFT JOIN shifts USING (crop), q WHERE split = 'test')""",
+        f"""SELECT crop, n::BIGINT AS n, {o.nums('coverage', 'mean_width', digits=2)}
+        FROM (SELECT crop, count(*) AS n, avg((y BETWEEN lower AND upper)::INT) AS coverage, avg(upper - lower) AS mean_width FROM wide GROUP BY crop)""",
+    ),
+)
+def quantile_band_constant(spark, sf_dir):
+    """Without features the models are exact quantiles; the correction by crop, coverage and width have a twin."""
+    rows = _plain_rows(spark, sf_dir)
+    train, valid, test = (rows.where(F.col("split") == s) for s in ("train", "valid", "test"))
+    model = quantile.fit(train, [])
+    wide = quantile.corrected(quantile.band(model, test), quantile.band(model, valid), ["crop"])
+    return tidy(quantile.coverage_and_width(wide, ["crop"]), 2)
