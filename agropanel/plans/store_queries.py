@@ -16,7 +16,7 @@ from agropanel.plans import views
 from agropanel.plans.quality_queries import ALERTS_SQL, FIRST_CUT, SECOND_CUT, SITE, alerts, snapshot
 from agropanel.plans.registry import register, tidy
 from agropanel.sources import fixtures as fx
-from agropanel.sources import readers, sinks
+from agropanel.sources import landing, readers, sinks
 
 
 def _place(spark, name: str) -> str:
@@ -198,3 +198,54 @@ def sorted_sites(spark, sf_dir):
     rows = views.equals_ignoring_case(fx.yield_panel(spark, sf_dir), "crop", "Machinery")
     best = rows.groupBy("district").agg(F.max("yield_kg_ha").alias("best"))
     return tidy(views.sort_any(best, "best", descending=True).limit(25))
+
+
+def _landed_documents(spark, sf_dir):
+    """A weather document per supplier as JSON text, some of them damaged or under another name, by key."""
+    lines = fx.table(spark, sf_dir, "lineitem")
+    days = lines.groupBy(F.col("l_suppkey").alias("site"), F.date_format("l_shipdate", "yyyyMMdd").alias("day")).agg(F.sum("l_quantity").alias("q"))
+    # a site has no more days than the calendar
+    series = days.groupBy("site").agg(F.map_from_entries(F.collect_list(F.struct("day", "q"))).alias("rain"))
+    kind = F.col("site") % 8
+    named = fx.with_supplier(series, spark, sf_dir).where(kind != 3)
+    rain = F.when(kind == 2, F.transform_values("rain", lambda _, v: F.lit(-999.0))).when(kind == 6, F.transform_keys("rain", lambda k, _: F.concat(F.lit("x"), k)))
+    rain = rain.when(kind == 1, F.map_from_entries(F.array().cast("array<struct<k:string,v:double>>"))).otherwise(F.col("rain"))
+    district = F.when(kind == 4, F.concat(F.lit("Nowhere "), F.col("site").cast("string"))).otherwise(F.col("district"))
+    text = F.to_json(F.struct("state", district.alias("district"), "lat", "lon", F.struct(F.create_map(F.lit("PRECTOTCORR"), rain).alias("parameter")).alias("properties")))
+    cut_short = F.substring(text, 1, F.length(text) - 40)
+    # every eighth document is cut; another eighth comes twice, cut and whole
+    return named.select(F.explode(F.when(kind == 0, F.array(cut_short)).when(kind == 5, F.array(cut_short, text)).otherwise(F.array(text))).alias("value"))
+
+
+@register(
+    "landing_reasons",
+    o.query(
+        """site AS (SELECT s_suppkey AS site, n_name AS state, s_name AS district FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+        shipped AS (SELECT DISTINCT l_suppkey AS site FROM lineitem)""",
+        """SELECT state, district, CASE WHEN site NOT IN (SELECT site FROM shipped) OR site % 8 IN (3, 4) THEN 'no document landed'
+          WHEN site % 8 = 0 THEN 'unreadable document' WHEN site % 8 = 1 THEN 'no series in the document'
+          WHEN site % 8 = 2 THEN 'only fill values' ELSE 'no readable date' END AS error
+        FROM site WHERE site % 8 NOT IN (5, 7) OR site NOT IN (SELECT site FROM shipped)
+        UNION ALL SELECT state, 'Nowhere ' || site, 'site is not expected' FROM site JOIN shipped USING (site) WHERE site % 8 = 4""",
+    ),
+)
+def landing_reasons(spark, sf_dir):
+    """Why each expected site has no rows, from documents of which some are cut, empty, filled, misdated, absent or strange."""
+    path = _place(spark, "landing")
+    _landed_documents(spark, sf_dir).write.text(path)
+    found = landing.verdicts(landing.read_landed(spark, path))
+    return landing.ledger(fx.supplier_sites(spark, sf_dir), found)
+
+
+@register(
+    "landing_rows",
+    """SELECT n_name AS state, s_name AS district, CAST(l_shipdate AS DATE) AS date, sum(l_quantity)::DOUBLE AS rainfall_mm
+    FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 8 IN (5, 7) GROUP BY ALL""",
+)
+def landing_rows(spark, sf_dir):
+    """The daily rows of the documents that were whole and of an expected site."""
+    path = _place(spark, "landing")
+    _landed_documents(spark, sf_dir).write.text(path)
+    daily = readers.clean_daily(readers.explode_payload(landing.whole_documents(landing.read_landed(spark, path))))
+    known = daily.join(fx.supplier_sites(spark, sf_dir).select("state", "district"), ["state", "district"], "left_semi")
+    return known.where("rainfall_mm IS NOT NULL").select("state", "district", "date", "rainfall_mm")

@@ -59,7 +59,7 @@ def read_payload(spark: SparkSession, path: str) -> DataFrame:
 def explode_payload(documents: DataFrame) -> DataFrame:
     """Nested variable -> (date -> value) maps to one row per site and date.
 
-    Dates of every variable are exploded, so a date missing from one of them still yields a row.
+    Dates of every variable are exploded, so a date missing from one of them still yields a row. What is no date yields none.
     """
     parameter = F.col("properties.parameter")
     dates = F.array_distinct(F.flatten(F.transform(F.map_values(parameter), lambda m: F.map_keys(m))))
@@ -68,8 +68,8 @@ def explode_payload(documents: DataFrame) -> DataFrame:
         F.try_element_at(F.try_element_at(F.col("p"), F.lit(code)), F.col("day")).alias(name)
         for code, name in PAYLOAD_VARIABLES.items()
     ]
-    rows = rows.select("state", "district", "lat", "lon", F.to_date("day", "yyyyMMdd").alias("date"), *values)
-    return rows.select(*sc.DAILY.fieldNames())
+    rows = rows.select("state", "district", "lat", "lon", F.try_to_date("day", "yyyyMMdd").alias("date"), *values)
+    return rows.where(F.col("date").isNotNull()).select(*sc.DAILY.fieldNames())
 
 
 def clean_daily(daily: DataFrame, floor: float = -900.0) -> DataFrame:
