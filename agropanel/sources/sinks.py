@@ -25,7 +25,7 @@ def overwrite(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> Non
 
 
 def replace_table(df: DataFrame, path: str) -> None:
-    """Writes beside the table and then switches the folders, so a failure half-way leaves the old table."""
+    """Writes beside the table and then switches the folders; if the new one cannot be put in place, the old one is put back."""
     spark = df.sparkSession
     jvm = spark.sparkContext._jvm
 
@@ -38,7 +38,13 @@ def replace_table(df: DataFrame, path: str) -> None:
     had = fs.exists(at(path))
     if had and not fs.rename(at(path), at(old)):
         raise OSError(f"{path} could not be set aside")
-    if not fs.rename(at(new), at(path)):
+    try:
+        placed = fs.rename(at(new), at(path))
+    except Exception:
+        placed = False
+    if not placed:
+        if had:
+            fs.rename(at(old), at(path))
         raise OSError(f"{path} could not be put in place; its rows are in {new}")
     if had:
         fs.delete(at(old), True)
