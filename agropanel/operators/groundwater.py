@@ -6,7 +6,7 @@ import math
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from agropanel.functions import scalars as f
@@ -118,3 +118,57 @@ def _beta_tail(a: float, b: float, x: float) -> float:
         if abs(c * d - 1) < 1e-14:
             break
     return front * out
+
+
+# Coefficients of the Lanczos approximation of the gamma function (g = 7)
+LANCZOS = (
+    0.99999999999980993, 676.5203681218851, -1259.1392167224028, 771.32342877765313, -176.61502916214059, 12.507343278686905,
+    -0.13857109526572012, 9.9843695780195716e-6, 1.5056327351493116e-7,
+)
+FRACTION_STEPS = 200  # of the continued fraction; it settles after some dozen
+
+
+def _log_gamma(x: Column) -> Column:
+    """For x of one half or more."""
+    z = x - 1
+    series = F.lit(LANCZOS[0])
+    for i, c in enumerate(LANCZOS[1:], 1):
+        series = series + F.lit(c) / (z + i)
+    t = z + 7.5
+    return F.lit(0.5 * math.log(2 * math.pi)) + (z + 0.5) * F.log(t) - t + F.log(series)
+
+
+def pearson_p_column(r: Column, n: Column) -> Column:
+    """`pearson_p` for every row: null where r is null, 1 below three pairs, 0 where all pairs lie on a line.
+
+    The incomplete beta function's continued fraction runs as an aggregate over a literal sequence, so a table of many
+    groups needs no Python.
+    """
+    df, x = (n - 2).cast("double"), 1 - r * r
+    a, b = df / 2, F.lit(0.5)
+    swap = x > (a + 1) / (a + b + 2)
+    p, q, y = F.when(swap, b).otherwise(a), F.when(swap, a).otherwise(b), F.when(swap, 1 - x).otherwise(x)
+    front = F.exp(_log_gamma(a + b) - _log_gamma(a) - _log_gamma(b) + p * F.log(y) + q * F.log(1 - y)) / p
+
+    def step(state, top):
+        d = 1 / (1 + top * state["d"])
+        c = 1 + top / state["c"]
+        return F.struct(c.alias("c"), d.alias("d"), (state["out"] * c * d).alias("out"))
+
+    def both(state, i):
+        m = i.cast("double")
+        first = step(state, m * (q - m) * y / ((p + 2 * m - 1) * (p + 2 * m)))
+        return step(first, -(p + m) * (p + q + m) * y / ((p + 2 * m) * (p + 2 * m + 1)))
+
+    d0 = 1 / (1 - (p + q) * y / (p + 1))
+    start = F.struct(F.lit(1.0).alias("c"), d0.alias("d"), d0.alias("out"))
+    tail = front * F.aggregate(F.sequence(F.lit(1), F.lit(FRACTION_STEPS)), start, both)["out"]
+    value = F.when(swap, 1 - tail).otherwise(tail)
+    return F.when(F.abs(r) >= 1, 0.0).when((n < 3) | (r == 0), F.when(r.isNotNull(), 1.0)).otherwise(value)
+
+
+def pearson_by(df: DataFrame, x: str, y: str, by: list[str], min_rows: int = 5) -> DataFrame:
+    """(by…, n, r, p): correlation of each group with its two-sided p-value; null below `min_rows` pairs."""
+    n = F.count(F.lit(1))
+    found = df.dropna(subset=[x, y]).groupBy(*by).agg(n.alias("n"), F.when(n >= min_rows, F.corr(x, y)).alias("r"))
+    return found.withColumn("p", pearson_p_column(F.col("r"), F.col("n")))

@@ -721,3 +721,21 @@ def unresolved_share(spark, sf_dir):
     joined = fx.yield_panel(spark, sf_dir).join(fx.covariates(spark, sf_dir), [*SITE, "year"], "left")
     out = gate.unresolved_share(joined, "nitrogen_tons")
     return tidy(out.withColumn("passed", F.col("passed").cast("int")), 6)
+
+
+@register(
+    "pearson_by_site",
+    o.query(
+        o.YIELD + """,
+        found AS (SELECT state, district, count(*) AS n, corr(year, yield_kg_ha) AS r FROM yield_panel GROUP BY ALL HAVING count(*) BETWEEN 5 AND 10),
+        sides AS (SELECT *, abs(r) AS s, sqrt(1 - r * r) AS c, asin(abs(r)) AS a FROM found)""",
+        f"""SELECT state, district, n::BIGINT AS n, {o.num('r', 6)}, {o.num("""1 - CASE n
+          WHEN 5 THEN 2 / pi() * (a + s * c) WHEN 6 THEN s * (1 + c ** 2 / 2) WHEN 7 THEN 2 / pi() * (a + s * (c + 2.0 / 3 * c ** 3))
+          WHEN 8 THEN s * (1 + c ** 2 / 2 + 3.0 / 8 * c ** 4) WHEN 9 THEN 2 / pi() * (a + s * (c + 2.0 / 3 * c ** 3 + 8.0 / 15 * c ** 5))
+          ELSE s * (1 + c ** 2 / 2 + 3.0 / 8 * c ** 4 + 5.0 / 16 * c ** 6) END""", 6, 'p')} FROM sides""",
+    ),
+)
+def pearson_by_site(spark, sf_dir):
+    """Does a site's yield follow the years? Its correlation and p-value; up to ten years the tail has a closed form."""
+    found = groundwater.pearson_by(fx.yield_panel(spark, sf_dir).withColumn("year", F.col("year").cast("double")), "year", "yield_kg_ha", [*SITE], 5)
+    return tidy(found.where("n BETWEEN 5 AND 10"), 6)
