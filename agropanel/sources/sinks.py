@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from agropanel import schema as sc
 from agropanel.functions.scalars import season_or_default
 from agropanel.lineage import cut
+from agropanel.operators import gate
 from agropanel.operators.panel import CROP_SEASON, feature_map
 from agropanel.sources.readers import exists, read_table
 
@@ -187,6 +188,20 @@ def promoted(runs: DataFrame) -> DataFrame:
     return best.where(F.col("_r").isNotNull()).select("_r.*")
 
 
+def modified(spark: SparkSession, path: str) -> int | None:
+    """When the newest data file below a path was written, in milliseconds; None if there is none."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(hadoop):
+        return None
+    newest, files = None, fs.listFiles(hadoop, True)
+    while files.hasNext():
+        file = files.next()
+        if not file.getPath().getName().startswith(("_", ".")):
+            newest = max(newest or 0, file.getModificationTime())
+    return newest
+
+
 def publish(
     spark: SparkSession,
     root: str,
@@ -202,7 +217,8 @@ def publish(
     """Writes a run: manifest row 'running', the tables, the checks, then the closing manifest row.
 
     Each output is a function of (run id, previous promoted run id). The status is ok if no check failed, else
-    flagged; an error closes the run as failed. Only an ok run is found by `promoted`.
+    flagged; an error, or a table that is newer than its checks, closes the run as failed. Only an ok run is found by
+    `promoted`.
     """
     run_id = run_id or str(uuid.uuid4())
     manifest = f"{root}/runs"
@@ -231,6 +247,10 @@ def publish(
         for name, build in outputs.items():
             append_run(build(run_id, previous).drop("run_id"), f"{root}/{name}", run_id)
         append_run(checks(run_id).drop("run_id"), f"{root}/sanity_checks", run_id)
+        times = [modified(spark, f"{root}/{name}/run_id={run_id}") for name in ("sanity_checks", *outputs)]
+        if times[0] is not None:
+            # a table that someone rewrote after it was checked is not published
+            gate.require_fresh(times[0], max((t for t in times[1:] if t is not None), default=times[0]))
         written = spark.read.parquet(f"{root}/sanity_checks").where(F.col("run_id") == run_id)
         report = written.agg(
             F.count_if(F.col("status") == "fail").alias("n"),
