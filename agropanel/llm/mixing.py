@@ -148,18 +148,20 @@ def mixture(docs: DataFrame, key: str = "doc_id", text: str = "text", seed: int
     """The mix itself: `docs` with _shard, _pass and _words for every draw, each shard in its own shuffled order.
 
     A draw with fewer words than the text has takes its first words. One partition per shard or several shards in one.
+    Columns of `docs` with one of those three names are replaced; any other name is free.
     """
     mark = F.xxhash64(F.lit(seed), F.col(key), F.col(text))
-    drawn = draws(docs, key, text, seed=seed, **settings).select(F.col("key").alias("_key"), F.col("mark").alias("_mark"), "draws")
+    drawn = draws(docs, key, text, seed=seed, **settings).select(F.col("key").alias("of"), F.col("mark").alias("of_mark"), "draws")
     # rows that repeat key and text have the same mark: one of them stands for all draws of that mark
-    drawn = drawn.groupBy("_key", "_mark").agg(F.flatten(F.collect_list("draws")).alias("_draws"))
-    marked = docs.withColumn("_m", mark).dropDuplicates([key, "_m"])
-    joined = marked.join(drawn, marked[key].eqNullSafe(drawn["_key"]) & (marked["_m"] == drawn["_mark"]))
-    out = joined.withColumn("_draw", F.explode("_draws")).select(
-        *docs.columns, F.col("_draw.shard").alias("_shard"), F.col("_draw.pass").alias("_pass"), F.col("_draw.words").alias("_words"), "_m"
-    )
-    order = F.xxhash64(F.lit(seed), "_shard", "_pass", "_m")
-    return out.withColumn("_order", order).repartition("_shard").sortWithinPartitions("_shard", "_order").drop("_order", "_m")
+    drawn = drawn.groupBy("of", "of_mark").agg(F.flatten(F.collect_list("draws")).alias("all_draws"))
+    # a row travels as one value, so that none of its columns can clash
+    kept = [c for c in docs.columns if c not in ("_shard", "_pass", "_words")]
+    rows = docs.select(F.col(key).alias("key"), mark.alias("mark"), F.struct(*kept).alias("row")).dropDuplicates(["key", "mark"])
+    joined = rows.join(drawn, rows["key"].eqNullSafe(drawn["of"]) & (rows["mark"] == drawn["of_mark"]))
+    each = joined.select("row", "mark", F.explode("all_draws").alias("draw")).select("row", "mark", "draw.shard", "draw.pass", "draw.words")
+    order = F.xxhash64(F.lit(seed), "shard", "pass", "mark")
+    placed = each.repartition("shard").sortWithinPartitions("shard", order)
+    return placed.select("row.*", F.col("shard").alias("_shard"), F.col("pass").alias("_pass"), F.col("words").alias("_words"))
 
 
 def taken(drawn: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 SYLLABLES = "ka lo mi ru te sa vo ne pi du".split()
 #: Names that operators use inside; a table may have them too.
 CLASH = ["fp", "key", "doc", "twin", "bucket", "value", "kind", "score", "size", "block", "mark", "draws", "places", "_runs", "tag", "place", "row",
-         "_key", "_text", "_bytes", "rank", "weight", "form", "n", "n_words", "chunk", "maps"]
+         "_key", "_text", "_bytes", "rank", "weight", "form", "n", "n_words", "chunk", "maps", "_m", "of", "draw"]
 
 
 def prose(rng: random.Random, n: int) -> str:
