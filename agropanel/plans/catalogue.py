@@ -6,6 +6,7 @@ from agropanel.plans import (  # noqa: F401
     model_queries,
     panel_queries,
     quality_queries,
+    run_queries,
     scenario_queries,
     serving_queries,
     store_queries,

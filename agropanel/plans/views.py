@@ -120,6 +120,35 @@ def freshness(runs: DataFrame, as_of: str, max_days: int = 7) -> DataFrame:
     return row.select(status.alias("status"), "data_age_days", "run_id")
 
 
+def feature_deltas(predictions: DataFrame, before: str, after: str, n: int = 5, keys: Sequence[str] = ("district_id", "crop", "season")) -> DataFrame:
+    """(keys, feature, before, after, delta, rank): the features of a forecast that moved most between two runs.
+
+    A feature's move is its change over the greater of its two sizes; one that only one run knows comes first, equal moves go by
+    name. Forecasts of the later run only; without an earlier one all its known features are new. Unchanged features, and
+    those unknown in both runs, have no row. Both vectors stay in their row, so nothing is exploded before the choice.
+    """
+    empty = F.create_map().cast("map<string,double>")
+    sides = []
+    for run, name in ((after, "_after"), (before, "_before")):
+        vector = F.coalesce("features", empty).alias(name)
+        sides.append(predictions.where(F.col("run_id") == run).select(*[F.col(k).alias(f"{name}_{k}") for k in keys], vector))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(f"_after_{k}").eqNullSafe(F.col(f"_before_{k}"))
+    both = sides[0].join(sides[1], same, "left")
+
+    def move(_, x: Column, y: Column) -> Column:
+        share = F.round(F.abs(y - x) / F.greatest(F.abs(x), F.abs(y)), 9)
+        return F.when(~x.eqNullSafe(y), F.struct((-F.coalesce(share, F.lit(2.0))).alias("order"), x.alias("before"), y.alias("after")))
+
+    moves = F.map_zip_with(F.coalesce("_before", empty), "_after", move)
+    entries = F.filter(F.map_entries(moves), lambda e: e["value"].isNotNull())
+    flat = F.transform(entries, lambda e: F.struct(e["value"]["order"], e["key"].alias("feature"), e["value"]["before"], e["value"]["after"]))
+    top = both.select(*[F.col(f"_after_{k}").alias(k) for k in keys], F.posexplode(F.slice(F.sort_array(flat), 1, n)).alias("_i", "_m"))
+    out = top.select(*keys, "_m.feature", "_m.before", "_m.after", (F.col("_i") + 1).alias("rank"))
+    return out.withColumn("delta", F.col("after") - F.col("before"))
+
+
 def main_basis(predictions: DataFrame) -> DataFrame:
     """Most frequent prediction basis with its newest baseline year."""
     counts = predictions.groupBy("prediction_basis").agg(
