@@ -80,7 +80,9 @@ def season_blocks(daily: DataFrame, season: str, keys: Sequence[str] = SITE) ->
     member = MEMBERS[season]("date")
     days = daily.withColumns({"year": S.crop_year("date"), "_in": member, "day": S.block_day("date")})
     rest = ~F.col("_in")
-    wide = days.groupBy(*keys, "year").agg(
+    # the grouping keeps this partitioning; the folds cost more than the bytes tell, so the tasks are not to be merged
+    spread = days.repartition(int(daily.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    wide = spread.groupBy(*keys, "year").agg(
         # a season has no more days than the calendar gives it
         F.sort_array(F.collect_list(F.when(F.col("_in"), F.struct("day", *_DAY)))).alias("days"),
         F.coalesce(F.sum(F.when(rest, F.col("rainfall_mm"))), F.lit(0.0)).alias("_rain_rest"),
@@ -90,18 +92,24 @@ def season_blocks(daily: DataFrame, season: str, keys: Sequence[str] = SITE) ->
     return wide.where(F.size("days") > 0)
 
 
-def _adjusted(day: Column, p: Callable[[str], Column]) -> dict[str, Column]:
-    """Values of one day under the parameters `p`."""
-    at = day["day"]
+def _adjusted(p: Callable[[str], Column]) -> Column:
+    """The block's days under the parameters `p`, each value computed once."""
 
-    def hit(name: str) -> Column:
-        return (at >= p(f"{name}_start")) & (at < p(f"{name}_start") + p(f"{name}_days"))
+    def one(day: Column) -> Column:
+        at = day["day"]
 
-    shifted = {c: day[c] + p("temp_shift_c") for c in ("temp_max_c", "temp_min_c", "temp_avg_c")}
-    for c in ("temp_max_c", "temp_avg_c"):
-        shifted[c] = F.when(hit("heatwave"), shifted[c] + p("heatwave_delta_c")).otherwise(shifted[c])
-    rain = day["rainfall_mm"] * (1 + p("rain_scale_pct") / 100)
-    return shifted | {"rainfall_mm": F.when(hit("dry_spell"), F.lit(0.0)).otherwise(rain), "solar_radiation": day["solar_radiation"]}
+        def hit(name: str) -> Column:
+            return (at >= p(f"{name}_start")) & (at < p(f"{name}_start") + p(f"{name}_days"))
+
+        warm = F.when(hit("heatwave"), p("heatwave_delta_c")).otherwise(F.lit(0.0))
+        rain = day["rainfall_mm"] * (1 + p("rain_scale_pct") / 100)
+        return F.struct(
+            F.when(hit("dry_spell"), F.lit(0.0)).otherwise(rain).alias("rain"), (day["temp_avg_c"] + p("temp_shift_c") + warm).alias("tavg"),
+            (day["temp_max_c"] + p("temp_shift_c") + warm).alias("tmax"), (day["temp_min_c"] + p("temp_shift_c")).alias("tmin"),
+            day["solar_radiation"].alias("solar"),
+        )
+
+    return F.transform("days", one)
 
 
 _COUNTS = ("rain_n", "tavg_n", "tmax_n", "heat", "frost", "run", "longest")
@@ -113,8 +121,7 @@ def _folded(p: Callable[[str], Column]) -> Column:
     zero = F.struct(*[F.lit(0).cast("long").alias(c) for c in _COUNTS], *[F.lit(0.0).alias(c) for c in _SUMS])
 
     def step(acc: Column, day: Column) -> Column:
-        x = _adjusted(day, p)
-        rain, tavg, tmax, tmin = (x[c] for c in ("rainfall_mm", "temp_avg_c", "temp_max_c", "temp_min_c"))
+        rain, tavg, tmax, tmin = (day[c] for c in ("rain", "tavg", "tmax", "tmin"))
 
         def one(condition: Column) -> Column:
             return F.when(condition, F.lit(1)).otherwise(F.lit(0)).cast("long")
@@ -128,7 +135,7 @@ def _folded(p: Callable[[str], Column]) -> Column:
         mean = acc["mean"] + known(off / n)
         run = F.when(rain < DRY_DAY_MM, acc["run"] + 1).otherwise(F.lit(0).cast("long"))
         gap = tmax - tmin
-        et0 = x["solar_radiation"] * (tavg + ET0_OFFSET_C) * F.sqrt(F.when(gap < 0, F.lit(0.0)).otherwise(gap)) * ET0_FACTOR
+        et0 = day["solar"] * (tavg + ET0_OFFSET_C) * F.sqrt(F.when(gap < 0, F.lit(0.0)).otherwise(gap)) * ET0_FACTOR
         return F.struct(
             n.alias("rain_n"), (acc["tavg_n"] + one(tavg.isNotNull())).alias("tavg_n"), (acc["tmax_n"] + one(tmax.isNotNull())).alias("tmax_n"),
             (acc["heat"] + one(tmax > HEAT_DAY_C)).alias("heat"), (acc["frost"] + one(tmin < FROST_DAY_C)).alias("frost"),
@@ -139,7 +146,7 @@ def _folded(p: Callable[[str], Column]) -> Column:
             (acc["et0"] + known(et0)).alias("et0"),
         )
 
-    return F.aggregate("days", zero, step)
+    return F.aggregate(_adjusted(p), zero, step)
 
 
 def feature_names(season: str) -> list[str]:
