@@ -127,6 +127,9 @@ def test_outputs_and_ledger(spark):
     assert gate.fetch_completeness(spark.createDataFrame([], schema)).first().status == "pass"
     row = gate.fetch_completeness(spark.createDataFrame([("s", "d", "x")], schema)).first()
     assert row.status == "fail" and "s/d" in row.detail
+    many = spark.range(5000).selectExpr("'s' AS state", "format_string('%05d', id) AS district", "'x' AS error")
+    row = gate.fetch_completeness(many).first()
+    assert row.detail.startswith("5000 sites") and "s/00999" in row.detail and "s/01000" not in row.detail and len(row.detail) > 2000
 
 
 def test_match_or_refuse(spark):
