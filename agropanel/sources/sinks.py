@@ -202,6 +202,21 @@ def modified(spark: SparkSession, path: str) -> int | None:
     return newest
 
 
+def append_event(events: DataFrame, manifest: str) -> None:
+    """Adds rows to the manifest. Each writer commits in a folder of its own and then moves its files in, so that one writer's
+    commit cannot sweep away what another is about to commit."""
+    spark = events.sparkSession
+    name = uuid.uuid4().hex
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    fs = at(manifest).getFileSystem(spark._jsc.hadoopConfiguration())
+    own = f"{manifest}/_event-{name}"
+    events.coalesce(1).write.parquet(own)
+    for i, file in enumerate(s.getPath() for s in fs.listStatus(at(own)) if s.getPath().getName().startswith("part-")):
+        if not fs.rename(file, at(f"{manifest}/event-{name}-{i}.parquet")):
+            raise OSError(f"an event could not be added to {manifest}")
+    fs.delete(at(own), True)
+
+
 def publish(
     spark: SparkSession,
     root: str,
@@ -218,8 +233,10 @@ def publish(
 
     Each output is a function of (run id, previous promoted run id). The status is ok if no check failed, else
     flagged; an error, or a table that is newer than its checks, closes the run as failed. Only an ok run is found by
-    `promoted`.
+    `promoted`, and the pointer moves to it unless a newer run has it already.
     """
+    from agropanel.sources import pointer
+
     run_id = run_id or str(uuid.uuid4())
     manifest = f"{root}/runs"
     previous = None
@@ -240,7 +257,7 @@ def publish(
                 "finished_at": F.to_timestamp("finished_at"),
             }
         )
-        typed.write.mode("append").parquet(manifest)
+        append_event(typed, manifest)
 
     record("running", None, None)
     try:
@@ -258,10 +275,12 @@ def publish(
         ).first()
         status = "ok" if report["n"] == 0 else "flagged"
         record(status, report["n"] == 0, finished_at, report["j"])
-        return run_id, status
     except Exception:
         record("failed", False, finished_at)
         raise
+    if status == "ok":
+        pointer.advance(spark, root, run_id, finished_at)
+    return run_id, status
 
 
 def retained_runs(runs: DataFrame, keep: int = 30) -> DataFrame:
