@@ -187,6 +187,28 @@ def advisories(
     return F.when(F.size(fired) > 0, fired).otherwise(F.array(entry("normal", "No findings")))
 
 
+def gap_percent(point, gap_vs_state) -> Column:
+    """How far a forecast lies from the average of its state, in percent of that average; 0 where the forecast is not positive."""
+    p, gap = _col(point), _col(gap_vs_state)
+    return F.when(p > 0, F.try_divide(F.abs(gap), p - gap) * 100).otherwise(0.0)
+
+
+def advisory_text(title, site, state, point, gap_vs_state) -> Column:
+    """A sentence for each title of `advisories`; null for a title that is not listed."""
+    t, where = _col(title), _col(site)
+    share = F.bround(gap_percent(point, gap_vs_state), 0).cast("long").cast("string")
+    below = F.concat(
+        where, F.lit(" is forecast "), F.format_number(F.abs(_col(gap_vs_state)), 0), F.lit(" kg/ha ("), share, F.lit("%) below the average of "),
+        _col(state), F.lit("."))
+    return (
+        F.when(t == "Drought conditions", F.concat(where, F.lit(" has had far less rain than usual this season; plan for water shortage.")))
+        .when(t == "Excess rainfall", F.concat(where, F.lit(" has had far more rain than usual this season; check low fields for damage.")))
+        .when(t == "Wide forecast range", F.concat(F.lit("The forecast of "), where, F.lit(" is uncertain; check it in the field before use.")))
+        .when(t == "Below state average", below)
+        .when(t == "No findings", F.concat(where, F.lit(" shows nothing unusual this season.")))
+    )
+
+
 def departure_verdict(departure, official, n_dry, tolerance: float = -15.0) -> Column:
     """Compares a computed rainfall departure with an official one."""
     d, o = _col(departure), _col(official)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from agropanel.plans import (  # noqa: F401
+    intake_queries,
     model_queries,
     panel_queries,
     quality_queries,

@@ -8,14 +8,17 @@ all rows.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from agropanel.lineage import cut
+from agropanel.lineage import cut, folder
 from agropanel.operators import explain, metrics, models, moments, panel, quantile
 from agropanel.plans import oracle as o
 from agropanel.plans.registry import register, tidy
 from agropanel.sources import fixtures as fx
+from agropanel.sources import model_store
 
 FEATURES = ["lag_yield_1", "lag_yield_2", "lag_yield_3", "rolling_yield_3yr", "yield_trend", "yield_gap_vs_state",
             "log_area", "fertilizer_per_ha", "nitrogen_per_ha", "irrigation_pct", "time_trend", "crop_encoded"]
@@ -170,19 +173,19 @@ def _plain_rows(spark, sf_dir) -> DataFrame:
     return panel.with_split(rows, TRAIN_END, VALID_END)
 
 
-@register(
-    "ridge_two_features",
-    o.query(
-        _ROWS + f""",
-        s AS (SELECT avg(y) AS my, avg(a) AS ma, stddev_pop(a) AS sa, avg(b) AS mb, stddev_pop(b) AS sb FROM rows_ WHERE split = 'train'),
-        z AS (SELECT r.*, (a - ma) / sa AS za, (b - mb) / sb AS zb, y - my AS yc, my FROM rows_ r, s),
-        m AS (SELECT sum(za * za) + {models.RIDGE_ALPHA} AS aa, sum(za * zb) AS ab, sum(zb * zb) + {models.RIDGE_ALPHA} AS bb,
-                sum(za * yc) AS ay, sum(zb * yc) AS byc FROM z WHERE split = 'train'),
-        w AS (SELECT (bb * ay - ab * byc) / (aa * bb - ab * ab) AS wa, (aa * byc - ab * ay) / (aa * bb - ab * ab) AS wb FROM m),
-        scored AS (SELECT y, my + wa * za + wb * zb AS p FROM z, w WHERE split = 'test')""",
-        f"SELECT {o.nums(*_METRICS, digits=2)}, n::BIGINT AS n FROM (SELECT {_ERRORS} FROM scored)",
-    ),
+_RIDGE_SQL = o.query(
+    _ROWS + f""",
+    s AS (SELECT avg(y) AS my, avg(a) AS ma, stddev_pop(a) AS sa, avg(b) AS mb, stddev_pop(b) AS sb FROM rows_ WHERE split = 'train'),
+    z AS (SELECT r.*, (a - ma) / sa AS za, (b - mb) / sb AS zb, y - my AS yc, my FROM rows_ r, s),
+    m AS (SELECT sum(za * za) + {models.RIDGE_ALPHA} AS aa, sum(za * zb) AS ab, sum(zb * zb) + {models.RIDGE_ALPHA} AS bb,
+            sum(za * yc) AS ay, sum(zb * yc) AS byc FROM z WHERE split = 'train'),
+    w AS (SELECT (bb * ay - ab * byc) / (aa * bb - ab * ab) AS wa, (aa * byc - ab * ay) / (aa * bb - ab * ab) AS wb FROM m),
+    scored AS (SELECT y, my + wa * za + wb * zb AS p FROM z, w WHERE split = 'test')""",
+    f"SELECT {o.nums(*_METRICS, digits=2)}, n::BIGINT AS n FROM (SELECT {_ERRORS} FROM scored)",
 )
+
+
+@register("ridge_two_features", _RIDGE_SQL)
 def ridge_two_features(spark, sf_dir):
     """Ridge on the last yield and the number of orders, against its closed form."""
     rows = _plain_rows(spark, sf_dir)
@@ -190,6 +193,32 @@ def ridge_two_features(spark, sf_dir):
     return tidy(metrics.metrics(model.transform(rows.where("split = 'test'")), panel.TARGET, "pred"), 2)
 
 
+@register("stored_ridge_scores", _RIDGE_SQL)
+def stored_ridge_scores(spark, sf_dir):
+    """The same ridge stored twice, loaded by its version and applied as a column expression."""
+    root, names = f"{folder(spark)}/models-{uuid.uuid4().hex}", ["lag_yield_1", "area_ha"]
+    rows = _plain_rows(spark, sf_dir)
+    model = models.fit_ridge(rows.where("split = 'train'"), names)
+    version = model_store.save(spark, model, root)
+    if model_store.save(spark, model, root) != version or model_store.versions(spark, root) != [version]:
+        raise RuntimeError("equal models got two versions")
+    stored = model_store.load(spark, root, version, names)
+    return tidy(metrics.metrics(stored.transform(rows.where("split = 'test'")), panel.TARGET, "pred"), 2)
+
+
+@register("stored_tree_gaps")
+def stored_tree_gaps(spark, sf_dir):
+    """Boosted trees before and after they were stored and loaded: the largest difference of a test row's score is 0."""
+    root = f"{folder(spark)}/models-{uuid.uuid4().hex}"
+    train, _, test = _split(spark, sf_dir)
+    model = models.fit_trees(train, FEATURES, models.boosted(**SMALL), indicators=True)
+    stored = model_store.load(spark, root, model_store.save(spark, model, root), FEATURES)
+    # a model fills the columns that it reads, so the second one is given them as they were
+    before = model.transform(test.withColumns({f"_{c}": F.col(c) for c in FEATURES}))
+    both = stored.transform(before.select(*[F.col(f"_{c}").alias(c) for c in FEATURES], F.col("pred").alias("before")))
+    return both.agg(F.max(F.abs(F.col("pred") - F.col("before"))).alias("gap"), F.count(F.lit(1)).alias("n"))
+
+
 @register(
     "ridge_normal_equations",
     o.query(

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import uuid
 
+from multiprocessing.pool import ThreadPool
+
+from pyspark import inheritable_thread_target
 from pyspark.sql import functions as F
 
 from agropanel import schema as sc
@@ -14,7 +17,7 @@ from agropanel.plans import views
 from agropanel.plans.quality_queries import FIRST_CUT, SECOND_CUT
 from agropanel.plans.registry import register, tidy
 from agropanel.sources import fixtures as fx
-from agropanel.sources import readers, retention
+from agropanel.sources import pointer, readers, retention, sinks
 from agropanel.streaming import weekly
 
 _AS_OF, _KEEP = "2001-08-15", 3
@@ -99,3 +102,63 @@ def weekly_stream(spark, sf_dir):
     weekly.run_once(spark, landed, table, checkpoint)
     weekly.run_once(spark, landed, table, checkpoint)
     return tidy(weekly.closed_weeks(spark, table))
+
+
+_TIMES = "yyyy-MM-dd HH:mm:ss"
+
+
+def _manifest(spark, sf_dir, root):
+    """The months' runs as a stored manifest; a month that failed has no closing row yet, as if its writer had been lost."""
+    rest = {c: F.lit(None).cast("string") for c in ("model_version", "git_sha", "gate_report")}
+    events = serving.run_events(spark, sf_dir).where("status <> 'failed'").withColumns(rest)
+    sinks.append_event(events.select(*sc.RUNS.fieldNames()), f"{root}/runs")
+    return spark.read.schema(sc.RUNS).parquet(f"{root}/runs")
+
+
+@register(
+    "run_pointer",
+    o.query(
+        serving._RUNS,
+        """, good AS (SELECT * FROM runs WHERE status = 'ok' ORDER BY last DESC LIMIT 1)
+        SELECT run_id, status, last AS weather_data_as_of, (SELECT count(*) FROM (
+          SELECT DISTINCT o_custkey FROM orders, good WHERE strftime(o_orderdate, 'run-%Y-%m') = run_id))::BIGINT AS n FROM good""",
+    ).replace(")\n, good", "), good"),
+)
+def run_pointer(spark, sf_dir):
+    """Four writers race to make their runs the latest, the newest run first; what the pointer names, with its rows."""
+    root = _place(spark, "published")
+    state = sinks.run_state(_manifest(spark, sf_dir, root)).where("status = 'ok'")
+    monthly_forecasts(spark, sf_dir).repartition("run_id").write.partitionBy("run_id").parquet(f"{root}/predictions")
+    # runs are months of the history; the last twelve of them race
+    done = state.orderBy(F.col("finished_at").desc()).select("run_id", F.date_format("finished_at", _TIMES).alias("t")).limit(12).collect()
+    with ThreadPool(4) as pool:
+        pool.map(inheritable_thread_target(spark)(lambda r: pointer.advance(spark, root, r["run_id"], r["t"])), done, 1)
+    rows = pointer.of_latest(spark, root, "predictions", sc.PREDICTIONS)
+    n = rows.groupBy("run_id").agg(F.count(F.lit(1)).alias("n"))
+    return state.join(n, "run_id").select("run_id", "status", "weather_data_as_of", "n")
+
+
+@register(
+    "run_recovery",
+    o.query(
+        serving._RUNS,
+        """, held AS (SELECT strftime(o_orderdate, 'run-%Y-%m') AS run_id, count(DISTINCT o_custkey) AS n FROM orders GROUP BY ALL)
+        SELECT run_id, status, CASE WHEN status = 'failed' THEN 0 ELSE n END::BIGINT AS n,
+          (run_id = (SELECT run_id FROM runs WHERE status = 'ok' ORDER BY last DESC LIMIT 1))::INTEGER AS latest
+        FROM runs JOIN held USING (run_id)""",
+    ).replace(")\n, held", "), held"),
+)
+def run_recovery(spark, sf_dir):
+    """Every run after lost writers were put right: state, rows that are left, and which one the pointer names."""
+    root = _place(spark, "recovered")
+    _manifest(spark, sf_dir, root)
+    monthly_forecasts(spark, sf_dir).repartition("run_id").write.partitionBy("run_id").parquet(f"{root}/predictions")
+    for _ in range(2):
+        again = pointer.recover(spark, root, "2100-01-01 00:00:00", "2100-01-01 00:00:00", ("predictions",))
+    if any(again.values()):
+        raise RuntimeError(f"a second recovery found something to do: {again}")
+    latest = pointer.latest(spark, root)
+    rows = readers.read_table(spark, f"{root}/predictions", sc.PREDICTIONS).groupBy("run_id").agg(F.count(F.lit(1)).alias("n"))
+    state = sinks.run_state(spark.read.schema(sc.RUNS).parquet(f"{root}/runs"))
+    return state.join(rows, "run_id", "left").select(
+        "run_id", "status", F.coalesce("n", F.lit(0)).alias("n"), (F.col("run_id") == F.lit(latest[1]["run_id"])).cast("int").alias("latest"))

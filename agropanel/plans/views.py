@@ -368,3 +368,9 @@ def advisories(df: DataFrame) -> DataFrame:
     entries = K.advisories("drought_flag", "flood_flag", "pred_lower", "pred_upper", "pred_yield", "yield_gap_vs_state")
     keep = [c for c in df.columns if c not in ("level", "title")]
     return df.withColumn("_a", F.explode(entries)).select(*keep, "_a.level", "_a.title")
+
+
+def advisory_lines(df: DataFrame) -> DataFrame:
+    """One row per advisory entry, with the sentence that a reader sees."""
+    text = K.advisory_text("title", "district", "state", "pred_yield", "yield_gap_vs_state")
+    return advisories(df).withColumn("text", text)

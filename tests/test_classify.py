@@ -177,3 +177,13 @@ def test_sort_names_are_listed(spark):
 
 def test_season_notice():
     assert views.season_notice("2026-10-31") is None and "June" in views.season_notice("2026-11-01")
+
+
+def test_advisory_text(spark):
+    rows = spark.createDataFrame(
+        [("Below state average", 1500.0, -500.0), ("Below state average", 0.0, -500.0), ("No findings", 1.0, None), ("other", 1.0, 1.0)],
+        "title string, p double, gap double")
+    found = [r[0] for r in rows.select(K.advisory_text("title", F.lit("X"), F.lit("Y"), "p", "gap")).collect()]
+    assert found == [
+        "X is forecast 500 kg/ha (25%) below the average of Y.", "X is forecast 500 kg/ha (0%) below the average of Y.",
+        "X shows nothing unusual this season.", None]
