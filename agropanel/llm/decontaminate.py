@@ -131,17 +131,30 @@ def blocks_of(benchmark: DataFrame, key: str, text: str, window: int, block_byte
     return [*out, spark.sparkContext.broadcast(Block(some, window))]
 
 
+def names_beside(columns: list[str]) -> list[str]:
+    """_n_words, _spans and _items, with further underscores where a column has that name already."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in ("_n_words", "_spans", "_items"):
+        while name in taken:
+            name = f"_{name}"
+        taken.add(name)
+        out.append(name)
+    return out
+
+
 def hits(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id",
          item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """`docs` with _n_words, _spans and _items for every document.
 
     _spans are the hit word ranges (start, stop), merged and ascending: each is one or more longest verbatim matches that
-    touch. _items are the ids of the items with a window in the document, ascending.
+    touch. _items are the ids of the items with a window in the document, ascending. Columns of `docs` with such a name stay as
+    they are; the result's names then begin with further underscores (`names_beside`).
     """
+    added = names_beside(docs.columns)
     blocks = blocks_of(benchmark, item, item_text, window, block_bytes)
     spans = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    extra = "_n_words long, _spans array<struct<start:long,stop:long>>, _items array<long>"
+    extra = ", ".join(f"{n} {t}" for n, t in zip(added, ("long", "array<struct<start:long,stop:long>>", "array<long>"), strict=True))
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in batches(frames, column=text):
@@ -164,14 +177,15 @@ def hits(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
                         out.append([start, stop])
                 merged.append([{"start": a, "stop": b} for a, b in out])
             columns = [*frame.columns, pa.array(map(len, words), pa.int64()), pa.array(merged, spans), pa.array([sorted(x) for x in items], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=[*frame.schema.names, "_n_words", "_spans", "_items"])
+            yield pa.RecordBatch.from_arrays(columns, names=[*frame.schema.names, *added])
 
     return docs.mapInArrow(run, f"{ddl}, {extra}")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
     """`docs` without the documents in which any window of the benchmark occurs; no join is needed."""
-    return hits(docs, benchmark, **settings).where(F.size("_spans") == 0).select(*docs.columns)
+    found, spans = hits(docs, benchmark, **settings), names_beside(docs.columns)[1]
+    return found.where(F.size(spans) == 0).select(*docs.columns)
 
 
 def op7_benchmark_hits(spark, sf_dir):

@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from agropanel.llm import decontaminate, mixing, queries, warc
 from conftest import frame, prose
+from pyspark.sql import functions as F
 
 
 @pytest.fixture(scope="module")
@@ -44,6 +45,20 @@ def test_clean_keeps_columns_and_clean_rows(docs, rows, benchmark):
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == want
 
 
+def test_hits_beside_columns_of_the_same_names(docs, benchmark):
+    table, _ = benchmark
+    own = {"_items": F.lit("i"), "_Spans": F.lit("s"), "_n_words": F.lit(-1), "__n_words": F.lit(-2)}
+    named = docs.select("doc_id", "text").withColumns(own)
+    plain = {tuple(r) for r in decontaminate.hits(docs, table).selectExpr("doc_id", "_n_words", "to_json(_spans)", "to_json(_items)").collect()}
+    found = decontaminate.hits(named, table)
+    assert found.columns == [*named.columns, "___n_words", "__spans", "__items"]
+    assert {tuple(r) for r in found.selectExpr("doc_id", "___n_words", "to_json(__spans)", "to_json(__items)").collect()} == plain
+    kept = decontaminate.clean(named, table)
+    assert kept.columns == named.columns
+    assert sorted(r["doc_id"] or 0 for r in kept.collect()) == sorted(r["doc_id"] or 0 for r in decontaminate.clean(docs, table).collect())
+    assert {tuple(r)[2:] for r in kept.collect()} == {("i", "s", -1, -2)}
+
+
 def test_hits_of_empty_tables(docs, nothing, benchmark):
     table, _ = benchmark
     assert decontaminate.hits(nothing, table).count() == 0
