@@ -31,3 +31,23 @@ def test_groups(spark):
     found = {r["k"]: r for r in g.pearson_by(spark.createDataFrame(rows, "k string, x double, y double"), "x", "y", ["k"]).collect()}
     assert found["b"]["r"] is None and found["b"]["p"] is None and found["c"]["p"] == pytest.approx(0, abs=1e-12)
     assert found["a"]["p"] == pytest.approx(g.pearson_p(found["a"]["r"], 12))
+
+
+def test_few_pairs_take_few_steps(spark):
+    """The work per group grows with the root of its pairs up to a bound, and the values do not suffer from it."""
+    table = spark.createDataFrame([(0.3, n) for n in (3, 10, 100, 2000, 10**6)], "r double, n long")
+    found = [r["s"] for r in table.select(g.fraction_steps((F.col("n") - 2) / 2).alias("s")).collect()]
+    assert found[:2] == [18, 22] and found == sorted(found) and found[-1] == g.FRACTION_STEPS
+    for i in range(1, 400):
+        assert g.pearson_p(i / 400, 10) == pytest.approx(_even(i / 400, 10), abs=1e-12)
+    rows = spark.createDataFrame([(i / 400, 10) for i in range(1, 400)], "r double, n long").withColumn("p", g.pearson_p_column(F.col("r"), F.col("n")))
+    assert all(row["p"] == pytest.approx(_even(row["r"], 10), rel=1e-9, abs=1e-13) for row in rows.collect())
+
+
+def _even(r, n):
+    """Closed form of the p-value for an even number of degrees of freedom."""
+    c, term, total = 1 - r * r, 1.0, 1.0
+    for k in range(1, (n - 2) // 2):
+        term *= (2 * k - 1) / (2 * k) * c
+        total += term
+    return 1 - r * total
