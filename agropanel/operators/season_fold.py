@@ -2,7 +2,7 @@
 
 A season block is one row per site and crop year that carries its days, at most 153 of them. A scenario is a fold over those
 days which adjusts each one on the way, so the daily rows are shuffled once, whatever the number of scenarios, and the
-features of a scenario never leave the row. What lies outside the season enters the annual figures as three numbers.
+features of a scenario never leave the row. Tasks fold their blocks in Arrow batches, some hundred blocks at a time. What lies outside the season enters the annual figures as three numbers.
 
 The adjustments act in a fixed order: rain is scaled, a dry spell empties days, all days get warmer, a heatwave warms some of
 them further, and the yearly inputs are shifted. Lags, vegetation and humidity stay as they are.
@@ -16,6 +16,9 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import asdict, dataclass, fields, replace
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,61 +95,78 @@ def season_blocks(daily: DataFrame, season: str, keys: Sequence[str] = SITE) ->
     return wide.where(F.size("days") > 0)
 
 
-def _adjusted(p: Callable[[str], Column]) -> Column:
-    """The block's days under the parameters `p`, each value computed once."""
-
-    def one(day: Column) -> Column:
-        at = day["day"]
-
-        def hit(name: str) -> Column:
-            return (at >= p(f"{name}_start")) & (at < p(f"{name}_start") + p(f"{name}_days"))
-
-        warm = F.when(hit("heatwave"), p("heatwave_delta_c")).otherwise(F.lit(0.0))
-        rain = day["rainfall_mm"] * (1 + p("rain_scale_pct") / 100)
-        return F.struct(
-            F.when(hit("dry_spell"), F.lit(0.0)).otherwise(rain).alias("rain"), (day["temp_avg_c"] + p("temp_shift_c") + warm).alias("tavg"),
-            (day["temp_max_c"] + p("temp_shift_c") + warm).alias("tmax"), (day["temp_min_c"] + p("temp_shift_c")).alias("tmin"),
-            day["solar_radiation"].alias("solar"),
-        )
-
-    return F.transform("days", one)
-
-
-_COUNTS = ("rain_n", "tavg_n", "tmax_n", "heat", "frost", "run", "longest")
+_COUNTS = ("rain_n", "tavg_n", "tmax_n", "heat", "frost", "longest")
 _SUMS = ("rain", "mean", "spread", "tavg", "tmax", "gdd", "et0")
+_TOTALS = f"array<struct<{','.join(f'{c}:bigint' for c in _COUNTS)},{','.join(f'{c}:double' for c in _SUMS)}>>"
+BLOCKS = 256  # blocks whose days are held in arrays at once
+
+
+def _columns(days: pa.Array) -> tuple[np.ndarray, dict[str, np.ndarray], dict[str, np.ndarray]]:
+    """Number of days of each block, and the days of all of them as values and as whether they are known, by name."""
+    flat = days.flatten()
+    kinds = {c: pc.struct_field(flat, c).cast(pa.float64()) for c in ("day", *_DAY)}
+    values = {c: x.fill_null(0.0).to_numpy(zero_copy_only=False) for c, x in kinds.items()}
+    return pc.fill_null(pc.list_value_length(days), 0).to_numpy(), values, {c: x.is_valid().to_numpy(zero_copy_only=False) for c, x in kinds.items()}
+
+
+def _summed(sizes: np.ndarray, value: dict[str, np.ndarray], known: dict[str, np.ndarray], a: Adjustment) -> dict[str, np.ndarray]:
+    """Totals of each block's days under one scenario."""
+    filled = sizes > 0
+    starts = np.cumsum(sizes) - sizes
+    first, at = np.repeat(starts, sizes), starts[filled]
+
+    def reduced(how: np.ufunc, x: np.ndarray, kind: type) -> np.ndarray:
+        out = np.zeros(len(sizes), kind)
+        if len(at):
+            out[filled] = how.reduceat(x.astype(kind), at)
+        return out
+
+    def count(x: np.ndarray) -> np.ndarray:
+        return reduced(np.add, x, np.int64)
+
+    def total(x: np.ndarray, where: np.ndarray) -> np.ndarray:
+        return reduced(np.add, np.where(where, x, 0.0), float)
+
+    def hit(name: str) -> np.ndarray:
+        start = getattr(a, f"{name}_start")
+        return (value["day"] >= start) & (value["day"] < start + getattr(a, f"{name}_days"))
+
+    empty, warm = hit("dry_spell"), np.where(hit("heatwave"), a.heatwave_delta_c, 0.0)
+    rain = np.where(empty, 0.0, value["rainfall_mm"] * (1 + a.rain_scale_pct / 100))
+    wet, mid, high, low = known["rainfall_mm"] | empty, known["temp_avg_c"], known["temp_max_c"], known["temp_min_c"]
+    tavg, tmax = value["temp_avg_c"] + a.temp_shift_c + warm, value["temp_max_c"] + a.temp_shift_c + warm
+    tmin = value["temp_min_c"] + a.temp_shift_c
+    n, rain_sum = count(wet), total(rain, wet)
+    mean = rain_sum / np.maximum(n, 1)
+    place = np.arange(len(rain))
+    # the last day that ends a dry run, or the day before the block
+    ended = np.maximum.accumulate(np.maximum(np.where(wet & (rain < DRY_DAY_MM), -1, place), first - 1)) if len(rain) else place
+    gap = tmax - tmin
+    et0 = value["solar_radiation"] * (tavg + ET0_OFFSET_C) * np.sqrt(np.where(gap < 0, 0.0, gap)) * ET0_FACTOR
+    return {
+        "rain_n": n, "tavg_n": count(mid), "tmax_n": count(high), "heat": count(high & ((tmax > HEAT_DAY_C) | np.isnan(tmax))),
+        "frost": count(low & (tmin < FROST_DAY_C)), "longest": reduced(np.maximum, place - ended, np.int64), "rain": rain_sum, "mean": mean,
+        "spread": total((rain - np.repeat(mean, sizes)) ** 2, wet), "tavg": total(tavg, mid), "tmax": total(tmax, high),
+        "gdd": total(np.maximum(tavg - GDD_BASE_C, 0.0), mid), "et0": total(et0, known["solar_radiation"] & mid & high & low),
+    }
 
 
-def _folded(p: Callable[[str], Column]) -> Column:
-    """Struct of the totals of a block's days under the parameters `p`, in one fold."""
-    zero = F.struct(*[F.lit(0).cast("long").alias(c) for c in _COUNTS], *[F.lit(0.0).alias(c) for c in _SUMS])
-
-    def step(acc: Column, day: Column) -> Column:
-        rain, tavg, tmax, tmin = (day[c] for c in ("rain", "tavg", "tmax", "tmin"))
-
-        def one(condition: Column) -> Column:
-            return F.when(condition, F.lit(1)).otherwise(F.lit(0)).cast("long")
+def _totals(cases: Sequence[Adjustment]) -> Column:
+    """Array with the totals of a block's days for each of `cases`: the days go to Python once, whatever their number."""
+    cases = list(cases)
 
-        def known(value: Column) -> Column:
-            return F.coalesce(value, F.lit(0.0))
+    def folded(days: pa.Array) -> pa.Array:
+        sizes, value, known = _columns(days)
+        found = [_summed(sizes, value, known, a) for a in cases]
+        fields = {c: np.stack([f[c] for f in found], axis=1).ravel() if found else np.zeros(0, np.int64 if c in _COUNTS else float) for c in (*_COUNTS, *_SUMS)}
+        offsets = np.arange(len(days) + 1, dtype=np.int32) * len(cases)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(x) for x in fields.values()], list(fields)))
 
-        n = acc["rain_n"] + one(rain.isNotNull())
-        # the mean and the squares about it move with each known value, which loses no digits
-        off = rain - acc["mean"]
-        mean = acc["mean"] + known(off / n)
-        run = F.when(rain < DRY_DAY_MM, acc["run"] + 1).otherwise(F.lit(0).cast("long"))
-        gap = tmax - tmin
-        et0 = day["solar"] * (tavg + ET0_OFFSET_C) * F.sqrt(F.when(gap < 0, F.lit(0.0)).otherwise(gap)) * ET0_FACTOR
-        return F.struct(
-            n.alias("rain_n"), (acc["tavg_n"] + one(tavg.isNotNull())).alias("tavg_n"), (acc["tmax_n"] + one(tmax.isNotNull())).alias("tmax_n"),
-            (acc["heat"] + one(tmax > HEAT_DAY_C)).alias("heat"), (acc["frost"] + one(tmin < FROST_DAY_C)).alias("frost"),
-            run.alias("run"), F.greatest(acc["longest"], run).alias("longest"),
-            (acc["rain"] + known(rain)).alias("rain"), mean.alias("mean"), (acc["spread"] + known(off * (rain - mean))).alias("spread"),
-            (acc["tavg"] + known(tavg)).alias("tavg"), (acc["tmax"] + known(tmax)).alias("tmax"),
-            (acc["gdd"] + known(F.greatest(tavg - GDD_BASE_C, F.when(tavg.isNotNull(), F.lit(0.0))))).alias("gdd"),
-            (acc["et0"] + known(et0)).alias("et0"),
-        )
+    @F.arrow_udf(_TOTALS)
+    def run(days: pa.Array) -> pa.Array:
+        return pa.concat_arrays([folded(days.slice(i, BLOCKS)) for i in range(0, max(1, len(days)), BLOCKS)])
 
-    return F.aggregate(_adjusted(p), zero, step)
+    return F.when(F.col("days").isNotNull(), run("days"))
 
 
 def feature_names(season: str) -> list[str]:
@@ -156,8 +176,8 @@ def feature_names(season: str) -> list[str]:
     ]
 
 
-def _features(blocks: DataFrame, season: str, p: Callable[[str], Column]) -> DataFrame:
-    """`blocks` with the season's features under the parameters `p`."""
+def _features(blocks: DataFrame, season: str) -> DataFrame:
+    """`blocks` with the season's features from their totals `_t`."""
     t = F.col("_t")
     n = t["rain_n"]
     deviation = F.when(n > 1, F.sqrt(t["spread"] / F.when(n > 1, n - 1)))
@@ -166,12 +186,12 @@ def _features(blocks: DataFrame, season: str, p: Callable[[str], Column]) -> Dat
         F.when((n > 0) & (t["mean"] > 0), deviation / t["mean"]), t["rain"] - t["et0"], F.col("_rain_rest") + t["rain"],
         F.col("_heat_rest") + t["heat"], F.col("_frost_rest") + t["frost"],
     )
-    return blocks.withColumn("_t", _folded(p)).withColumns(dict(zip(feature_names(season), values, strict=True))).drop("_t")
+    return blocks.withColumns(dict(zip(feature_names(season), values, strict=True))).drop("_t")
 
 
 def baseline(blocks: DataFrame, season: str) -> DataFrame:
     """Blocks with their features as observed."""
-    return _features(blocks, season, lambda name: F.lit(float(getattr(Adjustment(), name))))
+    return _features(blocks.withColumn("_t", _totals([Adjustment()])[0]), season)
 
 
 def scenarios(blocks: DataFrame, season: str, cases: Sequence[Adjustment]) -> DataFrame:
@@ -182,8 +202,9 @@ def scenarios(blocks: DataFrame, season: str, cases: Sequence[Adjustment]) -> Da
     numbered = [F.struct(F.lit(i).alias("scenario"), *[F.lit(float(v)).alias(c) for c, v in asdict(a).items()]) for i, a in enumerate(cases)]
     kind = f"array<struct<scenario:int,{','.join(f'{c}:double' for c in PARAMETERS)}>>"
     kept = [c for c in blocks.columns if c not in (*PARAMETERS, "scenario")]
-    each = blocks.withColumn("_s", F.explode(F.array(*numbered).cast(kind))).select(*kept, "_s.*")
-    out = _features(each, season, F.col)
+    folded = blocks.withColumn("_all", _totals(cases))
+    each = folded.select(*kept, F.explode(F.arrays_zip(F.array(*numbered).cast(kind).alias("s"), F.col("_all").alias("t"))).alias("_e"))
+    out = _features(each.select(*kept, "_e.s.*", F.col("_e.t").alias("_t")), season)
     shifts = {
         "irrigation_pct": clip(F.col("irrigation_pct") + F.col("irrigation_pct_delta"), 0, 100) if "irrigation_pct" in kept else None,
         **{c: F.col(c) * (1 + F.col("nitrogen_pct_delta") / 100) if c in kept else None for c in ("nitrogen_per_ha", "fertilizer_per_ha")},

@@ -94,3 +94,27 @@ def test_equal_swings_rank_by_name(spark):
     cases = [("b", "low", None), ("b", "high", None), ("a", "low", None), ("a", "high", None), ("c", "low", None), ("c", "high", None)]
     rows = spark.createDataFrame([("x", i, float(d)) for i, d in enumerate([-1, 1, 1, -1, 0, 5])], "k string, scenario int, delta double")
     assert [(r["operator"], r["rank"]) for r in sf.ranked(rows, cases, ["k"]).orderBy("rank").collect()] == [("c", 1), ("a", 2), ("b", 3)]
+
+
+def test_blocks_are_folded_many_at_once(spark):
+    """More blocks than one array holds, empty and null ones between: each block's totals are its own, and the days are sent once."""
+    kind = "k int, days array<struct<day:int,rainfall_mm:double,temp_max_c:double,temp_min_c:double,temp_avg_c:double,solar_radiation:double>>"
+    rows = []
+    for k in range(2 * sf.BLOCKS + 7):
+        days = [(d, None if (k + d) % 7 == 3 else float((k * d) % 4), 36.0, 1.0, None if d % 3 else 20.0, 10.0) for d in range(k % 5)]
+        rows.append((k, None if k % 11 == 10 else days))
+    table = spark.createDataFrame(rows, kind).coalesce(1)
+    found = table.withColumn("t", sf._totals([sf.Adjustment(), sf.Adjustment(rain_scale_pct=100.0)]))
+    for r in found.collect():
+        if r["days"] is None:
+            assert r["t"] is None
+            continue
+        for t, factor in zip(r["t"], (1, 2), strict=True):
+            rain = [None if d["rainfall_mm"] is None else d["rainfall_mm"] * factor for d in r["days"]]
+            known = [x for x in rain if x is not None]
+            runs, now = [0], 0
+            for x in rain:
+                now = now + 1 if x is not None and x < 1 else 0
+                runs.append(now)
+            assert (t["rain_n"], t["rain"], t["longest"], t["heat"], t["frost"]) == (len(known), sum(known), max(runs), len(rain), len(rain))
+            assert t["tavg_n"] == len(rain[::3]) and t["gdd"] == 10.0 * len(rain[::3])
