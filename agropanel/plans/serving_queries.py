@@ -675,13 +675,15 @@ def scenario_range_warnings(spark, sf_dir):
 def payload_explode(spark, sf_dir):
     """Documents of one site and year are written as JSON text and read back as daily rows."""
     days = fx.daily(spark, sf_dir)
-    key = F.date_format("date", "yyyyMMdd")
-    # at most 366 entries per document
-    maps = [
-        F.map_from_entries(F.collect_list(F.when(F.col(c).isNotNull(), F.struct(key, F.col(c))))).alias(code)
-        for code, c in readers.PAYLOAD_VARIABLES.items()
-    ]
-    documents = days.groupBy("state", "district", "lat", "lon", F.year("date").alias("year")).agg(*maps)
+    days = days.withColumn("day", F.date_format("date", "yyyyMMdd"))
+    # at most 366 entries per document; one list holds all measures of a day, so that a row enters one buffer only
+    listed = F.collect_list(F.struct("day", *readers.PAYLOAD_VARIABLES.values()))
+    documents = days.groupBy("state", "district", "lat", "lon", F.year("date").alias("year")).agg(listed.alias("days"))
+
+    def known(c: str):
+        return F.transform(F.filter("days", lambda d: d[c].isNotNull()), lambda d: F.struct(d["day"], d[c]))
+
+    documents = documents.withColumns({code: F.map_from_entries(known(c)) for code, c in readers.PAYLOAD_VARIABLES.items()})
     names = list(readers.PAYLOAD_VARIABLES)
     parameter = F.create_map(*[x for code in names for x in (F.lit(code), F.col(code))])
     body = F.to_json(F.struct(F.struct(parameter.alias("parameter")).alias("properties")))

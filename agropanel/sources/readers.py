@@ -63,12 +63,17 @@ def explode_payload(documents: DataFrame) -> DataFrame:
     """
     parameter = F.col("properties.parameter")
     dates = F.array_distinct(F.flatten(F.transform(F.map_values(parameter), lambda m: F.map_keys(m))))
-    rows = documents.select("state", "district", "lat", "lon", parameter.alias("p"), F.explode(dates).alias("day"))
-    values = [
-        F.try_element_at(F.try_element_at(F.col("p"), F.lit(code)), F.col("day")).alias(name)
-        for code, name in PAYLOAD_VARIABLES.items()
-    ]
-    rows = rows.select("state", "district", "lat", "lon", F.try_to_date("day", "yyyyMMdd").alias("date"), *values)
+    held = documents.select("state", "district", "lat", "lon", parameter.alias("p"), dates.alias("dates"))
+    found = F.map_from_arrays("dates", F.array_repeat(F.lit(0), F.size("dates")))
+    for code in PAYLOAD_VARIABLES:
+        # the maps are matched by hash: a lookup of each date would walk through them
+        values = F.coalesce(F.try_element_at("p", F.lit(code)), F.create_map().cast("map<string,double>"))
+        found = F.map_zip_with(found, values, lambda _, before, x: F.struct(before.alias("before"), x.alias("x")))
+    rows = held.select("state", "district", "lat", "lon", F.explode(found).alias("day", "v"))
+    values, at = {}, F.col("v")
+    for name in reversed(PAYLOAD_VARIABLES.values()):
+        values[name], at = at["x"], at["before"]
+    rows = rows.select("state", "district", "lat", "lon", F.try_to_date("day", "yyyyMMdd").alias("date"), *[x.alias(c) for c, x in values.items()])
     return rows.where(F.col("date").isNotNull()).select(*sc.DAILY.fieldNames())
 
 

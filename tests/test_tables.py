@@ -349,3 +349,25 @@ def test_refresh_end_to_end(spark, tmp_path):
     if status == "ok":
         assert views.latest_run(spark.read.schema(sc.RUNS).parquet(f"{tmp_path}/runs")).count() == 1
     assert manifest.where("status = 'failed'").count() == 0
+
+
+def test_payload_dates_are_matched_without_walking(spark):
+    """A document's work grows with its dates: 40,000 of them, in six variables and an unknown one, with gaps and a variable left out."""
+    import datetime as dt
+    import time
+
+    days = [(dt.date(1900, 1, 1) + dt.timedelta(i)).strftime("%Y%m%d") for i in range(40_000)]
+    codes = list(readers.PAYLOAD_VARIABLES)
+    parameter = {code: {d: float(i) for i, d in enumerate(days) if i % (k + 1) == 0} for k, code in enumerate(codes[:-1])}
+    parameter["OTHER"] = {"20300101": 1.0, "no date": 2.0}
+    schema = "state string, district string, lat double, lon double, properties struct<parameter: map<string, map<string, double>>>"
+    documents = spark.createDataFrame([("S", "a", 1.0, 2.0, {"parameter": parameter}), ("S", "b", 1.0, 2.0, None)], schema).cache()
+    assert documents.count() == 2
+    begun = time.monotonic()
+    rows = {r["date"].strftime("%Y%m%d"): r for r in readers.explode_payload(documents).collect()}
+    assert time.monotonic() - begun < 15
+    assert set(rows) == {*days, "20300101"}
+    names = list(readers.PAYLOAD_VARIABLES.values())
+    for i, d in enumerate(days):
+        assert [rows[d][c] for c in names] == [float(i) if i % (k + 1) == 0 else None for k in range(5)] + [None]
+    assert [rows["20300101"][c] for c in names] == [None] * 6
