@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from agropanel.llm import decontaminate, mixing, near_copies, private_data, toxicity
-from agropanel.llm.common import table, written
+from agropanel.llm import decontaminate, mixing, near_copies, private_data, simhash, toxicity
+from agropanel.llm.common import components, table, written
 from agropanel.llm.training import labelled_sample
 
 
@@ -15,8 +16,15 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (four fifths of all runs of five words in common) the smallest id stays."""
-    return near_copies.keep_one(docs)
+    """Of each group of copies the smallest id stays; rows with a null id stay too.
+
+    Two documents are copies if their SimHash fingerprints differ in at most two bits, or if they have four fifths of all runs
+    of five words in common; links of both kinds make one group.
+    """
+    found = simhash.groups(docs).select("doc_id", "component_id").union(near_copies.groups(docs))
+    roots = components(found.select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")))
+    gone = roots.where("node != root").select(F.col("node").alias("_gone"))
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -103,3 +103,13 @@ def test_a_very_long_text(spark):
     near[500] = "other"
     rows = [(1, " ".join(words), "en", "a", 0), (2, " ".join(near), "en", "a", 0), (3, " ".join(words[:30_000]), "en", "a", 0)]
     assert {r["doc_id"]: r["component_id"] for r in near_copies.groups(frame(spark, rows)).collect()} == {1: 1, 2: 1, 3: 3}
+
+
+def test_the_stage_links_by_fingerprint_too(spark):
+    """Two texts that repeat one passage have one fingerprint, though most of their distinct runs of words differ."""
+    passage = " ".join(f"w{i}" for i in range(101))
+    one, two = (f"{' '.join([passage] * 60)} {' '.join(f'{x}{i}' for i in range(60))}" for x in "xy")
+    rows = [(1, one), (2, two), (3, " ".join(f"z{i}" for i in range(50))), (None, one)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["component_id"] for r in near_copies.groups(table.where("doc_id > 0")).collect()} == {1, 2, 3}
+    assert sorted((r["doc_id"] or 0) for r in corpus_pipeline.without_copies(spark, table, "").collect()) == [0, 1, 3]
