@@ -112,6 +112,24 @@ def test_weekly_stream_over_restarts(spark, tmp_path):
     assert closed() == {0: (7, 7.0), 7: (7, 7.0), 14: (7, 7.0), 21: (7, 14.0)}
 
 
+def test_weekly_stream_keeps_one_state_row_for_each_site(spark, tmp_path):
+    """The state does not grow with the days; a day known first as null stays so, null sites are a site, null days are dropped."""
+    landed, table, checkpoint = (str(tmp_path / n) for n in ("landed", "weeks", "stream"))
+    rows = [("S", site, 1.0, 2.0, dt.date(2001, 1, 4) + dt.timedelta(d), None if d < 7 else 1.0, *[None] * 5) for site in ("a", "b", None) for d in range(70)]
+    rows.append(("S", "a", 1.0, 2.0, None, 9.0, *[None] * 5))
+    spark.createDataFrame(rows, sc.DAILY).coalesce(1).write.parquet(landed)
+    weekly.run_once(spark, landed, table, checkpoint)
+    assert spark.read.format("statestore").load(checkpoint).count() == 3
+    assert {(r["district"], r["days"], r["rainfall_mm"]) for r in weekly.closed_weeks(spark, table).collect()} == {
+        (site, *found) for site in ("a", "b", None) for found in ((0, None), (7, 7.0))}
+    assert weekly.closed_weeks(spark, table).count() == 3 * 8
+    # days of the open weeks come again, one site for the first time
+    _land(spark, landed, [(d, 5.0) for d in range(61, 80)])
+    weekly.run_once(spark, landed, table, checkpoint)
+    assert {(r["week_start"], r["days"], r["rainfall_mm"]) for r in weekly.closed_weeks(spark, table).where("district = 'a'").collect()} >= {
+        (dt.date(2001, 1, 4) + dt.timedelta(56), 7, 7.0)}
+
+
 def test_a_replayed_batch_replaces_its_rows(spark, tmp_path):
     table = str(tmp_path / "weeks")
     batch = spark.createDataFrame([("S", "a", dt.date(2001, 1, 4), 7, 1.0)], "state string, district string, week_start date, days long, rainfall_mm double")
