@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from agropanel.operators import metrics as m
 from agropanel.operators.panel import TARGET, impute, median_map
-from agropanel.operators.ranks import wide_quantiles
+from agropanel.operators.ranks import narrow_quantiles
 
 SEED = 42
 # Interval quantiles, ridge strength and the tree search grid (MLlib names).
@@ -156,7 +156,7 @@ def conformal_band(
 ) -> DataFrame:
     """Band from exact residual quantiles of held-out rows, optionally per group; a group without any gets none."""
     residual = held_out.select(*by, (F.col(TARGET) - F.col("pred")).alias("_e"))
-    offsets = wide_quantiles(residual, "_e", {"_lo": lower_q, "_hi": upper_q}, list(by))
+    offsets = narrow_quantiles(residual, "_e", {"_lo": lower_q, "_hi": upper_q}, list(by))
     if by:
         joined = scored.join(offsets, list(by), "left")
     else:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from agropanel.functions import classify as K
 from agropanel.functions import scalars as f
-from agropanel.operators.ranks import dense_numbers, null_safe_join, wide_quantiles
+from agropanel.operators.ranks import dense_numbers, narrow_quantiles, null_safe_join
 
 # Encodings and the feature contract, in order; the optional features complete it to 40 names.
 STATE_CODES = {"Punjab": 0, "Haryana": 1, "Uttar Pradesh": 2}
@@ -242,7 +242,9 @@ def gap_vs_state(panel: DataFrame, keys: Sequence[str] = ("state", "district", "
     """Last yield minus the state mean of the row before."""
     order = [c for c in ("year", "state", "season") if c in panel.columns and c not in keys]
     w = Window.partitionBy(*keys).orderBy(*order)
-    df = group_mean(panel, ["state", "crop", "year"], TARGET, "_state_mean")
+    # one row per state, crop and year on the right
+    means = F.broadcast(panel.groupBy("state", "crop", "year").agg(F.avg(TARGET).alias("_state_mean")))
+    df = null_safe_join(panel, means, ["state", "crop", "year"])
     gap = F.lag(TARGET).over(w) - F.lag("_state_mean").over(w)
     return df.withColumn("yield_gap_vs_state", gap).drop("_state_mean")
 
@@ -263,6 +265,25 @@ def lag_flags(
     return yearly.select(*keys, "year", *lagged)
 
 
+def with_lag_flags(
+    panel: DataFrame,
+    columns: Sequence[str] = ("flood_flag", "drought_flag", "rainfall_anomaly_index"),
+    keys: Sequence[str] = ("state", "district"),
+) -> DataFrame:
+    """`panel` with the columns of `lag_flags` on its rows, by windows alone: rows that lie together by `keys` do not move.
+
+    A row without a site or year has no flags, as a join by them would leave it.
+    """
+    names = {"rainfall_anomaly_index": "rai_lag1"}
+    earlier = Window.partitionBy(*keys).orderBy("year").rangeBetween(Window.unboundedPreceding, -1)
+    known = F.lit(True)
+    for c in (*keys, "year"):
+        known = known & F.col(c).isNotNull()
+    # the latest earlier year decides, and in it the largest flag
+    before = {c: F.max(F.struct("year", c)).over(earlier)[c] for c in columns}
+    return panel.withColumns({names.get(c, f"{c}_lag1"): F.when(known, F.coalesce(x, F.lit(0))) for c, x in before.items()})
+
+
 def encodings(
     panel: DataFrame, states: Mapping[str, int] = STATE_CODES, main_crop: str = "Rice", base_year: int = BASE_YEAR
 ) -> DataFrame:
@@ -332,7 +353,7 @@ def with_split(panel: DataFrame, train_end: int = 2015, valid_end: int = 2017) -
 def train_medians(train: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Exact medians (feature, median) of the training rows."""
     long = train.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], list(columns), "feature", "v")
-    return wide_quantiles(long, "v", {"median": 0.5}, ["feature"])
+    return narrow_quantiles(long, "v", {"median": 0.5}, ["feature"])
 
 
 def impute(df: DataFrame, medians: Mapping[str, float], indicators: bool = False) -> DataFrame:

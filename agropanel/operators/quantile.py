@@ -21,7 +21,7 @@ from agropanel.operators import metrics as m
 from agropanel.operators.models import LOWER_Q, UPPER_Q
 from agropanel.operators.panel import TARGET, impute, median_map
 from agropanel.operators.partials import summed, symmetric, upper
-from agropanel.operators.ranks import wide_quantiles
+from agropanel.operators.ranks import narrow_quantiles
 from agropanel.sources.readers import exists
 
 STEPS = 60
@@ -122,7 +122,7 @@ def fit(
             break
     model = QuantileModel(tuple(features), medians, mean, scale, {q: np.append(w[:-1] * unit, 0.0) for q, w in weights.items()}, done)
     left = filled.select(*[(y - model.predicted(q, True)).alias(f"r{i}") for i, q in enumerate(quantiles)])
-    constants = {q: wide_quantiles(left, f"r{i}", {"c": float(q)}).first()["c"] for i, q in enumerate(quantiles)}
+    constants = {q: narrow_quantiles(left, f"r{i}", {"c": float(q)}).first()["c"] for i, q in enumerate(quantiles)}
     return QuantileModel(model.features, medians, mean, scale, {q: np.append(w[:-1], constants[q]) for q, w in model.weights.items()}, done)
 
 
@@ -145,7 +145,7 @@ def corrected(banded: DataFrame, held_out: DataFrame, by: Sequence[str] = (), co
     held-out rows keeps its band. Null group keys match each other.
     """
     outside = held_out.select(*by, F.greatest(F.col("lower") - F.col(target), F.col(target) - F.col("upper")).alias("_e"))
-    offsets = wide_quantiles(outside, "_e", {"_shift": coverage}, list(by))
+    offsets = narrow_quantiles(outside, "_e", {"_shift": coverage}, list(by))
     if by:
         renamed = offsets.select(*[F.col(c).alias(f"_g_{c}") for c in by], "_shift")
         same = F.lit(True)

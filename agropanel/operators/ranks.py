@@ -7,6 +7,7 @@ per range give each range its offset; only inside a range are rows ordered by a
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -14,6 +15,9 @@ from pyspark.sql import functions as F
 
 from agropanel.lineage import cut
 
+SKETCH = 1000  # accuracy of the sketch that brackets a quantile; it changes the work, not the result
+
+
 def _ranged(keys: DataFrame, columns: Sequence[str], pieces: int | None) -> DataFrame:
     """Keys with the number of their range; greater keys never have a smaller number.
 
@@ -116,6 +120,40 @@ def wide_quantiles(
     return null_safe_join(out, counted.groupBy(*by).agg(*extra), by) if extra else out
 
 
+def narrow_quantiles(df: DataFrame, value: str, named: dict[str, float], by: Sequence[str] = (), pieces: int | None = None) -> DataFrame:
+    """`wide_quantiles` of doubles in few, large groups: exact, without moving more than a small share of the values.
+
+    A sketch gives each wanted quantile a bracket. Values outside of it keep their place as an infinity, so the rows of a task
+    shrink to the values inside and two more before they move. A bracket that misses its quantile would show as a result that is
+    not finite; then all values are counted, as they are if they hold such values themselves.
+    """
+    by, wide = list(by), 2 / SKETCH
+    rows = df.select(*by, F.col(value).cast("double").alias(value)).where(F.col(value).isNotNull())
+    sketch = F.percentile_approx(value, [min(max(p + d, 0.0), 1.0) for p in named.values() for d in (-wide, wide)], SKETCH)
+    # one row per group on the right
+    brackets = F.broadcast(rows.groupBy(*by).agg(sketch.alias("_b"), F.count(F.lit(1)).alias("_c")))
+    beside = null_safe_join(rows, brackets, by) if by else rows.crossJoin(brackets)
+
+    def end(place: int, inside: bool, open_: float):
+        # a small group needs no bracket, and a bracket of few rows could miss the two that a quantile lies between
+        return F.when(F.lit(inside) & (F.col("_c") >= 10 * SKETCH), F.col("_b")[place]).otherwise(F.lit(open_))
+
+    ends = [
+        F.struct(F.lit(i).alias("i"), end(2 * i, p > wide, -math.inf).alias("low"), end(2 * i + 1, p < 1 - wide, math.inf).alias("high"))
+        for i, p in enumerate(named.values())]
+    each = beside.select(*by, value, F.explode(F.array(*ends)).alias("_end"))
+    kept = F.when(F.col(value) < F.col("_end.low"), -math.inf).when(F.col(value) > F.col("_end.high"), math.inf).otherwise(F.col(value))
+    # the probability is part of the group: its values outside of the bracket are infinities for it alone
+    counted, spans = _cumulative(each.select(*by, F.col("_end.i").alias("_i"), kept.alias(value)), [*by, "_i"], value, pieces)
+    long = _pick(counted, spans, value, list(named.values()), [*by, "_i"])
+    own = [F.max(F.when((F.col("_i") == i) & (F.col("p") == float(p)), F.col("quantile"))).alias(name) for i, (name, p) in enumerate(named.items())]
+    out = cut(long.groupBy(*by).agg(*own))
+    finite = F.lit(True)
+    for name in named:
+        finite = finite & F.coalesce(F.abs(F.col(name)) < math.inf, F.lit(False))
+    return out if out.where(~finite).isEmpty() else wide_quantiles(df, value, named, by, pieces)
+
+
 def dense_numbers(keys: DataFrame, columns: Sequence[str], name: str = "rank", pieces: int | None = None) -> DataFrame:
     """Consecutive numbers from 1 in key order over distinct keys, without a single-partition sort."""
     columns = list(columns)

@@ -28,15 +28,24 @@ ABLATION = {"baseline": FEATURES, "with lag": [*FEATURES, *LAG_EXTRA]}
 SMALL = {"maxIter": 8, "maxDepth": 3, "stepSize": 0.2}
 
 
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    """`df` as a table in the shared folder, read back: what reads it twice does not make it twice."""
+    path = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def model_panel(spark, sf_dir) -> DataFrame:
-    """Customer panel with all engineered features; order counts far from the usual raise the flags."""
-    joined = fx.yield_panel(spark, sf_dir).join(fx.covariates(spark, sf_dir), ["state", "district", "year"], "left")
+    """Customer panel with all engineered features; order counts far from the usual raise the flags.
+
+    The rows move once more, by site; all lags are windows inside a site and find them in place.
+    """
+    joined = _stored(fx.yield_panel(spark, sf_dir).join(fx.covariates(spark, sf_dir), ["state", "district", "year"], "left"), "panel")
+    joined = joined.repartition("state", "district")
     ready = panel.input_ratios(panel.encodings(panel.gap_vs_state(panel.yield_lags(joined)), {}, "BUILDING"))
     flags = {"drought_flag": (F.col("area_ha") < 1.5).cast("int"), "flood_flag": (F.col("area_ha") > 2.5).cast("int"),
              "rainfall_anomaly_index": F.col("area_ha")}
-    flagged = ready.withColumns(flags)
-    lagged = panel.lag_flags(flagged)
-    return flagged.dropna(subset=["lag_yield_1"]).join(lagged, ["state", "district", "year"], "left")
+    return panel.with_lag_flags(ready.withColumns(flags)).dropna(subset=["lag_yield_1"])
 
 
 def _split(spark, sf_dir):

@@ -228,3 +228,15 @@ def test_live_rows_of_both_seasons(spark):
     kharif = spark.createDataFrame([("s", "d", 9.0, None)], "state string, district string, cur_rain_kharif double, cur_drought int")
     row, = refresh.live_kharif_rows(history, kharif).collect()
     assert row.crop == "Rice" and row.nasa_rainfall_kharif == 9.0 and row.drought_flag == 1.0
+
+
+def test_lag_flags_on_rows_are_those_of_the_join(spark):
+    """Several crops, gaps between years, unknown flags, rows without a site or year; the lags need no exchange of their own."""
+    rows = [("S", "a", c, y, f, g) for y, f, g in ((1999, 1, 1.5), (2000, None, 2.5), (2003, 0, None), (None, 1, 7.0)) for c in ("R", "W")]
+    rows += [("S", "a", "R", 1999, 0, 9.0), ("S", None, "R", 1999, 1, 1.0), ("S", None, "R", 2000, 1, 1.0), ("T", "b", "R", 2001, 1, 1.0)]
+    df = spark.createDataFrame(rows, "state string, district string, crop string, year int, flood_flag int, rainfall_anomaly_index double")
+    columns, keys = ["flood_flag", "rainfall_anomaly_index"], ["state", "district", "year"]
+    wanted = df.join(panel.lag_flags(df, columns), keys, "left").select(*df.columns, "flood_flag_lag1", "rai_lag1")
+    found = panel.with_lag_flags(df.repartition("state", "district"), columns)
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(map(tuple, wanted.collect()), key=str)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1

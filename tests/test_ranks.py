@@ -93,3 +93,30 @@ def test_histogram_against_numpy(spark):
 def test_histogram_of_equal_values(spark):
     df = spark.createDataFrame([(2.0,)] * 4, "v double")
     assert [(r.bin, r.n) for r in metrics.histogram(df, "v").collect()] == [(1, 4)]
+
+
+def test_narrow_quantiles_are_exact_and_move_few_values(spark, monkeypatch):
+    """Groups of distinct, repeated, few, null and infinite values; only the values in a bracket are counted."""
+    rows = [("wide", float(x * 7919 % 20011)) for x in range(20000)] + [("same", 3.0)] * 3000 + [("few", 1.0), ("few", 2.0), ("none", None)]
+    rows += [(None, float(x)) for x in range(10)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(4)
+    counted = []
+    whole = ranks._cumulative
+
+    def watched(*given):
+        found = whole(*given)
+        counted.append(found[0].count())
+        return found
+
+    monkeypatch.setattr(ranks, "_cumulative", watched)
+    named = {"low": 0.02, "mid": 0.5, "all": 1.0}
+    got = {r["g"]: (r["low"], r["mid"], r["all"]) for r in ranks.narrow_quantiles(df, "v", named, ["g"]).collect()}
+    for g in ("wide", "same", "few", None):
+        values = [v for k, v in rows if k == g]
+        assert got[g] == pytest.approx(tuple(np.quantile(values, p) for p in named.values()))
+    assert "none" not in got
+    assert len(counted) == 1 and counted[0] < 3000
+    odd = spark.createDataFrame([(float("-inf"),), (float("-inf"),), (1.0,)], "v double")
+    assert str(ranks.narrow_quantiles(odd, "v", {"m": 0.5}).first()["m"]) == str(ranks.wide_quantiles(odd, "v", {"m": 0.5}).first()["m"])
+    assert len(counted) == 4
+    assert ranks.narrow_quantiles(df.where("false"), "v", {"m": 0.5}).count() == ranks.wide_quantiles(df.where("false"), "v", {"m": 0.5}).count()
