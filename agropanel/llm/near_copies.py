@@ -6,10 +6,12 @@ with four fifths of their shingles in common miss once in 300,000 times. Every c
 
 A bucket does not pair all its nodes at once: each is first held against one of them, its leader. Buckets that those links
 leave in several components are thinned: a node goes if too few of its shingles occur in any other node of such buckets, which
-is how the members of a large family differ that are no copies of each other. Further leaders, the nodes with the fewest
-shingles of their own, join most of the rest. Only pairs that are still in different components meet at last, if their sizes,
-their lone shingles and their distances from the leader allow the similarity at all (the Jaccard distance is a metric). What is
-left out can change no component.
+is how the members of a large family differ that are no copies of each other. Further leaders join most of the rest, as long as
+that spares meetings: the node with the fewest shingles of its own, and one of the component with the fewest nodes. Only nodes
+that are still in different components meet at last, those outside a bucket's largest component with all of the bucket. A
+meeting becomes a pair to verify if sizes, lone shingles, distances from the first leader (the Jaccard distance is a metric) and
+marks allow the similarity at all. A set's marks are 1,024 bits, each the parity of its shingles there: two sets' marks differ in
+no more bits than the sets do in shingles. What is left out can change no component.
 
 Defined results: null and empty texts have the empty set and are copies of each other; rows that repeat the smallest key are
 one document and all stay; rows with a null key stay, and may connect others; an empty table gives an empty result.
@@ -32,7 +34,9 @@ WORDS = 5
 SIMILAR = (4, 5)  # least Jaccard similarity, as a fraction
 SEED = 42
 BANDS, ROWS = 24, 4
-PASSES, ROUNDS = 4, 2  # of thinning buckets, and of further leaders; more of them change the work, not the result
+PASSES = 4  # of thinning buckets; more of them change the work, not the result
+MARKS = 16  # of 64 bits
+FEW = 4  # meetings for each row of a bucket that need no further leaders
 CHUNK = 1 << 12  # shingles whose min-hashes are computed at once
 _FACTORS, _FLIPS = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
 _PRINT = "fp binary, md binary, n int, bands array<bigint>"
@@ -64,6 +68,13 @@ def bands_of(shingles: np.ndarray) -> list[int]:
     return np.array(keys, np.uint64).view(np.int64).tolist()
 
 
+def marks_of(shingles: np.ndarray) -> list[int]:
+    """The parity of the number of shingles at each of 64 x MARKS bits, as signed 64-bit numbers."""
+    bits = (shingles * _FACTORS[0]) >> np.uint64(32)
+    odd = np.bincount((bits % np.uint64(MARKS * 64)).astype(np.int64), minlength=MARKS * 64) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
 def _prints(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in batches(frames, column=text):
@@ -79,14 +90,16 @@ def _prints(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
 
 
 def _sets(texts: DataFrame, words: int) -> DataFrame:
-    """(node, shingles array<long>) from (node, text)."""
+    """(node, shingles array<long>, marks array<long>) from (node, text)."""
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in batches(frames, column="text"):
-            sets = [shingles_of(x, words).view(np.int64) for x in texts_of(frame.column("text"))]
-            yield pa.record_batch([frame.column("node"), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
+            sets = [shingles_of(x, words) for x in texts_of(frame.column("text"))]
+            signed = pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))
+            marks = pa.array([marks_of(x) for x in sets], pa.list_(pa.int64()))
+            yield pa.record_batch([frame.column("node"), signed, marks], names=["node", "shingles", "marks"])
 
-    return texts.select("node", "text").mapInArrow(run, "node long, shingles array<bigint>")
+    return texts.select("node", "text").mapInArrow(run, "node long, shingles array<bigint>, marks array<bigint>")
 
 
 def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -149,53 +162,88 @@ def _rooted(state: DataFrame, alike: DataFrame) -> DataFrame:
 
 
 def _held(state: DataFrame, leaders: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(compared pairs, similar ones) of each node and the leader of its bucket."""
-    pairs = state.join(leaders, "bucket").where("node != leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
+    """(compared pairs, similar ones) of each node and the leaders (bucket, leader, of) of its bucket that have another root."""
+    pairs = state.join(leaders, "bucket").where("root != of").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
     found = written(_compared(pairs, sets), "compared")
     return found, found.where(_similar(F.col("both"), F.col("either"))).select("a", "b")
 
 
+def _counted(state: DataFrame) -> DataFrame:
+    """(bucket, root, k, main, size): a root's nodes in a bucket, the bucket's most frequent root and its number of nodes."""
+    per = state.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("k"))
+    most = per.groupBy("bucket").agg(F.max(F.struct("k", "root"))["root"].alias("main"), F.sum("k").alias("size"))
+    return per.join(most, "bucket")
+
+
+def _meetings(state: DataFrame) -> tuple[int, int]:
+    """(meetings that `left_pairs` has to judge, rows of `state`)."""
+    met = F.sum(F.when(F.col("root") != F.col("main"), F.col("k") * F.col("size")).otherwise(0))
+    return tuple(x or 0 for x in _counted(state).agg(met, F.sum("k")).first())
+
+
+def _next_leaders(state: DataFrame) -> DataFrame:
+    """(bucket, leader, of): the likeliest node to be similar to the others, and one of the root that has met the fewest."""
+    # the fewest shingles of its own make a node alike to most
+    order = [F.col("alone"), F.xxhash64("bucket", "node").alias("h"), F.col("node"), F.col("root")]
+    two = state.join(_counted(state), ["bucket", "root"]).groupBy("bucket").agg(
+        F.min(F.struct(*order)).alias("hub"), F.min(F.struct(F.col("k"), *order)).alias("rare")
+    )
+    both = F.array(*[F.struct(F.col(f"{x}.node").alias("leader"), F.col(f"{x}.root").alias("of")) for x in ("hub", "rare")])
+    return two.select("bucket", F.explode(both).alias("l")).select("bucket", "l.*").distinct()
+
+
 def left_pairs(state: DataFrame) -> DataFrame:
-    """(a, b): the pairs of `state` that nothing has decided; sizes, lone shingles and distances from a leader allow them."""
-    sides = (state.select("bucket", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "root", "n", "alone", "away")]) for side in "ab")
-    x, y = sides
+    """(a, b): the pairs of `state` that nothing has decided; sizes, lone shingles, distances from a leader and marks allow them.
+
+    The nodes of a bucket's most frequent root do not meet each other: the others meet all.
+    """
+    marks = [F.col("marks")[i].alias(f"m{i}") for i in range(MARKS)]
+    main = _counted(state).where("root = main").select("bucket", "main")
+    rows = state.join(main, "bucket").select("bucket", "main", "node", "root", "n", "alone", "away", *marks)
+    x, y = (rows.select([F.col(c).alias(f"{c}_{side}") for c in rows.columns]) for side in "ab")
     reach = 1 - SIMILAR[0] / SIMILAR[1] + 1e-9
+    differ = sum((F.bit_count(F.col(f"m{i}_a").bitwiseXOR(F.col(f"m{i}_b"))) for i in range(MARKS)), F.lit(0))
     fits = (
-        (F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b"))
+        (F.col("root_a") != F.col("root_b")) & ((F.col("root_b") == F.col("main_b")) | (F.col("node_a") < F.col("node_b")))
         & _similar(F.least("n_a", "n_b"), F.greatest("n_a", "n_b"))
         & _room(F.col("n_a"), F.col("alone_a"), F.col("n_b")) & _room(F.col("n_b"), F.col("alone_b"), F.col("n_a"))
         & (F.abs(F.col("away_a") - F.col("away_b")) <= reach)
+        # similar sets differ in at most a ninth of their sizes' sum
+        & (differ * (SIMILAR[0] + SIMILAR[1]) <= (F.col("n_a") + F.col("n_b")) * (SIMILAR[1] - SIMILAR[0]))
     )
-    return x.join(y, (x["bucket"] == y["bucket"]) & fits).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    met = x.where("root_a != main_a").join(y, (F.col("bucket_a") == F.col("bucket_b")) & fits)
+    return met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
 
 
 def links(nodes: DataFrame, sets_of) -> DataFrame:
     """Pairs (a, b) of similar `nodes` (node, n, bands) whose components are those of all candidates that are similar.
 
-    `sets_of` makes (node, shingles) of a table of nodes.
+    `sets_of` makes (node, shingles, marks) of a table of nodes.
     """
     placed = nodes.select("node", "n", F.explode("bands").alias("bucket"))
     leaders = placed.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("bucket", "node").alias("h"), "node")).alias("m"), F.count(F.lit(1)).alias("size"))
     leaders = leaders.where("size > 1").select("bucket", F.col("m.node").alias("leader"))
-    placed = written(placed.join(leaders, "bucket"), "buckets")
+    placed = written(placed.join(leaders, "bucket").withColumn("root", F.col("node")), "buckets")
     sets = written(sets_of(placed.select("node").distinct()), "sets")
-    first, alike = _held(placed.drop("leader"), placed.select("bucket", "leader").distinct(), sets)
+    first, alike = _held(placed.drop("leader"), placed.select("bucket", "leader", F.col("leader").alias("of")).distinct(), sets)
     away = first.select(F.col("a").alias("node"), F.col("b").alias("leader"), (1 - F.col("both") / F.col("either")).alias("away"))
-    state = placed.withColumn("root", F.col("node")).join(away, ["node", "leader"], "left")
     # the leader itself has been held against all of its bucket
-    state = _rooted(state, alike).where("node != leader").drop("leader")
+    state = _rooted(placed.join(away, ["node", "leader"], "left"), alike).where("node != leader").drop("leader")
     state = thinned(written(state, "rest"), sets)
-    for _ in range(ROUNDS):
-        if state.isEmpty():
-            return alike
-        # the node with the fewest shingles of its own is the likeliest to be similar to the others
-        order = F.struct("alone", F.xxhash64("bucket", "node").alias("h"), "node")
-        leaders = state.groupBy("bucket").agg(F.min(order)["node"].alias("leader"))
+    met, rows = _meetings(state)
+    while met > FEW * rows:
+        leaders = written(_next_leaders(state), "leaders")
         _, more = _held(state, leaders, sets)
         alike = alike.union(more)
-        rest = _rooted(state, more).join(leaders, "bucket").where("node != leader").drop("leader")
-        state = thinned(written(rest, "rest"), sets, 1)
-    return alike.union(_compared(left_pairs(state), sets).where(_similar(F.col("both"), F.col("either"))).select("a", "b"))
+        led = leaders.select("bucket", F.col("leader").alias("node"))
+        state = thinned(written(_rooted(state, more).join(led, ["bucket", "node"], "left_anti"), "rest"), sets, 1)
+        before, (met, rows) = met, _meetings(state)
+        if 4 * met > 3 * before:
+            break
+    if not met:
+        return alike
+    marked = state.join(sets.select("node", "marks"), "node")
+    return alike.union(_compared(left_pairs(marked), sets).where(_similar(F.col("both"), F.col("either"))).select("a", "b"))
 
 
 def groups(docs: DataFrame, words: int = WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:

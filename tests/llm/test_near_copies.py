@@ -4,6 +4,7 @@ import random
 
 import brute
 import corpus_pipeline
+import numpy as np
 from agropanel.llm import near_copies
 from conftest import frame, prose
 
@@ -96,6 +97,32 @@ def test_a_family_of_some_copies_makes_few_pairs(spark, monkeypatch):
     assert sum(pairs) < 16 * 400  # of 79,800
 
 
+def test_a_family_without_shingles_of_its_own_makes_no_square_of_pairs(spark, monkeypatch):
+    """Each member takes the other form of 6 of 30 sentences: all shingles are shared, sizes are equal, and few pairs are copies."""
+    rng = random.Random(10)
+    forms = [[" ".join(f"{x}{i}w{j}" for j in range(12)) for i in range(30)] for x in "ab"]
+    texts = []
+    for _ in range(300):
+        other = set(rng.sample(range(30), 6))
+        texts.append(" ".join(forms[i in other][i] for i in range(30)))
+    texts += [" ".join([*texts[7].split()[:-1], f"z{i}"]) for i in range(3)]
+    pairs, found, rows = compared(spark, texts, monkeypatch)
+    assert found == wanted(rows)
+    assert len(set(found.values())) > 200
+    assert pairs[-1] < 300  # of 45,753
+
+
+def test_marks_differ_no_more_than_sets():
+    rng = random.Random(11)
+    for size in (0, 1, 50, 3000):
+        shared = {rng.getrandbits(64) for _ in range(size)}
+        sets = [np.array(sorted(shared | {rng.getrandbits(64) for _ in range(k)}), np.uint64) for k in (0, 20)]
+        one, two = (np.array(near_copies.marks_of(x), np.int64) for x in sets)
+        assert len(one) == near_copies.MARKS
+        assert 10 <= sum(int(x).bit_count() for x in (one ^ two).view(np.uint64)) <= 20
+    assert not any(near_copies.marks_of(np.zeros(0, np.uint64)))
+
+
 def test_a_very_long_text(spark):
     rng = random.Random(9)
     words = prose(rng, 60_000).split()
